@@ -64,7 +64,7 @@ class SortedProjections:
             width = sorted(needed)[len(needed) // 3]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, n_projections: int = 96, collision_share: float = 0.8, candidate_share: float = 0.1, width: float = 0.3, growth: float = 1.1, block_rows: int = 32768, query_rows: int = 4096, seed: int = 7) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, n_projections: int = 96, collision_share: float = 0.8, candidate_share: float = 0.1, least_candidates: int = 512, width: float = 0.3, growth: float = 1.1, block_rows: int = 32768, query_rows: int = 4096, seed: int = 7) -> DataFrame:
     """The k nearest found of each query by inner product: (query_id, rank, vec_id, score).
 
     ``vectors`` and ``queries``: (vec_id long, embedding array). Vectors that are null, zero or hold null or
@@ -90,7 +90,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, n_projections: i
         rest = np.sqrt(np.maximum(top - np.einsum("ij,ij->i", x, x), 0.0))
         index = SortedProjections(np.hstack([x, rest[:, None]]), n_projections, seed)
         norms, radius = np.sqrt(np.einsum("ij,ij->i", q, q)), np.sqrt(top)
-        wanted = k + 1 + int(candidate_share * len(ids))
+        wanted = k + 1 + max(least_candidates, int(candidate_share * len(ids)))
         lifted = np.hstack([q * (radius / norms)[:, None], np.zeros((len(q), 1))])
         out = []
         for i, found in index.candidates(lifted, wanted, int(np.ceil(collision_share * n_projections)), width * radius, growth):
@@ -102,7 +102,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, n_projections: i
 
     # Each block of vectors goes to every group of queries and the other way round: pairs of blocks, not of rows.
     data = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("dim", size)
-    asked = queries.withColumn("group", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")).withColumn("dim", size)
+    asked = queries.withColumn("group", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn("dim", size)
     found = data.groupBy("block", "group", "dim").cogroup(asked.groupBy("block", "group", "dim")).applyInPandas(of, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
