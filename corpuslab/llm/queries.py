@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, secrets, warc
+from . import ann, bpe, secrets, warc
 from .chat_format import op1_chat_format
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_warc": warc.op3_warc,
     "op7_secrets": secrets.op7_secrets,
+    "op8_bpe": bpe.op8_bpe,
     "op10_ann": ann.op10_ann,
 }
 ORACLE: dict[str, str] = {
