@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, fingerprints, langid, secrets, warc
+from . import ann, bpe, fingerprints, langid, secrets, toxicity, warc
 from .chat_format import op1_chat_format
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_secrets": secrets.op7_secrets,
     "op8_bpe": bpe.op8_bpe,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_ann": ann.op10_ann,
 }
 ORACLE: dict[str, str] = {
