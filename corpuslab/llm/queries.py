@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, fingerprints, langid, secrets, toxicity, warc
+from . import ann, bpe, fingerprints, langid, near_dedup, secrets, toxicity, warc
 from .chat_format import op1_chat_format
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_warc": warc.op3_warc,
     "op4_language": langid.op4_language,
+    "op5_near_duplicates": near_dedup.op5_near_duplicates,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_secrets": secrets.op7_secrets,
     "op8_bpe": bpe.op8_bpe,
