@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, fingerprints, langid, near_dedup, secrets, toxicity, warc
+from . import ann, bpe, fingerprints, langid, near_dedup, packing, secrets, toxicity, warc
 from .chat_format import op1_chat_format
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_packing": packing.op2_packing,
     "op3_warc": warc.op3_warc,
     "op4_language": langid.op4_language,
     "op5_near_duplicates": near_dedup.op5_near_duplicates,
