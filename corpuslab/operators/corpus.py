@@ -97,7 +97,10 @@ def token_overlap_report(cand: DataFrame, ref: DataFrame, ns: list[int]) -> Data
 
 def char_overlap(cand: DataFrame, ref: DataFrame, n: int) -> DataFrame:
     """(doc_id, overlaps): null where the text is shorter than n code points and cannot be tested."""
-    grams = lambda df: df.where(F.char_length("text") >= n).select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.char_length("text") - n + 1)).alias("i")).select("doc_id", F.expr(f"substring(text, i, {n})").alias("w"))
+    # A place in a text is found by counting characters from its start, so long texts are first cut into blocks.
+    span = 256
+    blocks = lambda df: df.where(F.char_length("text") >= n).select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.char_length("text") - n + 1, F.lit(span))).alias("i")).select("doc_id", F.expr(f"substring(text, i, {span + n - 1})").alias("b"))
+    grams = lambda df: blocks(df).select("doc_id", "b", F.explode(F.sequence(F.lit(1), F.char_length("b") - n + 1)).alias("i")).select("doc_id", F.expr(f"substring(b, i, {n})").alias("w"))
     hit = grams(cand).distinct().join(grams(ref).select("w").distinct(), "w", "left_semi").select("doc_id").distinct().withColumn("hit", F.lit(True))
     return cand.join(hit, "doc_id", "left").select("doc_id", F.when(F.char_length("text") >= n, F.coalesce("hit", F.lit(False))).alias("overlaps"))
 

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
+from corpuslab.functions.scale import hash_mod
 from corpuslab.functions.storage import read, written
 from corpuslab.operators import corpus as C
 
 from .registry import query
 from .text import ALNUM, TOKENS
 
+#: Content hash of a text modulo 1000, and the tenth of the documents that is held against the rest.
+HASH16 = "(('0x' || substring(sha1(text), 1, 16))::UBIGINT % 1000)"
+HELD, REST = f"{HASH16} < 100", f"{HASH16} >= 100"
 RATIOS = {"en": 50, "fr": 20, "de": 20, "es": 10}
 TARGET, SEED = 120_000, 7
 SIZED = f"SELECT *, len({TOKENS}) AS n_tokens FROM documents"
@@ -18,12 +22,16 @@ BUDGETS = f"(VALUES {', '.join(f'({k!r}, {int(TARGET * r / sum(RATIOS.values()))
 QA = "(SELECT row_number() OVER (ORDER BY conv_id, turn) AS item_id, conv_id, turn, question, answer FROM (SELECT conv_id, turn, role, text AS question, lead(text) OVER w AS answer, lead(role) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next = 'assistant')"
 
 
+def held():
+    return (hash_mod(F.col("text"), 1000) < 100).alias("held")
+
+
 def sized(spark, sf):
     return read(spark, sf, "documents").withColumn("n_tokens", F.size(T.word_tokens(F.col("text"))))
 
 
 def tokenised(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", "lang", "source", T.word_tokens(F.col("text")).alias("tokens"))
+    return read(spark, sf, "documents").select("doc_id", "lang", "source", T.word_tokens(F.col("text")).alias("tokens"), held())
 
 
 def budgets(spark, sf):
@@ -70,25 +78,25 @@ def grams_sql(n: int, where: str) -> str:
 
 
 def _overlap_sql(n: int) -> str:
-    return f"SELECT {n} AS n, count(*) FILTER (hit) AS excluded, coalesce(sum(k) FILTER (hit), 0)::BIGINT AS excluded_tokens, count(*) FILTER (k < {n}) AS untestable FROM (SELECT doc_id, len({TOKENS}) AS k, doc_id IN (SELECT doc_id FROM ({grams_sql(n, 'doc_id % 10 = 0')}) WHERE w IN (SELECT w FROM ({grams_sql(n, 'doc_id % 10 <> 0')}))) AS hit FROM documents WHERE doc_id % 10 = 0)"
+    return f"SELECT {n} AS n, count(*) FILTER (hit) AS excluded, coalesce(sum(k) FILTER (hit), 0)::BIGINT AS excluded_tokens, count(*) FILTER (k < {n}) AS untestable FROM (SELECT doc_id, len({TOKENS}) AS k, doc_id IN (SELECT doc_id FROM ({grams_sql(n, HELD)}) WHERE w IN (SELECT w FROM ({grams_sql(n, REST)}))) AS hit FROM documents WHERE {HELD})"
 
 
 @query("c5_token_overlap", " UNION ALL ".join(_overlap_sql(n) for n in (8, 16)))
 def c5(spark, sf):
     docs = tokenised(spark, sf)
-    return C.token_overlap_report(docs.where("doc_id % 10 = 0"), docs.where("doc_id % 10 <> 0"), [8, 16])
+    return C.token_overlap_report(docs.where("held"), docs.where("not held"), [8, 16])
 
 
-@query("c6_char_overlap", "WITH g AS (SELECT doc_id, substring(text, i, 40) AS w FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 39)) AS i FROM documents)) SELECT doc_id, CASE WHEN length(text) >= 40 THEN doc_id IN (SELECT doc_id FROM g WHERE doc_id % 10 = 0 AND w IN (SELECT w FROM g WHERE doc_id % 10 <> 0)) END AS overlaps FROM documents WHERE doc_id % 10 = 0")
+@query("c6_char_overlap", f"WITH g AS (SELECT doc_id, {HELD} AS held, substring(text, i, 40) AS w FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 39)) AS i FROM documents)) SELECT doc_id, CASE WHEN length(text) >= 40 THEN doc_id IN (SELECT doc_id FROM g WHERE held AND w IN (SELECT w FROM g WHERE NOT held)) END AS overlaps FROM documents WHERE {HELD}")
 def c6(spark, sf):
-    docs = read(spark, sf, "documents").select("doc_id", "text")
-    return C.char_overlap(docs.where("doc_id % 10 = 0"), docs.where("doc_id % 10 <> 0"), 40)
+    docs = read(spark, sf, "documents").select("doc_id", "text", held())
+    return C.char_overlap(docs.where("held"), docs.where("not held"), 40)
 
 
-@query("c7_verify_disjoint", " UNION ALL ".join(f"SELECT {n} AS n, count(*) AS tested, count(*) FILTER (h IN (SELECT w FROM ({grams_sql(n, 'doc_id % 10 <> 0')}))) AS found FROM (SELECT array_to_string(({TOKENS})[1:{n}], ' ') AS h FROM documents WHERE doc_id % 10 = 0 AND len({TOKENS}) >= {n})" for n in (8, 16)))
+@query("c7_verify_disjoint", " UNION ALL ".join(f"SELECT {n} AS n, count(*) AS tested, count(*) FILTER (h IN (SELECT w FROM ({grams_sql(n, REST)}))) AS found FROM (SELECT array_to_string(({TOKENS})[1:{n}], ' ') AS h FROM documents WHERE {HELD} AND len({TOKENS}) >= {n})" for n in (8, 16)))
 def c7(spark, sf):
     docs = tokenised(spark, sf)
-    return C.verify_disjoint(docs.where("doc_id % 10 = 0"), docs.where("doc_id % 10 <> 0"), [8, 16])
+    return C.verify_disjoint(docs.where("held"), docs.where("not held"), [8, 16])
 
 
 STRICT = "list_filter(string_split(" + ALNUM + ", ' '), lambda w: w <> '' AND w NOT IN ('a','an','the','of','in','on','at','to','for','and','or'))"
@@ -124,9 +132,6 @@ def c10(spark, sf):
     return flags.groupBy(F.col("contaminated").alias("memorised")).agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"))
 
 
-HASH16 = "(('0x' || substring(sha1(text), 1, 16))::UBIGINT % 1000)"
-
-
 @query("c11_hash_split", f"SELECT doc_id, CASE WHEN {HASH16} < 100 THEN 'eval' ELSE 'train' END AS split FROM documents")
 def c11(spark, sf):
     return C.hash_split(read(spark, sf, "documents"), F.col("text"), 0.1).select("doc_id", "split")
