@@ -222,9 +222,9 @@ def verbatim_rate(train: DataFrame, held: DataFrame, ks: list[int]) -> DataFrame
 
 
 def backoff_scores(tokens: DataFrame, counts: DataFrame, order: int, least: int = 1, floor: float = 1e-12) -> DataFrame:
-    """(doc_id, pos, token, used, logp): maximum likelihood at the longest context with ``least`` counts.
+    """(doc_id, pos, token, used, logp, unigram_logp, evidence): maximum likelihood at the longest context with ``least`` counts.
 
-    A token that this context lacks gets its unigram probability, one unknown to the model the floor.
+    Evidence is the training count of the context of the highest order. A token that this context lacks gets its unigram probability, one unknown to the model the floor.
     """
     out = contexts(tokens, list(range(1, order + 1)))
     for k in range(1, order + 1):
@@ -237,7 +237,8 @@ def backoff_scores(tokens: DataFrame, counts: DataFrame, order: int, least: int
         known = F.col(f"z{k}").isNotNull()
         used, n, z = F.when(known, k).otherwise(used), F.when(known, F.col(f"n{k}")).otherwise(n), F.when(known, F.col(f"z{k}")).otherwise(z)
     p = F.coalesce(n / z, F.col("n1") / F.col("z1"), F.lit(floor))
-    return out.select("doc_id", "pos", "token", used.alias("used"), F.ln(p).alias("logp"))
+    unigram = F.coalesce(F.col("n1") / F.col("z1"), F.lit(floor))
+    return out.select("doc_id", "pos", "token", used.alias("used"), F.ln(p).alias("logp"), F.ln(unigram).alias("unigram_logp"), F.coalesce(F.col(f"z{order}"), F.lit(0)).alias("evidence"))
 
 
 def jelinek_mercer(tokens: DataFrame, counts: DataFrame, n_vocab: int, grid: list[tuple[float, float]]) -> DataFrame:
