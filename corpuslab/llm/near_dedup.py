@@ -174,22 +174,32 @@ def confirm(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: in
     return dealt.select("grp", "block", "batch", "asks", "node", "component", "shingles").mapInArrow(run, "u long, v long")
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, shingles array<long>) of the classes in ``nodes`` (node, d1), from the rows that stand for them."""
-    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+def _sets_of(docs: DataFrame, nodes: DataFrame, size: int, log_bits: int = 24) -> DataFrame:
+    """(node, shingles array<long>) of the classes in ``nodes`` (node, d1), from the rows that stand for them.
+
+    Texts stay where they are read: a bitmap of the wanted ids' hashes, 2**log_bits bits whatever the input, tells
+    which rows may be wanted; sets of those alone are shuffled to the join that drops what the bitmap let through.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c, F.lit(23)), F.lit(1 << log_bits))
+    bit = F.expr("shiftleft(1L, cast(h % 64 as int))")
+    words = nodes.select(place("node").alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    bitmap = np.zeros(1 << (log_bits - 6), np.int64)
+    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.view(_U64))
+    schema = pa.schema([("node", pa.int64()), ("d1", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sets = [], []
-            for node, digest, text in zip(*(batch.column(c) for c in ("node", "d1", "text")), strict=True):
-                found = shingles(text.as_py(), size)
-                if int(_mix(found).sum(dtype=_U64).astype(np.int64)) == digest.as_py():
-                    ids.append(node.as_py())
-                    sets.append(found.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
-
-    rows = docs.select(F.col("doc_id").alias("node"), "text").join(nodes.select("node", "d1"), "node")
-    return rows.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+            h = batch.column("h").to_numpy()
+            wanted = np.flatnonzero((shared.value[h >> 6] >> (h & 63).astype(_U64)) & _U64(1))
+            batch = batch.take(pa.array(wanted))
+            sets = [shingles(text.as_py(), size) for text in batch.column("text")]
+            digests = [int(_mix(x).sum(dtype=_U64).astype(np.int64)) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(digests, pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], schema=schema)
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text", place("doc_id").alias("h"))
+    found = rows.mapInArrow(run, "node long, d1 long, shingles array<long>")
+    return found.join(nodes.select("node", "d1"), ["node", "d1"], "left_semi").dropDuplicates(["node"]).select("node", "shingles")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle_words: int = 5, chunks: int = 10, width: int = 6, errors: int = 1, rounds: int = 2) -> DataFrame:
