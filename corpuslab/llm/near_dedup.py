@@ -136,10 +136,10 @@ def _linked(targets: list[tuple[int, int, np.ndarray]]):
 
 
 def confirm(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int, block: int = 512, together: int = 2048) -> DataFrame:
-    """Links (u, v) between queries (grp, node) and the members (grp, node) of their groups, by full sets.
+    """Components (u, v) that a link between a query (grp, node) and a member (grp, node) of its group joins.
 
-    ``sets``: (node, component, shingles). Members are dealt to blocks and queries to batches of bounded size;
-    one task's unit is a batch against a block. Of several members of one component one link is returned.
+    Links are confirmed on full sets, ``sets``: (node, component, shingles). Members are dealt to blocks and queries
+    to batches of bounded size; one task's unit is a batch against a block.
     """
     part = lambda n, per: F.ceil(F.col(n) / per).cast("int")
     counts = members.groupBy("grp").agg(F.count("*").alias("n_members")).join(queries.groupBy("grp").agg(F.count("*").alias("n_queries")), "grp")
@@ -164,11 +164,7 @@ def confirm(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: in
                     targets.append((node, component, found.copy()))
                     continue
                 similar = similar or (_linked(targets) if targets else lambda *_: ())
-                met = {}
-                for j in similar(found, percent):
-                    if targets[j][1] != component:
-                        met.setdefault(targets[j][1], targets[j][0])
-                links += [(node, other) for other in met.values()]
+                links += [(component, other) for other in {targets[j][1] for j in similar(found, percent)} if other != component]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=schema)
 
     return dealt.select("grp", "block", "batch", "asks", "node", "component", "shingles").mapInArrow(run, "u long, v long")
@@ -199,7 +195,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, size: int, log_bits: int = 24) -
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text", place("doc_id").alias("h"))
     found = rows.mapInArrow(run, "node long, d1 long, shingles array<long>")
-    return found.join(nodes.select("node", "d1"), ["node", "d1"], "left_semi").dropDuplicates(["node"]).select("node", "shingles")
+    return found.join(nodes.select("node", "d1"), ["node", "d1"], "left_semi").dropDuplicates(["node", "d1"]).select("node", "shingles")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle_words: int = 5, chunks: int = 10, width: int = 6, errors: int = 1, rounds: int = 2) -> DataFrame:
@@ -222,16 +218,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle_words: int = 5,
     sets = materialise(_sets_of(docs, nodes, shingle_words), "dedup-sets")
     labels = materialise(shared.select("node").distinct().withColumn("component", F.col("node")), "dedup-labels")
 
-    links = None
     anchors = None
     for number in range(rounds + 1):
         apart = shared.join(labels, "node").withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key)).where("lo < hi")
         if number < rounds:
             # A star round: every class meets the centre it shares most keys with, if they are apart.
             centred = apart.withColumn("best", F.min(F.struct(F.xxhash64("node", F.lit(number)), "node", "component")).over(by_key)).where(F.col("best.component") != F.col("component"))
-            shares = centred.groupBy("node", F.col("best.node").alias("grp")).agg(F.count("*").alias("n"))
+            shares = materialise(centred.groupBy("node", F.col("best.node").alias("grp")).agg(F.count("*").alias("n")), "dedup-shares")
             queries = materialise(shares.groupBy("node").agg(F.max(F.struct("n", F.negative("grp").alias("g"))).alias("x")).select("node", F.negative("x.g").alias("grp")), "dedup-queries")
-            anchors = anchors if anchors is not None else queries
+            if anchors is None:
+                # Of the centres a class meets, the one that most classes meet: few groups cover a dense cluster.
+                popular = shares.groupBy("grp").agg(F.count("*").alias("p"))
+                anchors = shares.join(popular, "grp").groupBy("node").agg(F.max(F.struct("p", F.negative("grp").alias("g"))).alias("x")).select("node", F.negative("x.g").alias("grp"))
+                anchors = materialise(anchors, "dedup-anchors")
             members = queries.select("grp").distinct().withColumn("node", F.col("grp"))
         else:
             # What is still apart: a group is a component, with the lone classes that first met one of its members.
@@ -245,9 +244,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle_words: int = 5,
             queries = materialise(asked.select("grp", "node").distinct(), "dedup-queries")
             members = grouped.select(F.col("own").alias("grp"), "node")
         found = materialise(confirm(queries, members, sets.join(labels, "node"), percent), "dedup-links")
-        links = found if links is None else links.unionByName(found)
-        joined = connected_components(links)
-        labels = materialise(shared.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "dedup-labels")
+        joined = connected_components(found).select(F.col("node").alias("component"), F.col("component").alias("low"))
+        labels = materialise(labels.join(joined, "component", "left").select("node", F.coalesce("low", "component").alias("component")), "dedup-labels")
 
     of_class = classes.select("n", "d1", "d2", "node").join(labels, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component"))
     out = signed.join(of_class, ["n", "d1", "d2"], "left")
