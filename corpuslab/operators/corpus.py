@@ -52,6 +52,7 @@ def filter_contaminated(docs: DataFrame, found: DataFrame, inner: int = 2) -> Da
     The inner words of a needle of three or more are whole words of a text that contains it, so candidates come
     from a join on the needle's inner words, up to ``inner`` of them, with the distinct word n-grams of the texts;
     needles of two words join on the word beginnings that their last word gives. Each candidate is verified.
+    Needles have at least two words.
     """
     hay = docs.select("doc_id", T.norm_alnum(F.col("text")).alias("hay"))
     words = F.split("hay", " ")
@@ -62,7 +63,8 @@ def filter_contaminated(docs: DataFrame, found: DataFrame, inner: int = 2) -> Da
     # Two words: the first ends a word of the text and the second begins the next one.
     pairs = listed.where("n <= 2").select("needle", F.element_at("w", -1).alias("last"))
     heads = pairs.select("needle", F.substring("last", 1, 3).alias("head"))
-    starts = hay.select("doc_id", F.explode(F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 3)))).alias("start"))
+    beginnings = F.flatten(F.transform(words, lambda w: F.array(*[F.substring(w, 1, n) for n in (1, 2, 3)])))
+    starts = hay.select("doc_id", F.explode(F.array_distinct(beginnings)).alias("start")).join(heads.select(F.col("head").alias("start")).distinct(), "start", "left_semi")
     short = starts.join(heads, (F.col("start") == F.col("head"))).select("doc_id", "needle").distinct()
     bad = hit.unionByName(short).join(hay, "doc_id").where(F.col("hay").contains(F.col("needle"))).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti")

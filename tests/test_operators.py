@@ -81,7 +81,9 @@ def test_addresses(spark):
 def test_contamination(spark):
     docs = spark.createDataFrame([(0, "then james it was"), (1, "so James, I was there"), (2, "nothing here")], "doc_id long, text string")
     found = spark.createDataFrame([("james i",)], "needle string")
-    assert {r["doc_id"] for r in C.filter_contaminated(docs, found).collect()} == {2}
+    assert {r["doc_id"] for r in C.filter_contaminated(docs, found).collect()} == {2}  # a plain substring: "james it" counts
+    # Word boundaries: "james it" is not "james i".
+    assert not C.eval_contamination(spark.createDataFrame([(0, "who", "james i")], "item_id long, question string, answer string"), docs.where("doc_id = 0")).first()["contaminated"]
     items = spark.createDataFrame([(0, "who", "james i"), (1, "who", "king")], "item_id long, question string, answer string")
     flags = {r["item_id"]: r["contaminated"] for r in C.eval_contamination(items, docs).collect()}
     assert flags == {0: True, 1: None}
@@ -113,7 +115,7 @@ def test_margins_and_last_change(spark):
 
 
 def test_planted_mixture_gain(spark):
-    rows = [(i, 0, -math.log(0.9 if i % 2 else 0.001), -math.log(0.1 if i % 2 else 0.9)) for i in range(2000)]
+    rows = [(i, 0, -math.log(0.9 if i // 4 % 2 else 0.001), -math.log(0.1 if i // 4 % 2 else 0.9)) for i in range(2000)]
     rec = spark.createDataFrame(rows, "pos long, g int, nll_p double, nll_q double")
     found = P.crossfit_gain(rec, "g", 4, 100)
     assert found.agg(F.sum("gain")).first()[0] > 0 and all(0 < r["lam"] < 1 for r in found.collect())
