@@ -93,8 +93,8 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "<secret>") -> DataFra
     """``docs`` with every span of ``found`` replaced by ``mark``; overlapping spans are replaced as one.
 
     ``found`` comes from ``scan_secrets`` over the same rows. Spans depend on the text and the corpus alone, so
-    they are joined by the text's key. Texts with no span stay as they are, null included; n_chars, where it
-    exists, follows the new text.
+    they are joined by the text's key. Only texts that match some pattern at all reach that join; the others stay
+    as they are, null included, and are not shuffled. n_chars, where it exists, follows the new text.
     """
     cuts = found.where(F.size("spans") > 0).groupBy("text_key").agg(F.first("spans").alias("__spans"))
     text = F.col("text")
@@ -106,11 +106,12 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "<secret>") -> DataFra
 
     state = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
     whole = F.aggregate("__spans", state, step, lambda s: F.concat(s["out"], F.substring(text, s["pos"] + 1, F.char_length(text))))
-    joined = docs.withColumn("__key", F.md5("text")).join(materialise(cuts, "secret-cuts").withColumnRenamed("text_key", "__key"), "__key", "left")
+    may = F.coalesce(reduce(lambda a, b: a | b, [text.rlike(p) for _, p, _, _ in BASE] + [text.rlike(CANDIDATE)]), F.lit(False))
+    joined = docs.where(may).withColumn("__key", F.md5("text")).join(materialise(cuts, "secret-cuts").withColumnRenamed("text_key", "__key"), "__key", "left")
     out = joined.withColumn("text", F.when(F.col("__spans").isNull(), text).otherwise(whole))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).unionByName(docs.where(~may))
 
 
 def op7_secrets(spark, sf_dir: str) -> DataFrame:
