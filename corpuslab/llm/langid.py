@@ -156,7 +156,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
 def label_texts(texts: list[str], model: Model, spans: bool = False) -> tuple[list[str], list[float], list[list[dict]] | None]:
     """Language, share of letters so labelled, and spans (start, end, lang in code points) of each text."""
     pieces, lengths, starts, ends = [], [], [], []
-    for group in _groups(texts, 1 << 20):
+    for group in _groups(texts, 1 << 18):
         codes = [code_points(x) for x in group]
         joined = np.concatenate([y for x in codes for y in (x, np.array([10], np.uint32))]) if codes else np.zeros(0, np.uint32)
         found = words_of(joined)
@@ -202,23 +202,23 @@ def _groups(texts: list[str], size: int) -> Iterator[list[str]]:
         yield group
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), spans: bool = True) -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), spans: bool = True, rows: int = 2048) -> DataFrame:
     """Columns ``keep`` of ``docs`` with lang_pred, lang_score and (``spans``) lang_spans of the whole text.
 
     Null texts and texts without a letter: ``und``, score 0, no spans; so is every text if nothing was learned.
-    Repeated rows stay. Columns of ``keep`` that clash with the three are left out.
+    Repeated rows stay. At most ``rows`` rows are worked on at once. Columns of ``keep`` that clash with the three are left out.
     """
     added = ["lang_pred", "lang_score", *["lang_spans"] * spans]
     keep = [c for c in keep if c not in added]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    batch_chars = max(1 << 18, (1 << 26) // max(1, len(model.languages)))
+    batch_chars = max(1 << 18, (1 << 24) // max(1, len(model.languages)))
     source = docs.select(*keep, F.col("text").alias("__text"))
     ddl = "lang_pred string, lang_score double" + ", lang_spans array<struct<start:int,end:int,lang:string>>" * spans
     fields = StructType([*source.drop("__text").schema.fields, *StructType.fromDDL(ddl).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in (whole.slice(i, rows) for whole in batches for i in range(0, whole.num_rows, rows)):
             texts = [x or "" for x in batch.column("__text").to_pylist()]
             names, shares, found = [], [], []
             for group in _groups(texts, batch_chars):
