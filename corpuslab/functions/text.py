@@ -46,6 +46,11 @@ def norm_alnum(text: Column) -> Column:
     return collapse(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", " "))
 
 
+def norm_key(text: Column) -> Column:
+    """A key of bounded width for the normal form of a text of any length; empty where that is."""
+    return let(norm_alnum(text), lambda k: F.when(k == "", k).otherwise(F.sha2(k, 256)))
+
+
 def norm_words(text: Column) -> Column:
     return F.filter(F.split(norm_alnum(text), " "), lambda w: w != "")
 

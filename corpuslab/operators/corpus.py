@@ -170,11 +170,11 @@ def collect_split(items: DataFrame, known: DataFrame, limit: int, task: str = "t
     """Items with a ``status``: empty, excluded (known question), duplicate, over (beyond the cap) or kept.
 
     A question is known also by what follows its last "Question:". Of duplicates by normal form the smallest id
-    stays. The cap per task is by global ranks, not a window per task.
+    stays. The cap per task is by global ranks, not a window per task. Normal forms are compared by their hashes.
     """
     tail = F.trim(F.element_at(F.split("question", "Question:"), -1))
-    keyed = items.withColumn("__k", T.norm_alnum(F.col("question"))).withColumn("__t", T.norm_alnum(tail))
-    seen = known.select(T.norm_alnum(F.col("question")).alias("__k")).where("__k <> ''").distinct().withColumn("__known", F.lit(1))
+    keyed = written(items.withColumn("__k", T.norm_key(F.col("question"))).withColumn("__t", T.norm_key(tail)), "split-keys")
+    seen = known.select(T.norm_key(F.col("question")).alias("__k")).where("__k <> ''").distinct().withColumn("__known", F.lit(1))
     joined = keyed.join(seen, "__k", "left").join(seen.withColumnRenamed("__k", "__t").withColumnRenamed("__known", "__known2"), "__t", "left")
     firsts = joined.groupBy("__k").agg(F.min("item_id").alias("__first"))
     status = F.when(F.col("__k") == "", "empty").when(F.col("__known").isNotNull() | F.col("__known2").isNotNull(), "excluded").when(F.col("item_id") != F.col("__first"), "duplicate").otherwise("kept")

@@ -10,7 +10,7 @@ from corpuslab.sources import records as S
 from corpuslab.streaming import jobs as J
 
 from .registry import query
-from .text import TOKENS
+from .text import ALNUM, TOKENS
 
 
 @query("s1_load_docs", "SELECT doc_id, lang, length(text) AS n FROM documents")
@@ -83,6 +83,14 @@ def st1(spark, sf):
     return J.drain(J.intake(items, known), "st1").agg(F.count("*").alias("fresh"))
 
 
+@query("st1_intake_whole", f"SELECT count(DISTINCT k) AS fresh FROM (SELECT {ALNUM} AS k FROM documents) WHERE k <> '' AND k NOT IN (SELECT {ALNUM} FROM benchmark)")
+def st1_whole(spark, sf):
+    """Whole texts as questions; ``st1_intake`` sees the first 40 characters only."""
+    items = J.read_stream(spark, sf, "documents").select(F.col("text").alias("question"))
+    known = read(spark, sf, "benchmark").select(F.col("text").alias("question"))
+    return J.drain(J.intake(items, known).select("key"), "st1").agg(F.count("*").alias("fresh"))
+
+
 @query("st2_growing_ngrams", f"SELECT count(*) AS grams, sum(n)::BIGINT AS total, max(n) AS largest FROM (SELECT g, count(*) AS n FROM (SELECT unnest(list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1])) AS g FROM (SELECT {TOKENS} AS t FROM documents)) GROUP BY g)")
 def st2(spark, sf):
     counts = J.drain(J.growing_ngrams(J.read_stream(spark, sf, "documents"), 2), "st2", "complete")

@@ -38,9 +38,10 @@ def intake(items: DataFrame, known: DataFrame, watermark: str | None = None, tim
     """New items only: known questions excluded by normal form, repeated ones dropped.
 
     With a watermark the state of repeats is bounded by it; without one it grows with the distinct items.
+    ``key`` is a hash of the normal form, so the state of an item is of one width whatever its length.
     """
-    keyed = items.withColumn("key", T.norm_alnum(F.col("question"))).where("key <> ''")
-    seen = known.select(T.norm_alnum(F.col("question")).alias("key")).distinct()
+    keyed = items.withColumn("key", T.norm_key(F.col("question"))).where("key <> ''")
+    seen = known.select(T.norm_key(F.col("question")).alias("key")).distinct()
     fresh = keyed.join(seen, "key", "left_anti")
     return fresh.withWatermark(time, watermark).dropDuplicatesWithinWatermark(["key"]) if watermark else fresh.dropDuplicates(["key"])
 

@@ -126,3 +126,16 @@ def test_ridge_gate_refuses_what_a_gate_cannot_see(spark):
     rec = spark.createDataFrame([(0, 1.0, True)], "pos long, delta double, train boolean")
     with pytest.raises(ValueError, match="delta"):
         P.ridge_gate(rec, ["delta"], "delta")
+
+
+def test_whole_texts_are_the_question(spark, tmp_path):
+    from corpuslab.plans.registry import load_all
+
+    start = "the same forty characters begin every text "
+    docs = [(1, start + "a"), (2, start + "b"), (3, start + "A!"), (4, start + "known"), (50, "Question: " + start + "known"), (51, start + "c")]
+    spark.createDataFrame([(i, t, "en") for i, t in docs], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, start + "known")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    queries = load_all()[0]
+    got = {r["status"]: r["n"] for r in queries["c14_collect_split_whole"](spark, str(tmp_path)).collect()}
+    assert got == {"kept": 3, "duplicate": 1, "excluded": 2}
+    assert queries["st1_intake_whole"](spark, str(tmp_path)).first()["fresh"] == 4
