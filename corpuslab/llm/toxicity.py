@@ -37,6 +37,9 @@ EDGES_BEFORE, EDGES_AFTER = (EDGES.translate({ord(c): None for c in kept}) for k
 COST = {"lookalike": 0.7, "any": 3.0, "filler": 0.3, "repeat": 0.5, "literal": 6.0}
 BAND = "\x00"
 BEGINNINGS = (4, 5, 6, 7)
+#: From here on a character is a syllable or a word of its own script (ideographs, kana, syllable blocks).
+ALPHABET_END = 0x2E80
+_BEYOND = re.compile(f"[{chr(ALPHABET_END)}-\U0010ffff]")
 _SPACED = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*~]{1,2}[^\W_]){2,}(?!\w)")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
 
@@ -67,17 +70,24 @@ class CharModel:
             self.singles[gram[1]] += n
 
     def cost(self, context: str, letter: str) -> float:
-        key = context + letter
-        found = self.known.get(key)
+        asked = context + letter
+        found = self.known.get(asked)
         if found is not None:
             return found
+        context, letter = folded(context), folded(letter)
+        key = context + letter
         bigram = (self.bigrams.get(context[1] + letter, 0) + 0.05) / (self.singles.get(context[1], 0) + 5.0)
-        found = self.known[key] = -math.log((self.trigrams.get(key, 0) + 2.0 * bigram) / (self.contexts.get(context, 0) + 2.0))
+        found = self.known[asked] = -math.log((self.trigrams.get(key, 0) + 2.0 * bigram) / (self.contexts.get(context, 0) + 2.0))
         return found
 
 
+def folded(word: str) -> str:
+    """``word`` with the letters beyond ``ALPHABET_END`` as one letter, which keeps the alphabet of the model small."""
+    return word if word.isascii() else _BEYOND.sub(chr(ALPHABET_END), word)
+
+
 def trigrams_of(word: str) -> Iterator[str]:
-    framed = f"^^{word}$"
+    framed = f"^^{folded(word)}$"
     return (framed[i : i + 3] for i in range(len(framed) - 2))
 
 
@@ -157,12 +167,41 @@ class Model:
     base: float
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 30_000, least_rows: int = 4, least_precision: float = 0.9, most_trigrams: int = 200_000) -> Model:
-    """Learn from a bounded sample of labelled rows that are not held out (about ``train_rows``, by id hash).
+def char_model(docs: DataFrame, held_words: int = 50_000) -> CharModel:
+    """Character trigrams of the plain words of all texts, added up per task; words are counted before they are cut."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, words = Counter(), Counter()
+
+        def cut() -> None:
+            for token, n in words.items():
+                word = plain(token)
+                if word.isalpha():
+                    for gram in trigrams_of(word):
+                        grams[gram] += n
+            words.clear()
 
-    The sample bounds everything that reaches the driver: trigram counts (at most ``most_trigrams``) and, for
-    features of at least ``least_rows`` toxic rows, those rows. A feature is kept if, near copies counted once, at
-    least ``least_precision`` of its rows are toxic and its likelihood ratio stands out among all features tried.
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                words.update(text.lower().split())
+                if len(words) > held_words:
+                    cut()
+        cut()
+        yield pa.RecordBatch.from_arrays([pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())], ["gram", "n"])
+
+    counted = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(count, "gram string, n long")
+    summed = counted.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return CharModel(dict(zip(summed["gram"].to_pylist(), summed["n"].to_pylist(), strict=True)))
+
+
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 30_000, least_rows: int = 4, least_precision: float = 0.9) -> Model:
+    """Letters from all texts of ``docs``, features from a bounded sample of labelled rows that are not held out.
+
+    The character model needs no labels: every text counts and no trigram is left out. It is bounded by its alphabet,
+    the letters below ``ALPHABET_END`` and one for all others, of which words of one script use a few dozen. The
+    sample (about ``train_rows``, by id hash) bounds the features of at least ``least_rows`` toxic rows, and those
+    rows. A feature is kept if, near copies counted once, at least ``least_precision`` of its rows are toxic and its
+    likelihood ratio stands out among all features tried.
     """
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where(~held_out())
@@ -172,17 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 30_000, least_ro
 
     train = materialise(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id"), "toxicity-train")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: Counter = Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                for word in map(plain, text.lower().split()):
-                    if word.isalpha():
-                        grams.update(trigrams_of(word))
-        yield pa.RecordBatch.from_arrays([pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())], ["gram", "n"])
-
-    grams = train.select("text").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(most_trigrams)
-    chars = CharModel({r["gram"]: r["n"] for r in grams.collect()})
+    chars = char_model(docs)
     shared = docs.sparkSession.sparkContext.broadcast(chars)
 
     def toxic_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -272,6 +272,15 @@ def test_toxicity(spark):
     assert all(0 <= r["tox_score"] < toxicity.THRESHOLD for r in toxicity.score_texts(docs, empty).collect())
 
 
+def test_letters_are_counted_over_all_texts(spark):
+    rows = [(1, "bara kolo"), (2, None), (3, "zyqxi ZYQXI, m0r0n"), (None, "été 東京都 京都東京")]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    grams = toxicity.learn(docs, known).chars.trigrams
+    assert grams["zyq"] == grams["qxi"] == 2 and grams["été"] == 1 and "m0r" not in grams
+    other = chr(toxicity.ALPHABET_END)
+    assert grams[other * 3] == 3 and toxicity.CharModel(grams).cost("東京", "都") == toxicity.CharModel(grams).cost(other * 2, other)
+
+
 # 10 nearest neighbours
 
 
