@@ -126,6 +126,23 @@ def permuted_null(records: DataFrame, group: str, permutations: int = 4, folds:
     return gains.groupBy("perm").agg((F.sum("gain") / F.sum("n")).alias("gain"))
 
 
+def excess_verdict(records: DataFrame, group: str, permutations: int = 8, folds: int = 5, steps: int = 1000, confirmed: float = 0.02, absent: float = 0.005, null_margin: float = 0.01) -> DataFrame:
+    """One row: cross-fitted mean gain, mean and spread of its permuted null, their excess and its verdict.
+
+    The excess must clear three standard errors of the null beside the fixed thresholds, in nats.
+    """
+    from .evaluation import verdict
+
+    own = crossfit_gain(records, group, folds, steps).agg((F.sum("gain") / F.sum("n")).alias("gain"))
+    null = permuted_null(records, group, permutations, folds, steps).agg(F.count("*").alias("n_perm"), F.avg("gain").alias("null_gain"), F.stddev_pop("gain").alias("null_std"))
+    both = own.join(F.broadcast(null)).withColumn("excess", F.col("gain") - F.col("null_gain")).withColumn("noise_floor", 3 * F.col("null_std") / F.sqrt("n_perm"))
+    rules = [
+        ("COMPLEMENTARITY_ABSENT", f"excess <= greatest({absent}D, noise_floor)", "only recalibration"),
+        ("COMPLEMENTARITY_CONFIRMED", f"excess > greatest({confirmed}D, noise_floor, {null_margin}D)", "above the null and its noise"),
+    ]
+    return verdict(both, rules, ("COMPLEMENTARITY_MARGINAL", "between the thresholds"))
+
+
 def loglinear_fusion(rows: DataFrame, scale: float, temperature: float, bias: float = 0.0) -> DataFrame:
     """(pos, token, p) from (pos, token, logit, q): softmax of logit + scale ln q / T + bias where the memory has q."""
     fused = F.col("logit") + F.coalesce(scale * F.ln(F.greatest("q", F.lit(1e-12))) / temperature + bias, F.lit(0.0))

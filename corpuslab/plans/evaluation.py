@@ -92,7 +92,7 @@ def e8(spark, sf):
 @query("e9_bootstrap")
 def e9(spark, sf):
     rows = paired(spark, sf).withColumn("d", F.col("b") - F.col("a"))
-    return E.bootstrap(rows, "d", ["item_id"], ["task"])
+    return E.bootstrap(rows, "d", ["item_id"], ["task"], 2000)
 
 
 @query("e10_total_variation", f"{ANSWERS}, l AS (SELECT arm, least(length(p) // 50, 20) AS l FROM rr), s AS (SELECT arm, l, n / sum(n) OVER (PARTITION BY arm) AS s FROM (SELECT arm, l, count(*) AS n FROM l GROUP BY arm, l)) SELECT round(0.5 * sum(abs(coalesce(x.s, 0) - coalesce(y.s, 0))), 9) AS tv FROM (SELECT * FROM s WHERE arm = 'full') x FULL JOIN (SELECT * FROM s WHERE arm = 'echo') y USING (l)")

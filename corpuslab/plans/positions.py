@@ -72,9 +72,21 @@ def p7(spark, sf):
     return P.crossfit_gain(records(spark, sf), "grp", 5, 20).select("fold", "grp", "lam", "n", F.round("gain", 5).alias("gain"))
 
 
+@query("p6_mixture_lambda_fine")
+def p6_fine(spark, sf):
+    """All 1,001 weights; ``p6_mixture_lambda`` has the 21 of its SQL."""
+    return P.best_lambda(P.mixture_grid(records(spark, sf), ["grp"]), ["grp"]).withColumn("loss", F.round("loss", 6))
+
+
+@query("p7_crossfit_gain_fine")
+def p7_fine(spark, sf):
+    """All 1,001 weights; ``p7_crossfit_gain`` has the 21 of its SQL."""
+    return P.crossfit_gain(records(spark, sf), "grp").select("fold", "grp", "lam", "n", F.round("gain", 5).alias("gain"))
+
+
 @query("p8_permuted_null")
 def p8(spark, sf):
-    return P.permuted_null(records(spark, sf), "grp", 2, 5, 50)
+    return P.excess_verdict(records(spark, sf), "grp", 8, 5, 1000)
 
 
 @query("p9_oracle_bound", f"{REC} SELECT count(*) AS n, round(avg(nll_q - least(nll_p, nll_q)), 6) AS gain FROM r")

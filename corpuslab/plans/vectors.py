@@ -49,7 +49,7 @@ def v3(spark, sf):
 
 @query("v4_permutation_p")
 def v4(spark, sf):
-    return V.permutation_p(rows(spark, sf).withColumn("half", (F.col("label") >= 5).cast("int")), "embedding", "half", "vec_id", 20)
+    return V.permutation_p(rows(spark, sf).withColumn("half", (F.col("label") >= 5).cast("int")), "embedding", "half", "vec_id")
 
 
 @query("v5_ridge_folds")

@@ -1,6 +1,7 @@
 """Hand-sized fixtures and properties of the operators."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +140,35 @@ def test_whole_texts_are_the_question(spark, tmp_path):
     got = {r["status"]: r["n"] for r in queries["c14_collect_split_whole"](spark, str(tmp_path)).collect()}
     assert got == {"kept": 3, "duplicate": 1, "excluded": 2}
     assert queries["st1_intake_whole"](spark, str(tmp_path)).first()["fresh"] == 4
+
+
+SMALLEST = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALLEST), reason="the given tables are not here")
+def test_grids_are_whole(spark, monkeypatch):
+    from corpuslab.operators import vectors as V
+    from corpuslab.plans import positions
+    from corpuslab.plans.registry import load_all
+
+    queries = load_all()[0]
+    rows = [(i, 0, -math.log(0.02 if i % 50 else 0.9), -math.log(0.5 if i % 50 else 0.001)) for i in range(600)]
+    rec = spark.createDataFrame(rows, "pos long, grp int, nll_p double, nll_q double")
+    monkeypatch.setattr(positions, "records", lambda spark, sf: rec)
+    loss = lambda part, i: sum(-math.log(max(i / 1000 * math.exp(-p) + (1 - i / 1000) * math.exp(-q), 1e-12)) for _, _, p, q in part)
+    best = lambda part: min(range(1001), key=lambda i: loss(part, i))
+    assert 0 < best(rows) < 50
+    assert queries["p6_mixture_lambda_fine"](spark, "").first()["lam"] == pytest.approx(best(rows) / 1000)
+    for r in queries["p7_crossfit_gain_fine"](spark, "").collect():
+        own = [x for x in rows if x[0] % 5 == r["fold"]]
+        at = best([x for x in rows if x[0] % 5 != r["fold"]])
+        assert r["lam"] == pytest.approx(at / 1000) and r["gain"] == pytest.approx(loss(own, 0) - loss(own, at), abs=1e-5)
+    found = queries["p8_permuted_null"](spark, "").first()
+    assert found["n_perm"] == 8 and found["verdict"].startswith("COMPLEMENTARITY_")
+    assert found["excess"] == pytest.approx(found["gain"] - found["null_gain"]) and found["noise_floor"] == pytest.approx(3 * found["null_std"] / 8**0.5)
+    seen = {}
+    monkeypatch.setattr(E, "bootstrap", lambda *a: seen.setdefault("e9", a[4:]))
+    monkeypatch.setattr(V, "permutation_p", lambda *a: seen.setdefault("v4", a[4:]))
+    queries["e9_bootstrap"](spark, SMALLEST)
+    queries["v4_permutation_p"](spark, SMALLEST)
+    assert seen == {"e9": (2000,), "v4": ()}
