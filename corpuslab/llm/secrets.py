@@ -2,8 +2,8 @@
 
 Base detectors find assignments, access keys and hex runs. In addition every random-looking token is a candidate:
 its hash is aggregated over the whole corpus by distinct repositories (documents) and distinct owners (sources).
-A value that many owners hold is a widely copied example; one that few hold looks like a live credential of
-its owner, and a candidate of that kind outside the base spans is added as a span of kind ``owned``.
+A value that many owners or many repositories hold is a widely copied example; one that few of both hold looks
+like a live credential of its owner, and a candidate of that kind outside the base spans is added as a span of kind ``owned``.
 """
 
 from __future__ import annotations
@@ -56,12 +56,13 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kind, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def scan_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", max_owners: int = 2, min_copies: int = 3) -> DataFrame:
+def scan_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", max_owners: int = 2, min_copies: int = 3, max_repos: int = 10) -> DataFrame:
     """Per row of ``docs``: doc_id, text_key (MD5 of the text), base and added spans, and counts by ownership.
 
-    Spans are in code points, end exclusive, ordered by start and kind. A hash held by at most ``max_owners``
-    distinct owners looks live; one in at least ``min_copies`` repositories of more owners is a copied example.
-    Null text: empty, no spans. A null repository or owner counts as none. Repeated rows each get their spans
+    Spans are in code points, end exclusive, ordered by start and kind. A hash held by one to ``max_owners`` distinct
+    owners and by at most ``max_repos`` repositories looks live. One in more repositories is a copied example, whoever
+    owns them, as is one in at least ``min_copies`` repositories of more owners. One without any known owner is never
+    live. Null text: empty, no spans. A null repository or owner counts as none. Repeated rows each get their spans
     and count as one repository. Other columns are ignored; an empty table gives no row.
 
     Texts are read once: spans and hashes are written to shared storage without the texts, and frequencies,
@@ -78,8 +79,8 @@ def scan_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", m
     scanned = scanned.withColumn("tokens", free)
     seen = scanned.select("row", "repo", "owner", F.explode(F.concat("base", "tokens")).alias("span")).select("row", "repo", "owner", "span", F.col("span.hash").alias("hash"))
     frequency = seen.groupBy("hash").agg(F.countDistinct("repo").alias("repos"), F.countDistinct("owner").alias("owners"))
-    live = F.col("owners") <= max_owners
-    copied = ~live & (F.col("repos") >= min_copies)
+    live = F.col("owners").between(1, max_owners) & (F.col("repos") <= max_repos)
+    copied = (F.col("repos") > max_repos) | (F.col("owners") > max_owners) & (F.col("repos") >= min_copies)
     added = (F.col("span.kind") == 3) & live
     judged = seen.join(frequency, "hash", "left").groupBy("row").agg(F.collect_list(F.when(added, F.col("span"))).alias("owned"), F.count_if((F.col("span.kind") < 3) & live).alias("n_live"), F.count_if(copied).alias("n_copied"))
     spans = F.array_sort(F.concat("base", F.coalesce("owned", F.array().cast(f"array<{SPAN}>"))))

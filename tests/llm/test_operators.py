@@ -226,6 +226,13 @@ def test_secrets(spark):
     assert secrets.scan_secrets(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_repositories_take_part_in_ownership(spark):
+    wide, live, unknown = "Ab1Cd2Ef3Gh4Ij5Kl6Mn", "Zq7xK2mP9vR4tY8wB3nL", "Qw3Er5Ty7Ui9Op1As2Df"
+    rows = [(i, f"see {wide}", None, "s1") for i in range(30)] + [(100 + i, f"key {live}", None, "s1") for i in range(2)] + [(200, f"on {unknown}", None, None)]
+    found = {r["doc_id"]: r for r in secrets.scan_secrets(docs_of(spark, rows)).collect()}
+    assert [(len(found[i]["spans"]), found[i]["n_live"], found[i]["n_copied"]) for i in (0, 100, 200)] == [(0, 0, 1), (1, 0, 0), (0, 0, 0)]
+
+
 # 8 BPE
 
 
