@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .bpe import default_tokenizer, load
+from .common import materialise, table, text_or_empty
+from .near_dedup import near_duplicates
 
 
 def pack(pieces: list[tuple[int, object, object]], capacity: int) -> list[tuple[int, int]]:
@@ -88,6 +90,33 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, shard_pieces: int = 40
     return ordered.select(*names).mapInArrow(run, "bin_id long, start long, length long, doc_id long, piece long, source string")
 
 
+def token_lengths(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, n, text_hash) of every row: n counts the tokens of the whole text and an end marker."""
+    path = default_tokenizer()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        for batch in batches:
+            n = pa.array([len(bpe.encode(x or "")) + 1 for x in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), n, batch.column("text_hash")], ["doc_id", "source", "n", "text_hash"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", F.xxhash64(text_or_empty()).alias("text_hash"))
+    return materialise(rows.mapInArrow(run, "doc_id long, source string, n long, text_hash long"), "packing-lengths")
+
+
+def pack_tokens(docs: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """``docs`` packed by their tokens. ``clusters``: (doc_id, cluster) of near copies; a row without one has its text's hash."""
+    counted = token_lengths(docs)
+    own = F.concat(F.lit("text "), F.col("text_hash").cast("string"))
+    if clusters is None:
+        return pack_documents(counted, length=F.col("n"), cluster=own)
+    per_id = clusters.where("doc_id is not null").groupBy("doc_id").agg(F.min("cluster").cast("string").alias("cluster"))
+    joined = materialise(counted.join(per_id, "doc_id", "left").select("doc_id", "source", "n", F.coalesce("cluster", own).alias("cluster")), "packing-clusters")
+    return pack_documents(joined, length=F.col("n"), cluster=F.col("cluster"))
+
+
 def op2_packing(spark, sf_dir: str) -> DataFrame:
-    """All of ``documents`` packed into sequences of 2,048."""
-    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    """All of ``documents`` packed into sequences of 2,048 tokens, near copies in different ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    copies = near_duplicates(docs.select("doc_id", "text"))
+    return pack_tokens(docs, copies.select("doc_id", F.col("component_id").alias("cluster")))

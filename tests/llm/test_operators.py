@@ -79,6 +79,17 @@ def test_packing_keeps_everything(spark):
     assert packing.pack_documents(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_op2_packs_tokens_and_near_copies(spark, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words, f"end{i}"]), None, f"s{i}") for i in range(6)] + [(9, "x" * 9000, None, "s9"), (None, "one", None, "s7"), (10, None, None, None)]
+    docs_of(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = packing.op2_packing(spark, str(tmp_path)).toPandas()
+    word_bpe = bpe.load(bpe.default_tokenizer())
+    assert got["length"].sum() == sum(len(word_bpe.encode(t or "")) + 1 for _, t, _, _ in rows)
+    assert got[got["doc_id"] < 6]["bin_id"].nunique() == 6  # near copies
+    assert got[got["doc_id"] == 9]["length"].sum() > 2
+
+
 # 3 WARC
 
 
