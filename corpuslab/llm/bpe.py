@@ -18,13 +18,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 NO_RANK = 1 << 60
 #: Words up to so many characters are merged by scanning and are cached.
 SHORT = 256
-WHITE, SEPARATORS = regex.compile(r"\s+"), re.compile("[\x1c-\x1f]")
+#: Code points of the planes that may hold letters, digits or cases; the others are private or empty in all versions.
+PLANES = [*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xF0000)]
 
 
 def byte_letters() -> dict[int, str]:
@@ -34,6 +34,85 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in printable else chr(next(shifted)) for b in range(256)}
 
 
+def _ranges(points: list[int]) -> str:
+    """The inside of a bracket expression that holds just these code points, given in order."""
+    out: list[list[int]] = []
+    for x in points:
+        if out and out[-1][1] == x - 1:
+            out[-1][1] = x
+        else:
+            out.append([x, x])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+class Characters:
+    """Classes, lower case and normal form of characters as the tokenizers library has them, asked once per worker.
+
+    Python's tables are of another Unicode version; they serve where both agree. Normal forms of characters that
+    both know never change between versions; texts with others are normalised by the library.
+    """
+
+    def __init__(self):
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        self.blocks = ["".join(map(chr, PLANES[i : i + 4096])) for i in range(0, len(PLANES), 4096)]
+        self.cut = lambda pattern: pre_tokenizers.Split(Regex(pattern), "removed")
+        lower = normalizers.Lowercase()
+        self.nfc = normalizers.NFC().normalize_str
+        #: Characters whose lower case is not Python's, and its lower case here.
+        self.lowered = {}
+        for block in self.blocks:
+            own = block.replace(" ", "")
+            self.lowered.update((ord(c), low) for c, low in zip(own, lower.normalize_str(" ".join(own)).split(" "), strict=True) if low != c.lower())
+        self.odd = re.compile(f"[{_ranges(sorted(self.lowered))}]") if self.lowered else None
+        self.unknown = re.compile(f"[{_ranges([x for x in PLANES if self._apart(chr(x))])}]")
+        self.white = self.of(r"\s")
+        white = set(map(chr, self.points(r"\s")))
+        #: Where str.split cuts and the library's white space does not, or the other way round.
+        differing = [x for x in PLANES if (chr(x) in white) != chr(x).isspace()]
+        self.separators = re.compile(f"[{_ranges(differing)}]") if differing else None
+        self.spaces = re.compile(f"[{self.white}]+")
+
+    def _apart(self, c: str) -> bool:
+        """Whether one of the two may not know this character's place in normal forms."""
+        if unicodedata.category(c) == "Cn":
+            return True
+        tries = [c + "\u0334", "\u0345" + c] if unicodedata.combining(c) else []
+        if unicodedata.decomposition(c)[:1] not in ("", "<"):
+            tries.append(unicodedata.normalize("NFD", c))
+        return any(self.nfc(x) != unicodedata.normalize("NFC", x) for x in tries)
+
+    def points(self, member: str) -> list[int]:
+        cut = self.cut(f"[^{member}]+")
+        return sorted(ord(c) for block in self.blocks for piece, _ in cut.pre_tokenize_str(block) for c in piece)
+
+    def of(self, member: str) -> str:
+        return _ranges(self.points(member))
+
+    def compiled(self, pattern: str) -> re.Pattern:
+        """``pattern``, whose classes all stand in brackets, over the library's classes."""
+        for member in dict.fromkeys(re.findall(r"\\p\{\w+\}|\\s", pattern)):
+            pattern = pattern.replace(member, self.of(member))
+        return re.compile(pattern)
+
+    def normal(self, text: str) -> str:
+        """The normal form C in lower case, each letter lowered by itself."""
+        if not text.isascii():
+            text = self.nfc(text) if self.unknown.search(text) else unicodedata.normalize("NFC", text)
+            if self.odd and self.odd.search(text):
+                text = text.translate(self.lowered)
+        # Of all letters only the capital sigma is lowered by its place in str.lower.
+        return "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
+
+    def split(self, text: str) -> list[str]:
+        return self.spaces.split(text) if self.separators and self.separators.search(text) else text.split()
+
+
+@lru_cache(maxsize=1)
+def characters() -> Characters:
+    return Characters()
+
+
 class WordBpe:
     """One tokenizer file of the kind BPE with word ends; ``encode`` and ``decode`` as its library does."""
 
@@ -43,6 +122,8 @@ class WordBpe:
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
+        if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in spec["added_tokens"]):
+            raise ValueError("added tokens that take neighbouring characters or are looked for in normal forms are not supported")
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"])
         ids = self.vocab
@@ -56,7 +137,8 @@ class WordBpe:
         self.last = [ids.get(letters[b] + self.suffix) for b in range(256)]
         self.pieces = {i: piece for piece, i in {**self.vocab, **self.added}.items()}
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"])
+        self.characters = characters()
+        self.words = self.characters.compiled(split["pattern"]["Regex"])
         self.special = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         self.cached, self.cache, self.older, self.known = cached, {}, {}, {}
 
@@ -122,12 +204,8 @@ class WordBpe:
         return tuple(x for x, y in zip(parts, alive, strict=True) if y)
 
     def _plain(self, text: str) -> list[tuple[int, ...]]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        # Letters are lowered one by one; of them only the capital sigma is lowered by its place in str.lower.
-        text = "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
-        # No word spans white space. str.split also cuts at four separators that the pattern counts as symbols.
-        out, chunks = [], WHITE.split(text) if SEPARATORS.search(text) else text.split()
+        # No word spans white space.
+        out, chunks = [], self.characters.split(self.characters.normal(text))
         cache, chunk = self.cache, self.chunk
         for c in chunks:
             ids = cache.get(c)
@@ -139,7 +217,7 @@ class WordBpe:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text; strings of the file's added tokens in it stand for those tokens."""
-        if self.special is None or "<|" not in text or len(pieces := self.special.split(text)) == 1:
+        if not any(x in text for x in self.added) or len(pieces := self.special.split(text)) == 1:
             found = self._plain(text)
         else:
             found = []
