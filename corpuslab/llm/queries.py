@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import ann, bpe, fingerprints, langid, near_dedup, packing, secrets, toxicity, warc
+from .chat_format import ORACLE as ORACLE_OF_CHAT
 from .chat_format import op1_chat_format
 
 QUERIES = {
@@ -18,5 +19,7 @@ QUERIES = {
     "op10_ann": ann.op10_ann,
 }
 ORACLE: dict[str, str] = {
+    "op1_chat_format": ORACLE_OF_CHAT,
     "op3_warc": warc.ORACLE,
+    "op10_ann": ann.ORACLE,
 }
