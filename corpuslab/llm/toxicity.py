@@ -13,8 +13,9 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import held_out, table
+from .common import held_out, materialise, table
+from .components import connected_components
 
 # Letters that a character can stand for, beside itself if it is a letter.
 LOOKALIKES = {
@@ -34,13 +36,18 @@ FILLERS = " .-_~'`·​"
 EDGES = ".,;:!?\"'()[]{}<>|`*#$%&~-_/\\=+…«»„“”"
 #: What is trimmed when symbols at an edge are read as letters.
 EDGES_BEFORE, EDGES_AFTER = (EDGES.translate({ord(c): None for c in kept}) for kept in ("!$|(@", "$@"))
+#: A run of such symbols hides at most so many letters; the rest of a longer one is filler.
+MOST_HIDDEN = 4
 COST = {"lookalike": 0.7, "any": 3.0, "filler": 0.3, "repeat": 0.5, "literal": 6.0}
-BAND = "\x00"
 BEGINNINGS = (4, 5, 6, 7)
 #: From here on a character is a syllable or a word of its own script (ideographs, kana, syllable blocks).
 ALPHABET_END = 0x2E80
 _BEYOND = re.compile(f"[{chr(ALPHABET_END)}-\U0010ffff]")
 _SPACED = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*~]{1,2}[^\W_]){2,}(?!\w)")
+#: The second and third letter of a spaced run: a cheap test that every text with such a run passes.
+_MAY_BE_SPACED = re.compile(r"[ .\-_*~][^\W_][ .\-_*~]{1,2}[^\W_](?!\w)")
+_WIDE_GAP = re.compile(r"[ .\-_*~]{2}")
+_HIDDEN_RUN = re.compile(f"([{re.escape(ANY_LETTER)}]{{{MOST_HIDDEN}}})[{re.escape(ANY_LETTER)}]+")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
 
 
@@ -91,8 +98,82 @@ def trigrams_of(word: str) -> Iterator[str]:
     return (framed[i : i + 3] for i in range(len(framed) - 2))
 
 
+SPACE, LETTER, EDGE, OTHER = range(4)
+BEGIN, END = ord("^"), ord("$")
+
+
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """The kind of every code point; no letter lies beyond U+3FFFF."""
+    out = np.full(0x110000, OTHER, np.uint8)
+    for i in range(0x40000):
+        c = chr(i)
+        out[i] = SPACE if c.isspace() else LETTER if c.isalpha() else EDGE if c in EDGES else OTHER
+    return out
+
+
+def stretches(texts: Iterable[str], size: int = 1 << 20) -> Iterator[str]:
+    """The texts in lower case, joined and cut at white space to about ``size`` characters."""
+    held, n = [], 0
+    for text in texts:
+        at = 0
+        while at < len(text):
+            end = len(text) if len(text) - at <= size else at + size
+            while end < len(text) and not text[end].isspace():
+                end += 1
+            held.append(text[at:end].lower())
+            n, at = n + end - at, end
+            if n >= size:
+                yield "\n".join(held)
+                held, n = [], 0
+    if held:
+        yield "\n".join(held)
+
+
+def count_trigrams(text: str) -> Iterator[tuple[str, int]]:
+    """How often each trigram of ``trigrams_of`` occurs in the tokens that are letters once their edges are trimmed."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = kinds()[codes]
+    inner, letter = np.concatenate(([False], kind != SPACE)), np.concatenate(([False], kind == LETTER, [False]))
+    token = np.cumsum(inner[1:] & ~inner[:-1], dtype=np.int32)
+    starts, ends = np.flatnonzero(letter[1:-1] & ~letter[:-2]), np.flatnonzero(letter[1:-1] & ~letter[2:]) + 1
+    # A token counts if its letters are one run and nothing but edges lies around it.
+    of, n_tokens = token[starts], int(token[-1]) + 1 if len(token) else 1
+    bad = np.bincount(of, minlength=n_tokens) != 1
+    bad[token[kind == OTHER]] = True
+    starts, lengths = starts[~bad[of]], (ends - starts)[~bad[of]]
+    if not len(starts):
+        return
+    runs = np.arange(len(starts))
+    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    letters = np.minimum(codes[np.repeat(starts, lengths) + place], ALPHABET_END)
+    alphabet = np.flatnonzero(np.bincount(np.concatenate((letters, [BEGIN, END]))))
+    rank = np.zeros(ALPHABET_END + 1, np.int64)
+    rank[alphabet] = np.arange(len(alphabet))
+    framed = np.full(len(letters) + 3 * len(runs), rank[BEGIN])
+    framed[np.arange(len(letters)) + np.repeat(3 * runs + 2, lengths)] = rank[letters]
+    framed[np.cumsum(lengths + 3) - 1] = rank[END]
+    first = np.arange(len(letters) + len(runs)) + np.repeat(2 * runs, lengths + 1)
+    k = len(alphabet)
+    keys = (framed[first] * k + framed[first + 1]) * k + framed[first + 2]
+    if k**3 <= 1 << 22:
+        counts = np.bincount(keys)
+        keys = np.flatnonzero(counts)
+        counts = counts[keys]
+    else:
+        keys, counts = np.unique(keys, return_counts=True)
+    names = [chr(x) for x in alphabet]
+    for key, n in zip(keys.tolist(), counts.tolist(), strict=True):
+        yield names[key // k // k] + names[key // k % k] + names[key % k], n
+
+
 def restore(token: str, model: CharModel) -> str:
-    """The cheapest reading of a disguised token: Viterbi over states (last two letters), a step per character."""
+    """The cheapest reading of a disguised token: Viterbi over states (last two letters), a step per character.
+
+    Of a run of symbols that can stand for any letter only ``MOST_HIDDEN`` are read as letters or fillers, so there
+    are at most some 700 states at each step, and the time is in proportion to the length.
+    """
+    token = _HIDDEN_RUN.sub(r"\1", token)
     states: dict[tuple[str, str], tuple[float, tuple | None]] = {("^^", ""): (0.0, None)}
     for c in token:
         options: list[tuple[str, float]] = []
@@ -137,26 +218,69 @@ class Reader:
     def __init__(self, model: CharModel, kept: int = 60_000):
         self.model, self.kept, self.known = model, kept, {}
 
+    def readings(self, token: str) -> tuple[str, ...]:
+        word = plain(token)
+        found = (word,) if word else ()
+        # Some symbols that are trimmed at the edges may also be disguised letters.
+        for form in dict.fromkeys((word, token.lstrip(EDGES_BEFORE).rstrip(EDGES_AFTER))):
+            if form and len(form) > 2 and disguised(form):
+                found += (restore(form, self.model),)
+        return found
+
     def token(self, token: str) -> tuple[str, ...]:
         found = self.known.get(token)
         if found is None:
-            word = plain(token)
-            found = (word,) if word else ()
-            # Some symbols that are trimmed at the edges may also be disguised letters.
-            for form in dict.fromkeys((word, token.lstrip(EDGES_BEFORE).rstrip(EDGES_AFTER))):
-                if form and len(form) > 2 and disguised(form):
-                    found += (restore(form, self.model),)
             if len(self.known) >= self.kept:
                 self.known = {}
-            self.known[token] = found
+            found = self.known[token] = self.readings(token)
         return found
 
+    def spaced(self, low: str) -> set[str]:
+        """Words written with their letters apart: whole runs, and what lies between the wider gaps of a run."""
+        out = set()
+        if _MAY_BE_SPACED.search(low):
+            for run in _SPACED.findall(low):
+                out.add(restore(run, self.model))
+                parts = _WIDE_GAP.split(run)
+                if 1 < len(parts) < (len(run) + 1) // 2:
+                    out.update(restore(x, self.model) for x in parts if len(x) > 2)
+        return out
+
     def words(self, text: str) -> set[str]:
         low = text.lower()
-        out = {w for t in set(low.split()) for w in self.token(t)}
-        for run in _SPACED.findall(low):
-            out.add(restore(run, self.model))
-        return out
+        return {w for t in set(low.split()) for w in self.token(t)} | self.spaced(low)
+
+
+class Scorer(Reader):
+    """For each text the surest feature of each of its words; tokens' features are kept in a bounded memory."""
+
+    def __init__(self, model: CharModel, weights: dict[str, float], kept: int = 200_000):
+        super().__init__(model, kept)
+        self.weights, self.starts = weights, {f[:4] for f in weights}
+
+    def of_word(self, word: str) -> str:
+        return min((f for f in features_of(word) if f in self.weights), key=self.weights.get, default="")
+
+    def of_token(self, token: str) -> tuple[str, ...]:
+        if token.isalpha() and token[:4] not in self.starts and not _REPEATED.search(token):
+            found = ()
+        else:
+            found = tuple({f for w in self.readings(token) if (f := self.of_word(w))})
+        if len(self.known) >= self.kept:
+            self.known = {}
+        self.known[token] = found
+        return found
+
+    def features(self, text: str) -> set[str]:
+        low, get, found = text.lower(), self.known.get, set()
+        for token in set(low.split()):
+            own = get(token)
+            if own is None:
+                own, get = self.of_token(token), self.known.get
+            if own:
+                found.update(own)
+        found.update(f for w in self.spaced(low) if (f := self.of_word(w)))
+        return found
 
 
 @dataclass
@@ -167,26 +291,14 @@ class Model:
     base: float
 
 
-def char_model(docs: DataFrame, held_words: int = 50_000) -> CharModel:
-    """Character trigrams of the plain words of all texts, added up per task; words are counted before they are cut."""
+def char_model(docs: DataFrame) -> CharModel:
+    """Character trigrams of the plain words of all texts, added up per task before they are grouped."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, words = Counter(), Counter()
-
-        def cut() -> None:
-            for token, n in words.items():
-                word = plain(token)
-                if word.isalpha():
-                    for gram in trigrams_of(word):
-                        grams[gram] += n
-            words.clear()
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                words.update(text.lower().split())
-                if len(words) > held_words:
-                    cut()
-        cut()
+        grams: dict[str, int] = {}
+        for stretch in stretches(text.as_py() for batch in batches for text in batch.column("text")):
+            for gram, n in count_trigrams(stretch):
+                grams[gram] = grams.get(gram, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())], ["gram", "n"])
 
     counted = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(count, "gram string, n long")
@@ -207,25 +319,23 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 30_000, least_ro
     known = known.where(~held_out())
     share = min(1.0, train_rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < share * (1 << 20))
-    from .common import materialise
-
     train = materialise(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id"), "toxicity-train")
 
     chars = char_model(docs)
     shared = docs.sparkSession.sparkContext.broadcast(chars)
 
+    toxic_rows = copies_counted_once(train.where("toxic = 1"))
+
     def toxic_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
         for batch in batches:
-            for text, doc_id in zip(batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), strict=True):
+            for text, doc_id, group in zip(*(batch.column(c).to_pylist() for c in ("text", "doc_id", "group")), strict=True):
                 found = sorted({f for w in reader.words(text) for f in features_of(w)})
-                bands = [f"{BAND}{x}" for x in copy_bands(text)]
-                yield pa.RecordBatch.from_arrays([pa.array(found + bands, pa.string()), pa.array([doc_id] * (len(found) + len(bands)), pa.int64())], ["feature", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array([x] * len(found), pa.int64()) for x in (doc_id, group))], ["feature", "doc_id", "group"])
 
-    rows = train.where("toxic = 1").select("text", "doc_id").mapInArrow(toxic_features, "feature string, doc_id long")
-    covers = {r["feature"]: r["rows"] for r in rows.groupBy("feature").agg(F.collect_set("doc_id").alias("rows")).where((F.size("rows") >= least_rows) | F.col("feature").startswith(BAND) & (F.size("rows") > 1)).collect()}
-    group = copy_groups(x for f, x in covers.items() if f.startswith(BAND))
-    covers = {f: len({group.get(x, x) for x in rows}) for f, rows in covers.items() if not f.startswith(BAND)}
+    rows = toxic_rows.select("text", "doc_id", "group").mapInArrow(toxic_features, "feature string, doc_id long, group long")
+    counted = rows.distinct().groupBy("feature").agg(F.count("*").alias("rows"), F.count_distinct("group").alias("n")).where(F.col("rows") >= least_rows)
+    covers = {r["feature"]: r["n"] for r in counted.collect()}
     wanted = docs.sparkSession.sparkContext.broadcast(frozenset(covers))
 
     def clean_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,21 +370,18 @@ def copy_bands(text: str, bands: int = 8, width: int = 4) -> list[int]:
     return [zlib.crc32(row.tobytes(), i) for i, row in enumerate(lowest)]
 
 
-def copy_groups(sets) -> dict[int, int]:
-    """Row -> the smallest row that shares a band with it, directly or through others."""
-    parent: dict[int, int] = {}
+def copies_counted_once(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``group``: the smallest doc_id that shares a band with the row, directly or through others."""
 
-    def root(x: int) -> int:
-        while (y := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[y]
-        return x
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(band, doc_id) for text, doc_id in zip(batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), strict=True) for band in copy_bands(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], ["band", "doc_id"])
 
-    for rows in sets:
-        first = root(rows[0])
-        for other in map(root, rows[1:]):
-            low, high = sorted((first, other))
-            parent[high] = first = low
-    return {x: root(x) for x in parent}
+    bands = materialise(rows.select("text", "doc_id").mapInArrow(cut, "band long, doc_id long"), "toxicity-bands")
+    low = bands.groupBy("band").agg(F.min("doc_id").alias("low"))
+    groups = connected_components(bands.join(low, "band").select(F.col("doc_id").alias("u"), F.col("low").alias("v")))
+    return rows.join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group")), "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id"))
 
 
 def score_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -290,20 +397,12 @@ def score_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        reader, weights, hits = Reader(model.chars), model.weights, {}
+        scorer = Scorer(model.chars, model.weights)
         for batch in batches:
             scores, words = [], []
             for text in batch.column("__text").to_pylist():
-                found = set()
-                for word in reader.words(text or ""):
-                    own = hits.get(word)
-                    if own is None:
-                        if len(hits) >= reader.kept:
-                            hits.clear()
-                        own = hits[word] = min((f for f in features_of(word) if f in weights), key=weights.get, default="")
-                    if own:
-                        found.add(own)
-                scores.append(1 - math.exp(model.base + sum(weights[f] for f in found)))
+                found = scorer.features(text or "")
+                scores.append(1 - math.exp(model.base + sum(model.weights[f] for f in sorted(found))))
                 words.append(sorted(found))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array(words, pa.list_(pa.string()))], [*keep, "tox_score", "tox_words"])
 
