@@ -10,6 +10,10 @@ Documents with equal sets form a class and take part as one. Within a bucket of
 tested: a class is first tested against one bucket mate that it shares most keys with. What is then connected need
 not be tested again; classes that share a key and are still apart are tested in blocks on inverted lists, a
 class against all of the groups that it shares a key with, and only links that join two components leave a task.
+
+Buckets are judged by minima and maxima per key, which Spark adds up before it shuffles, and these figures are
+written before rows are joined to them, so that the join of a hot key is one that Spark splits. Joins whose sides
+both grow with the input are merge joins at every size.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, table
@@ -94,8 +99,32 @@ def _signed(docs: DataFrame, size: int, symbols: int) -> DataFrame:
     return rows.mapInArrow(run, "row long, doc_id long, n long, d1 long, d2 long, sig binary")
 
 
-def index_keys(signatures: DataFrame, chunks: int, width: int, errors: int) -> DataFrame:
-    """(key, node): for every chunk and every choice of ``errors`` symbols that may be wrong, a hash of the others."""
+def bitmap_of(ids: DataFrame, most_bits: int = 27) -> tuple[int, np.ndarray]:
+    """(log2 of the size in bits, words) of a bitmap of a column of hashes: 16 bits per row, 2**most_bits at most.
+
+    It only lets rows through that a join then tests exactly. Beyond 2**most_bits bits (16 MB), which is the bound of
+    what is broadcast, more rows get through; none is lost.
+    """
+    (name,) = ids.columns
+    log_bits = min(most_bits, max(10, (16 * ids.count()).bit_length()))
+    places = ids.select(F.pmod(F.col(name), F.lit(1 << log_bits)).alias("place"))
+    words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits")).toPandas()
+    bitmap = np.zeros(1 << (log_bits - 6), np.int64)
+    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return log_bits, bitmap.view(_U64)
+
+
+def _held(bitmap: tuple[int, np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    """Which of ``hashes`` (int64) may be in the bitmap."""
+    place = hashes & ((1 << bitmap[0]) - 1)
+    return np.flatnonzero((bitmap[1][place >> 6] >> (place & 63).astype(_U64)) & _U64(1))
+
+
+def index_keys(signatures: DataFrame, chunks: int, width: int, errors: int, only: Broadcast | None = None) -> DataFrame:
+    """(key, node): for every chunk and every choice of ``errors`` symbols that may be wrong, a hash of the others.
+
+    ``only``: a bitmap of the keys that may be wanted.
+    """
     choices = [[x for x in range(width) if x not in wrong] for wrong in itertools.combinations(range(width), errors)]
     schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
 
@@ -111,8 +140,11 @@ def index_keys(signatures: DataFrame, chunks: int, width: int, errors: int) -> D
                         h = _mix(h * _STEP + symbols[:, :, j])
                     keys.append(h)
                 keys = np.stack(keys, axis=2).reshape(part.num_rows, -1)
-                nodes = np.repeat(part.column("node").to_numpy(), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(nodes)], schema=schema)
+                nodes, keys = np.repeat(part.column("node").to_numpy(), keys.shape[1]), keys.ravel().astype(np.int64)
+                if only is not None:
+                    held = _held(only.value, keys)
+                    nodes, keys = nodes[held], keys[held]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes)], schema=schema)
 
     return signatures.select("node", "sig").mapInArrow(run, "key long, node long")
 
@@ -135,7 +167,7 @@ def _linked(targets: list[tuple[int, int, np.ndarray]]):
     return similar
 
 
-def confirm(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int, block: int = 512, together: int = 2048) -> DataFrame:
+def confirm(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int, block: int = 256, together: int = 256) -> DataFrame:
     """Components (u, v) that a link between a query (grp, node) and a member (grp, node) of its group joins.
 
     Links are confirmed on full sets, ``sets``: (node, component, shingles). Members are dealt to blocks and queries
@@ -143,12 +175,12 @@ def confirm(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: in
     """
     part = lambda n, per: F.ceil(F.col(n) / per).cast("int")
     counts = members.groupBy("grp").agg(F.count("*").alias("n_members")).join(queries.groupBy("grp").agg(F.count("*").alias("n_queries")), "grp")
-    counts = counts.select("grp", part("n_members", block).alias("blocks"), part("n_queries", together).alias("batches"))
+    counts = materialise(counts.select("grp", part("n_members", block).alias("blocks"), part("n_queries", together).alias("batches")), "dedup-counts")
     of = lambda n: F.pmod(F.xxhash64("node", F.lit(17)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = members.join(counts, "grp").select("grp", of("blocks").alias("block"), every("batches").alias("batch"), F.lit(0).alias("asks"), "node")
-    right = queries.join(counts, "grp").select("grp", every("blocks").alias("block"), of("batches").alias("batch"), F.lit(1).alias("asks"), "node")
-    dealt = left.unionByName(right).join(sets, "node").repartition("grp", "block", "batch").sortWithinPartitions("grp", "block", "batch", "asks")
+    left = members.join(counts.hint("merge"), "grp").select("grp", of("blocks").alias("block"), every("batches").alias("batch"), F.lit(0).alias("asks"), "node")
+    right = queries.join(counts.hint("merge"), "grp").select("grp", every("blocks").alias("block"), of("batches").alias("batch"), F.lit(1).alias("asks"), "node")
+    dealt = left.unionByName(right).join(sets.hint("merge"), "node").repartition("grp", "block", "batch").sortWithinPartitions("grp", "block", "batch", "asks")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,32 +202,49 @@ def confirm(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: in
     return dealt.select("grp", "block", "batch", "asks", "node", "component", "shingles").mapInArrow(run, "u long, v long")
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, size: int, log_bits: int = 24) -> DataFrame:
+def star_links(queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, grp) of the queries (node, grp) whose set is similar to that of the class ``grp``, the centre it meets."""
+    own = queries.join(sets.hint("merge"), "node")
+    centres = sets.select(F.col("node").alias("grp"), F.col("shingles").alias("of_centre"))
+    both = F.size(F.array_intersect("shingles", "of_centre"))
+    similar = 100 * both >= percent * (F.size("shingles") + F.size("of_centre") - both)
+    return own.join(centres.hint("merge"), "grp").where(similar).select("node", "grp")
+
+
+def _node_hash(column: str):
+    return F.xxhash64(column, F.lit(23))
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(node, shingles array<long>) of the classes in ``nodes`` (node, d1), from the rows that stand for them.
 
-    Texts stay where they are read: a bitmap of the wanted ids' hashes, 2**log_bits bits whatever the input, tells
-    which rows may be wanted; sets of those alone are shuffled to the join that drops what the bitmap let through.
+    Texts stay where they are read: a bitmap of the wanted ids' hashes tells which rows may be wanted; sets of
+    those alone are shuffled to the join that drops what the bitmap let through.
     """
-    place = lambda c: F.pmod(F.xxhash64(c, F.lit(23)), F.lit(1 << log_bits))
-    bit = F.expr("shiftleft(1L, cast(h % 64 as int))")
-    words = nodes.select(place("node").alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
-    bitmap = np.zeros(1 << (log_bits - 6), np.int64)
-    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap.view(_U64))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(nodes.select(_node_hash("node").alias("h"))))
     schema = pa.schema([("node", pa.int64()), ("d1", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column("h").to_numpy()
-            wanted = np.flatnonzero((shared.value[h >> 6] >> (h & 63).astype(_U64)) & _U64(1))
-            batch = batch.take(pa.array(wanted))
+            batch = batch.take(pa.array(_held(shared.value, batch.column("h").to_numpy())))
             sets = [shingles(text.as_py(), size) for text in batch.column("text")]
             digests = [int(_mix(x).sum(dtype=_U64).astype(np.int64)) for x in sets]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(digests, pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], schema=schema)
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text", place("doc_id").alias("h"))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text", _node_hash("doc_id").alias("h"))
     found = rows.mapInArrow(run, "node long, d1 long, shingles array<long>")
-    return found.join(nodes.select("node", "d1"), ["node", "d1"], "left_semi").dropDuplicates(["node", "d1"]).select("node", "shingles")
+    return found.join(nodes.select("node", "d1").hint("merge"), ["node", "d1"], "left_semi").dropDuplicates(["node", "d1"]).select("node", "shingles")
+
+
+def _sets_for(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``sets`` that ``nodes`` (node) may want: a bitmap spares the shuffle of the others."""
+    shared = sets.sparkSession.sparkContext.broadcast(bitmap_of(nodes.select(_node_hash("node").alias("h"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.take(pa.array(_held(shared.value, batch.column("h").to_numpy()))).select(["node", "shingles"])
+
+    return sets.withColumn("h", _node_hash("node")).mapInArrow(run, "node long, shingles array<long>")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle_words: int = 5, chunks: int = 10, width: int = 6, errors: int = 1, rounds: int = 2) -> DataFrame:
@@ -210,45 +259,52 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle_words: int = 5,
     signed = materialise(_signed(docs, shingle_words, chunks * width), "dedup-signed")
     usable = signed.where("n > 0 and doc_id is not null")
     classes = materialise(usable.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), F.min_by("sig", "doc_id").alias("sig")), "dedup-classes")
-    keys = index_keys(classes, chunks, width, errors)
-    by_key = Window.partitionBy("key")
-    shared = keys.withColumn("lo", F.min("node").over(by_key)).withColumn("hi", F.max("node").over(by_key)).where("lo < hi").select("key", "node")
-    shared = materialise(shared, "dedup-keys")
-    nodes = shared.select("node").distinct().join(classes.select("node", "d1"), "node")
+    lowest = index_keys(classes, chunks, width, errors).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    met = materialise(lowest.where("lo < hi").select("key"), "dedup-met")
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(met))
+    shared = materialise(index_keys(classes, chunks, width, errors, wanted).join(met.hint("merge"), "key", "left_semi"), "dedup-keys")
+    nodes = shared.select("node").distinct().join(classes.select("node", "d1").hint("merge"), "node")
     sets = materialise(_sets_of(docs, nodes, shingle_words), "dedup-sets")
     labels = materialise(shared.select("node").distinct().withColumn("component", F.col("node")), "dedup-labels")
 
     anchors = None
     for number in range(rounds + 1):
-        apart = shared.join(labels, "node").withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key)).where("lo < hi")
+        labelled = shared.join(labels.hint("merge"), "node")
+        best = F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("h"), "node", "component")).alias("best")
+        per_key = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), best).where("lo < hi")
+        per_key = materialise(per_key.select("key", F.col("best.node").alias("grp"), F.col("best.component").alias("of_grp")), "dedup-apart")
+        apart = labelled.join(per_key.hint("merge"), "key")
         if number < rounds:
             # A star round: every class meets the centre it shares most keys with, if they are apart.
-            centred = apart.withColumn("best", F.min(F.struct(F.xxhash64("node", F.lit(number)), "node", "component")).over(by_key)).where(F.col("best.component") != F.col("component"))
-            shares = materialise(centred.groupBy("node", F.col("best.node").alias("grp")).agg(F.count("*").alias("n")), "dedup-shares")
+            shares = materialise(apart.where("of_grp <> component").groupBy("node", "grp").agg(F.count("*").alias("n")), "dedup-shares")
             queries = materialise(shares.groupBy("node").agg(F.max(F.struct("n", F.negative("grp").alias("g"))).alias("x")).select("node", F.negative("x.g").alias("grp")), "dedup-queries")
             if anchors is None:
                 # Of the centres a class meets, the one that most classes meet: few groups cover a dense cluster.
-                popular = shares.groupBy("grp").agg(F.count("*").alias("p"))
-                anchors = shares.join(popular, "grp").groupBy("node").agg(F.max(F.struct("p", F.negative("grp").alias("g"))).alias("x")).select("node", F.negative("x.g").alias("grp"))
+                popular = materialise(shares.groupBy("grp").agg(F.count("*").alias("p")), "dedup-popular")
+                anchors = shares.join(popular.hint("merge"), "grp").groupBy("node").agg(F.max(F.struct("p", F.negative("grp").alias("g"))).alias("x")).select("node", F.negative("x.g").alias("grp"))
                 anchors = materialise(anchors, "dedup-anchors")
-            members = queries.select("grp").distinct().withColumn("node", F.col("grp"))
+            asking = queries.select("node").unionByName(queries.select(F.col("grp").alias("node")).distinct())
+            linked = materialise(star_links(queries, _sets_for(sets, asking), percent), "dedup-linked")
+            ends = linked.join(labels.select("node", F.col("component").alias("u")).hint("merge"), "node")
+            found = ends.join(labels.select(F.col("node").alias("grp"), F.col("component").alias("v")).hint("merge"), "grp").select("u", "v").distinct()
         else:
             # What is still apart: a group is a component, with the lone classes that first met one of its members.
-            sizes = labels.groupBy("component").agg(F.count("*").alias("n"))
-            centre = anchors.join(labels.select(F.col("node").alias("grp"), F.col("component").alias("anchor")), "grp").select("node", "anchor")
-            grouped = labels.join(sizes, "component").join(centre, "node", "left").select("node", "component", F.when((F.col("n") > 1) | F.col("anchor").isNull(), F.col("component")).otherwise(F.col("anchor")).alias("own"))
+            sizes = materialise(labels.groupBy("component").agg(F.count("*").alias("n")), "dedup-sizes")
+            centre = anchors.join(labels.select(F.col("node").alias("grp"), F.col("component").alias("anchor")).hint("merge"), "grp").select("node", "anchor")
+            grouped = labels.join(sizes.hint("merge"), "component").join(centre.hint("merge"), "node", "left").select("node", "component", F.when((F.col("n") > 1) | F.col("anchor").isNull(), F.col("component")).otherwise(F.col("anchor")).alias("own"))
             grouped = materialise(grouped, "dedup-groups")
-            met = apart.select("key", "node").join(grouped, "node")
-            groups = met.select("key", F.col("own").alias("grp")).distinct()
-            asked = met.join(groups, "key").where((F.col("own") > F.col("grp")) | (F.col("own") == F.col("grp")) & (F.col("component") != F.col("grp")))
+            unlinked = materialise(apart.select("key", "node").join(grouped.hint("merge"), "node"), "dedup-unlinked")
+            groups = materialise(unlinked.select("key", F.col("own").alias("grp")).distinct(), "dedup-key-groups")
+            asked = unlinked.join(groups.hint("merge"), "key").where((F.col("own") > F.col("grp")) | (F.col("own") == F.col("grp")) & (F.col("component") != F.col("grp")))
             queries = materialise(asked.select("grp", "node").distinct(), "dedup-queries")
-            members = grouped.select(F.col("own").alias("grp"), "node")
-        found = materialise(confirm(queries, members, sets.join(labels, "node"), percent), "dedup-links")
-        joined = connected_components(found).select(F.col("node").alias("component"), F.col("component").alias("low"))
+            members = grouped.select(F.col("own").alias("grp"), "node").join(queries.select("grp").distinct(), "grp", "left_semi")
+            asking = queries.select("node").unionByName(members.select("node")).distinct()
+            found = confirm(queries, members, _sets_for(sets, asking).join(labels.hint("merge"), "node"), percent)
+        joined = connected_components(materialise(found, "dedup-links")).select(F.col("node").alias("component"), F.col("component").alias("low"))
         labels = materialise(labels.join(joined, "component", "left").select("node", F.coalesce("low", "component").alias("component")), "dedup-labels")
 
-    of_class = classes.select("n", "d1", "d2", "node").join(labels, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component"))
-    out = signed.join(of_class, ["n", "d1", "d2"], "left")
+    of_class = classes.select("n", "d1", "d2", "node").join(labels.hint("merge"), "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component"))
+    out = signed.join(of_class.hint("merge"), ["n", "d1", "d2"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
