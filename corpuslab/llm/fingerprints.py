@@ -9,10 +9,11 @@ to another is the share of its fingerprint's length whose digests the other fing
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,40 +80,39 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
-def with_next(docs: DataFrame, rows_per_part: int = 4000, most_parts: int = 4096) -> DataFrame:
+def with_next(docs: DataFrame, rows_per_part: int = 4000) -> DataFrame:
     """Rows (part, lent, doc_id, text) dealt so that within a part each document is followed by its next one.
 
-    Order: descending doc_id, null ids last, ties by a hash of the text; the first follows the last. Parts are
-    ranges of ids between approximate quantiles, and the first document of each part is also lent to the part
-    before. Only part limits (at most ``most_parts`` numbers) reach the driver, and texts are shuffled once.
+    Order: descending doc_id, null ids last, ties by a hash of the text; the first follows the last. Ids and hashes
+    alone are dealt by ranges first, about ``rows_per_part`` rows to a part; where a part begins is all that reaches
+    the driver and, broadcast, the tasks: two numbers for ``rows_per_part`` documents. Texts are shuffled once, each
+    to its part's own partition, and the first document of each part also to the part before. Part by part, the
+    work does not grow with the input, nor with the rows of one id.
     """
     spark = docs.sparkSession
-    n = docs.count()
-    parts = int(min(most_parts, max(2 * spark.sparkContext.defaultParallelism, -(-n // rows_per_part))))
-    side = max(2, int(np.ceil(np.sqrt(parts))))
-    fractions = [i / side**2 for i in range(1, side**2)]
-    cuts = docs.agg(F.percentile_approx("doc_id", fractions, 10 * side**2).alias("cuts")).first()["cuts"]
-    cuts = sorted(set(cuts or []), reverse=True)
-    step = max(1, -(-len(cuts) // side))
-    # A part is found in two steps of about the square root of their number.
-    fine = [cuts[i : i + step] for i in range(0, len(cuts), step)] or [[]]
-    coarse = [x[0] for x in fine[1:]]
-    longs = lambda values: F.array(*[F.lit(int(v)).cast("long") for v in values]).cast("array<long>")
-    block = F.size(F.filter(longs(coarse), lambda c: c >= F.col("doc_id")))
-    found = block * (step + 1) + F.size(F.filter(F.element_at(F.array(*map(longs, fine)), block + 1), lambda c: c >= F.col("doc_id")))
-    placed = docs.select("doc_id", "text").withColumn("part", F.when(F.col("doc_id").isNull(), (len(fine) + 1) * (step + 1)).otherwise(found))
-    firsts = {r["part"]: r["first"] for r in placed.groupBy("part").agg(F.max("doc_id").alias("first")).collect()}
-    order = sorted(firsts)
-    # By part: its first document's id, and the part before it, to which that document is lent.
-    first_of, lent_to = [None] * (order[-1] + 1 if order else 1), [None] * (order[-1] + 1 if order else 1)
-    for part, earlier in zip(order, [order[-1], *order[:-1]] if order else [], strict=True):
-        first_of[part], lent_to[part] = firsts[part], earlier
-    at = lambda values, kind: F.element_at(F.array(*map(F.lit, values)).cast(f"array<{kind}>"), F.col("part") + 1)
-    own = F.struct(F.col("part"), F.lit(0).alias("lent"))
-    lent = F.struct(at(lent_to, "int").alias("part"), F.lit(1).alias("lent"))
-    places = F.when(F.col("doc_id").eqNullSafe(at(first_of, "long")), F.array(own, lent)).otherwise(F.array(own))
-    dealt = placed.select(F.explode(places).alias("place"), "doc_id", "text").select("place.part", "place.lent", "doc_id", "text")
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "lent", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+    key = [F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("place"), F.xxhash64("text").alias("h")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", *key, "text")
+    order = ["no_id", "place", "h"]
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-docs.count() // rows_per_part))
+    ids = rows.select(*order).repartitionByRange(parts, *order)
+    found = ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*order)).alias("k")).select("k.*").collect()
+    firsts = sorted(map(tuple, found))
+    shared = spark.sparkContext.broadcast(firsts)
+
+    @F.pandas_udf("long")
+    def part_of(no_id: pd.Series, place: pd.Series, h: pd.Series) -> pd.Series:
+        """Twice the number of a row's part, and one more for its first row."""
+        firsts = shared.value
+        keys = list(zip(no_id.tolist(), place.tolist(), h.tolist(), strict=True))
+        at = [bisect_right(firsts, key) - 1 for key in keys]
+        return pd.Series([2 * i + (firsts[i] == key) for i, key in zip(at, keys, strict=True)], dtype="int64")
+
+    placed = rows.withColumn("code", part_of(*order)).withColumn("part", F.shiftright("code", 1))
+    own = F.struct("part", F.lit(0).alias("lent"))
+    lent = F.struct(F.pmod(F.col("part") - 1, F.lit(max(1, len(firsts)))).alias("part"), F.lit(1).alias("lent"))
+    places = F.when(F.col("code") % 2 == 1, F.array(own, lent)).otherwise(F.array(own))
+    dealt = placed.select(F.explode(places).alias("place"), "doc_id", *[F.col(c).alias(f"by_{c}") for c in order], "text").select(F.col("place.part").cast("int").alias("part"), "place.lent", "doc_id", *[f"by_{c}" for c in order], "text")
+    return dealt.repartitionById(max(1, len(firsts)), "part").sortWithinPartitions("part", "lent", *[f"by_{c}" for c in order]).select("part", "lent", "doc_id", "text")
 
 
 def edit_likeness(docs: DataFrame) -> DataFrame:
