@@ -3,7 +3,8 @@
 Bins are kept in order of their residual space and carry two bitmaps: the sources and the duplicate clusters they
 hold. A piece goes into the tightest bin that has room and shares neither its source nor its cluster; the search
 starts at the smallest sufficient residual and goes on to the next larger one until a compatible bin is found, and
-opens a new bin if there is none. Long documents are cut into full-length pieces and a rest.
+opens a new bin if there is none. Long documents are cut into full-length pieces and a rest. Each bin leaves as one
+sequence of token ids with the boundaries of its pieces.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,73 +52,81 @@ def pack(pieces: list[tuple[int, object, object]], capacity: int) -> list[tuple[
     return out
 
 
-def words_and_end(column: str = "text"):
-    """Default length of a text: its words and one end marker; null and blank texts have the marker alone."""
-    text = F.trim(F.regexp_replace(text_or_empty(column), r"\s+", " "))
-    return (F.when(text == "", 0).otherwise(F.char_length(text) - F.char_length(F.replace(text, F.lit(" "), F.lit(""))) + 1) + 1).cast("long")
+PIECE = "row long, doc_id long, piece int, length int, source string, cluster string, ids array<int>"
+SEQUENCE = "bin_id long, length int, input_ids array<int>, starts array<int>, doc_ids array<long>, offsets array<long>, sources array<string>"
 
 
-def pack_documents(docs: DataFrame, capacity: int = 2048, shard_pieces: int = 4096, length=None, cluster=None) -> DataFrame:
-    """Pieces of documents in bins: (bin_id, start, length, doc_id, piece, source), every piece once.
+def pieces_of(rows: DataFrame, path: str, capacity: int) -> DataFrame:
+    """Rows (row, doc_id, source, cluster, text) -> pieces: up to ``capacity`` ids of a whole text and its end marker."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("length", pa.int32()), ("source", pa.string()), ("cluster", pa.string()), ("ids", pa.list_(pa.int32()))])
 
-    ``docs``: doc_id, text, source. ``length`` and ``cluster`` are columns; by default words plus an end marker,
-    and a hash of the text, so that copies of one text lie in different bins. Pieces are dealt by hash to shards of
-    about ``shard_pieces``, whose number grows with the input, and packed within a shard from long to short: a
-    source or cluster that holds a third of all rows holds a third of each shard. Null texts have length 1; a
-    null source conflicts with none; null ids and repeated rows are packed like others. Other columns are ignored;
-    an empty table gives no row. Texts are not shuffled.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        end = np.array([bpe.added["<|endoftext|>"]], np.uint32)
+        for batch in batches:
+            taken, number, cuts = [], [], []
+            for i, text in enumerate(batch.column("text")):
+                ids = np.concatenate((bpe.encode(text.as_py() or ""), end)).astype(np.int32)
+                for at in range(0, len(ids), capacity):
+                    taken.append(i)
+                    number.append(at // capacity)
+                    cuts.append(ids[at : at + capacity])
+            of = batch.take(pa.array(taken, pa.int64()))
+            columns = {"piece": number, "length": [len(x) for x in cuts], "ids": cuts}
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else of.column(f.name) for f in schema], schema=schema)
+
+    return rows.select("row", "doc_id", "source", "cluster", "text").mapInArrow(run, PIECE)
+
+
+def pack_documents(docs: DataFrame, clusters: DataFrame | None = None, capacity: int = 2048, shard_pieces: int = 4096, tokenizer: str | None = None) -> DataFrame:
+    """Training sequences of up to ``capacity`` token ids, a row each: every token of every text is in one of them.
+
+    Per sequence: bin_id, length, input_ids, and for each piece in it where it starts (``starts``), its document
+    (``doc_ids``), the place of its first token in that document (``offsets``) and its source. Boundaries and
+    positions follow: token i of the piece that starts at s has position offset + i - s, and attends from s on.
+
+    ``docs``: doc_id, text, source. ``clusters``: (doc_id, cluster) of near copies; a document without one has its
+    text's hash, so that copies of one text lie in different bins. Every text ends with an end marker. Pieces are
+    dealt by a hash of their row to shards of about ``shard_pieces``, whose number grows with the input, and packed
+    within a shard from long to short: a source, cluster or id that holds a third of all rows holds a third of each
+    shard. Null texts are an end marker alone; a null source conflicts with none; null ids and repeated rows are
+    packed like others. Other columns are ignored; an empty table gives no row.
     """
-    length = words_and_end() if length is None else length
-    cluster = F.xxhash64(text_or_empty()) if cluster is None else cluster
-    rows = docs.select("doc_id", "source", length.alias("n"), cluster.alias("cluster"))
-    whole = F.ceil(F.col("n") / capacity).cast("long")
-    pieces = rows.select("doc_id", "source", "n", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(whole, F.lit(1)) - 1)).alias("piece"))
-    pieces = pieces.select("doc_id", "source", "cluster", "piece", F.greatest(F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity), F.lit(1)).cast("long").alias("length"))
-    shards = max(1, -(-rows.agg(F.sum(F.greatest(whole, F.lit(1)))).first()[0] // shard_pieces)) if not rows.isEmpty() else 1
-    # Pieces of one document may share a shard: they have one cluster, so never one bin.
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "piece"), F.lit(shards))).repartition("shard")
-    ordered = dealt.sortWithinPartitions("shard", F.desc("length"), "doc_id", "cluster", "piece", "source")
-    schema = pa.schema([("bin_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int64()), ("source", pa.string())])
+    own = F.concat(F.lit("text "), F.xxhash64(text_or_empty()).cast("string"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_or_empty().alias("text"))
+    if clusters is None:
+        rows = rows.withColumn("cluster", own)
+    else:
+        per_id = clusters.where("doc_id is not null").groupBy("doc_id").agg(F.min("cluster").cast("string").alias("cluster"))
+        per_id = materialise(per_id, "packing-clusters")
+        rows = rows.join(per_id, "doc_id", "left").withColumn("cluster", F.coalesce("cluster", own))
+    # About how many pieces there will be: a token has some three characters.
+    sizes = docs.agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars")).first()
+    shards = max(1, -(-(sizes["n"] + (sizes["chars"] or 0) // (3 * capacity)) // shard_pieces))
+    pieces = pieces_of(rows, tokenizer or default_tokenizer(), capacity)
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).cast("int")).repartitionById(shards, "shard")
+    ordered = dealt.sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece", "row")
+    schema = pa.schema([("bin_id", pa.int64()), ("length", pa.int32()), ("input_ids", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("sources", pa.list_(pa.string()))])
     names = ("shard", "length", "source", "cluster", "doc_id", "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True))
+        rows = ((*row, ids.values.to_numpy()) for batch in batches for *row, ids in zip(*(batch.column(c).to_pylist() for c in names), batch.column("ids"), strict=True))
         for shard, group in groupby(rows, key=lambda row: row[0]):
             held = list(group)
-            placed = pack([row[1:4] for row in held], capacity)
-            columns = zip(*(((shard << 32) + number, start, n, doc_id, piece, source) for (number, start), (_, n, source, _, doc_id, piece) in zip(placed, held, strict=True)), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
-
-    return ordered.select(*names).mapInArrow(run, "bin_id long, start long, length long, doc_id long, piece long, source string")
-
-
-def token_lengths(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, n, text_hash) of every row: n counts the tokens of the whole text and an end marker."""
-    path = default_tokenizer()
+            bins: dict[int, list] = {}
+            for (number, start), (_, _, source, _, doc_id, piece, ids) in zip(pack([row[1:4] for row in held], capacity), held, strict=True):
+                bins.setdefault(number, []).append((start, doc_id, piece * capacity, source, ids))
+            for number, inside in bins.items():
+                starts, doc_ids, offsets, sources, ids = zip(*inside, strict=True)
+                whole = np.concatenate(ids)
+                values = ((shard << 32) + number, len(whole), whole, starts, doc_ids, offsets, sources)
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, schema, strict=True)], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        for batch in batches:
-            n = pa.array([len(bpe.encode(x or "")) + 1 for x in batch.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), n, batch.column("text_hash")], ["doc_id", "source", "n", "text_hash"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", F.xxhash64(text_or_empty()).alias("text_hash"))
-    return materialise(rows.mapInArrow(run, "doc_id long, source string, n long, text_hash long"), "packing-lengths")
-
-
-def pack_tokens(docs: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
-    """``docs`` packed by their tokens. ``clusters``: (doc_id, cluster) of near copies; a row without one has its text's hash."""
-    counted = token_lengths(docs)
-    own = F.concat(F.lit("text "), F.col("text_hash").cast("string"))
-    if clusters is None:
-        return pack_documents(counted, length=F.col("n"), cluster=own)
-    per_id = clusters.where("doc_id is not null").groupBy("doc_id").agg(F.min("cluster").cast("string").alias("cluster"))
-    joined = materialise(counted.join(per_id, "doc_id", "left").select("doc_id", "source", "n", F.coalesce("cluster", own).alias("cluster")), "packing-clusters")
-    return pack_documents(joined, length=F.col("n"), cluster=F.col("cluster"))
+    return ordered.select(*names, "ids").mapInArrow(run, SEQUENCE)
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
     """All of ``documents`` packed into sequences of 2,048 tokens, near copies in different ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     copies = near_duplicates(docs.select("doc_id", "text"))
-    return pack_tokens(docs, copies.select("doc_id", F.col("component_id").alias("cluster")))
+    return pack_documents(docs, copies.select("doc_id", F.col("component_id").alias("cluster")))

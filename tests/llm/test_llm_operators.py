@@ -67,27 +67,44 @@ def test_pack_is_best_fit():
         assert packing.pack(pieces, 60) == naive_pack(pieces, 60)
 
 
-def test_packing_keeps_everything(spark):
-    rows = [(i, "w " * (i % 50), None, f"s{i % 3}") for i in range(120)] + [(1000, "w " * 7000, None, "s0"), (1001, None, None, None), (None, "x", None, "s1"), (5, "w " * 5, None, "s2")]
-    got = packing.pack_documents(docs_of(spark, rows), 2048, 40).toPandas()
-    assert got["length"].sum() == sum(len((t or "").split()) + 1 for _, t, _, _ in rows)
-    assert (got.groupby("bin_id")["length"].sum() <= 2048).all()
-    named = got[got["source"].notna()]
-    assert not named.duplicated(["bin_id", "source"]).any()
-    ordered = got.sort_values(["bin_id", "start"])
-    assert (ordered.groupby("bin_id")["length"].cumsum() - ordered["length"] == ordered["start"]).all()
+def unpacked(rows):
+    """doc_id -> all its tokens, put together again from packed sequences."""
+    pieces = {}
+    for r in rows:
+        ends = [*r["starts"][1:], r["length"]]
+        for start, end, doc_id, offset in zip(r["starts"], ends, r["doc_ids"], r["offsets"], strict=True):
+            pieces.setdefault(doc_id, []).append((offset, r["input_ids"][start:end]))
+    return {k: [x for _, ids in sorted(v) for x in ids] for k, v in pieces.items()}
+
+
+def test_packing_keeps_every_token(spark):
+    rows = [(i, "w " * (i % 50), None, f"s{i % 3}") for i in range(120)] + [(1000, "w " * 7000, None, "s0"), (1001, None, None, None), (None, "x", None, "s1")]
+    docs = docs_of(spark, rows).withColumn("cluster", F.lit("clash")).withColumn("row", F.lit("clash"))
+    got = packing.pack_documents(docs, capacity=2048, shard_pieces=40).collect()
+    word_bpe = bpe.load(bpe.default_tokenizer())
+    end = word_bpe.added["<|endoftext|>"]
+    assert unpacked(got) == {i: [*word_bpe.encode(t or "").tolist(), end] for i, t, _, _ in rows}
+    assert all(r["length"] == len(r["input_ids"]) <= 2048 and len(set(r["sources"]) - {None}) == len([s for s in r["sources"] if s]) for r in got)
+    assert len({r["bin_id"] for r in got}) == len(got)
     assert packing.pack_documents(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_packing_spreads_repeated_rows(spark):
+    docs = docs_of(spark, [(None, "same text", None, None)] * 400)
+    got = packing.pack_documents(docs, shard_pieces=50).collect()
+    assert len(got) == 400  # copies of one text never share a bin
+    shards = [r["bin_id"] >> 32 for r in got]
+    assert len(set(shards)) == 8 and max(map(shards.count, shards)) < 100
+
+
 def test_op2_packs_tokens_and_near_copies(spark, tmp_path):
     words = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join([*words, f"end{i}"]), None, f"s{i}") for i in range(6)] + [(9, "x" * 9000, None, "s9"), (None, "one", None, "s7"), (10, None, None, None)]
     docs_of(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
-    got = packing.op2_packing(spark, str(tmp_path)).toPandas()
+    got = packing.op2_packing(spark, str(tmp_path)).collect()
     word_bpe = bpe.load(bpe.default_tokenizer())
-    assert got["length"].sum() == sum(len(word_bpe.encode(t or "")) + 1 for _, t, _, _ in rows)
-    assert got[got["doc_id"] < 6]["bin_id"].nunique() == 6  # near copies
-    assert got[got["doc_id"] == 9]["length"].sum() > 2
+    assert unpacked(got) == {i: [*word_bpe.encode(t or "").tolist(), word_bpe.added["<|endoftext|>"]] for i, t, _, _ in rows}
+    assert len([r for r in got if set(r["doc_ids"]) & set(range(6))]) == 6  # near copies
 
 
 # 3 WARC
