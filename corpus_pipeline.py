@@ -1,7 +1,7 @@
 """The corpus pipeline: language ID, toxicity, near-duplicates, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's
-docs. The first four return the columns of ``documents``; the last returns the packed pieces.
+docs. The first four return the columns of ``documents``; the last returns packed sequences of token ids.
 """
 
 from __future__ import annotations
@@ -41,8 +41,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2,048 tokens; near copies are gone already."""
-    return packing.pack_tokens(docs)
+    """All documents in training sequences of up to 2,048 token ids; near copies are gone already."""
+    return packing.pack_documents(docs)
 
 
 STAGES = [
@@ -52,7 +52,7 @@ STAGES = [
     ("secret_scan", redact_secrets),
     ("packing", pack_sequences),
 ]
-#: Learned decisions (language, toxicity) and packing have no SQL; the tests hold them against brute force.
+#: Learned decisions (language, toxicity) and packing have no SQL; the tests hold each stage's decisions against plain ones.
 ORACLE_SQL = None
 
 
