@@ -66,10 +66,11 @@ def shingles(text: str | None, size: int = 2) -> np.ndarray:
     size = min(size, len(words))
     if not size:
         return words
-    out = np.zeros(len(words) - size + 1, _U64)
-    for i in range(size):
-        out = _mix(out * _STEP + words[i : len(words) - size + 1 + i])
-    return np.unique(out)
+    last = len(words) - size + 1
+    out = words[:last]
+    for i in range(1, size):  # words are mixed already, so a polynomial in an odd number will do
+        out = out * _STEP + words[i : last + i]
+    return np.unique(_mix(out))
 
 
 def signature(found: np.ndarray, symbols: int, seed: int = 5) -> np.ndarray:
