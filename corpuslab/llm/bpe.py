@@ -64,8 +64,13 @@ class Characters:
         for block in self.blocks:
             own = block.replace(" ", "")
             self.lowered.update((ord(c), low) for c, low in zip(own, lower.normalize_str(" ".join(own)).split(" "), strict=True) if low != c.lower())
-        self.odd = re.compile(f"[{_ranges(sorted(self.lowered))}]") if self.lowered else None
-        self.unknown = re.compile(f"[{_ranges([x for x in PLANES if self._apart(chr(x))])}]")
+        unknown = [x for x in PLANES if self._apart(chr(x))]
+        #: By code point: 1 if only the library knows its normal form.
+        self.unknown = bytearray(0x110000)
+        for x in unknown:
+            self.unknown[x] = 1
+        #: Texts without a character from the first such one on need no further look.
+        self.rare = re.compile(f"[^\\x00-\\U{min([*unknown, *self.lowered, 0x10FFFF]) - 1:08x}]")
         self.white = self.of(r"\s")
         white = set(map(chr, self.points(r"\s")))
         #: Where str.split cuts and the library's white space does not, or the other way round.
@@ -98,8 +103,9 @@ class Characters:
     def normal(self, text: str) -> str:
         """The normal form C in lower case, each letter lowered by itself."""
         if not text.isascii():
-            text = self.nfc(text) if self.unknown.search(text) else unicodedata.normalize("NFC", text)
-            if self.odd and self.odd.search(text):
+            rare = set(map(ord, text)) if self.rare.search(text) else ()
+            text = self.nfc(text) if any(map(self.unknown.__getitem__, rare)) else unicodedata.normalize("NFC", text)
+            if rare:
                 text = text.translate(self.lowered)
         # Of all letters only the capital sigma is lowered by its place in str.lower.
         return "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
