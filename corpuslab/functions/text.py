@@ -24,8 +24,8 @@ PROSE_MARKERS = ("the ", " of ", " is ", " was ", " in ", " that ")
 TOKEN = "[a-z0-9']+"
 #: Ordered: the first task with a keyword in the query wins.
 ROUTES = (
-    ("code", ("def ", "class ", "import ", "return ", "function", "lambda", "code", "program", "script", "snippet", "write ", "implement", "debug", "compile")),
-    ("semantic", ("what", "who", "whom", "why", "how", "explain", "describe", "define", "definition", "meaning", "capital", "country", "history", "science")),
+    ("code", ("def ", "class ", "import ", "return ", "function", "lambda", "code", "program", "script", "snippet", "write ", "implement", "debug", "compile", "select ", "where ", "if ", "for ", "while ", "=>", "{", "}", ";", "//", "#include")),
+    ("semantic", ("what", "who", "whom", "why", "how", "explain", "describe", "define", "definition", "meaning", "capital", "country", "history", "science", "knowledge", "answer", "which", "where")),
     ("number", ("number", "count", "sum", "calculate", "compute", "math", "arithmetic", "digit", "numeric", "integer", "prime", "fibonacci")),
     ("name", ("name", "called", "author", "person", "entity", "company", "organization", "city", "river")),
 )
@@ -131,6 +131,21 @@ def token_chunks(tokens: Column, size: int) -> Column:
     return let(tokens, lambda t: F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0)), F.lit(size)), lambda i: F.slice(t, i + 1, size)))
 
 
+def window_keys(tokens: Column, n: int) -> Column:
+    """All windows of n tokens as 128-bit keys (two hashes), which stand for the windows in joins."""
+    at = lambda t: F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return let(tokens, lambda t: F.transform(at(t), lambda i: let(F.slice(t, i, n), window_key)))
+
+
+def tagged(name: str, value: int):
+    """A function for ``transform``: a key with a number beside it."""
+    return lambda key: F.struct(F.lit(value).alias(name), key.alias("key"))
+
+
+def window_key(window: Column) -> Column:
+    return F.struct(F.xxhash64(window).alias("h1"), F.xxhash64(F.lit(1), window).alias("h2"))
+
+
 def first_sentence(text: Column, most: int = 120) -> Column:
     """Up to the first full stop, at most ``most`` characters."""
     stop = F.locate(".", text)
@@ -177,10 +192,11 @@ def prefix_class(text: Column) -> Column:
     return F.when(lead == F.coalesce(text, F.lit("")), "empty").when(lead.contains("\n"), "newline_lead").when(lead != "", "space_lead").otherwise("no_lead")
 
 
-def route_task(query: Column, digit_share: float = 0.15) -> Column:
+def route_task(query: Column, digit_share: float = 0.15, generation: tuple[str, ...] = ()) -> Column:
+    """The task of a query; phrases of ``generation`` (none by default) mark open generation, which is semantic."""
     low = F.lower(F.coalesce(query, F.lit("")))
     chain = None
-    for task, keywords in ROUTES:
+    for task, keywords in (*([("semantic", generation)] if generation else []), *ROUTES):
         hit = reduce(lambda a, b: a | b, [low.contains(k) for k in keywords])
         chain = F.when(hit, task) if chain is None else chain.when(hit, task)
     digits = F.char_length(low) - F.char_length(F.regexp_replace(low, "[0-9]", ""))

@@ -56,16 +56,19 @@ def filter_contaminated(docs: DataFrame, found: DataFrame, inner: int = 2) -> Da
     """
     hay = docs.select("doc_id", T.norm_alnum(F.col("text")).alias("hay"))
     words = F.split("hay", " ")
-    listed = found.withColumn("w", F.split("needle", " ")).withColumn("n", F.size("w"))
-    keyed = listed.where("n >= 3").select("needle", F.array_join(F.slice("w", F.lit(2), F.least(F.col("n") - 2, F.lit(inner))), " ").alias("key"))
-    shingled = hay.select("doc_id", F.explode(T.let(words, lambda w: F.array_distinct(F.concat(*[windows_of(w, k) for k in range(1, inner + 1)])))).alias("key"))
-    hit = shingled.join(keyed, "key").select("doc_id", "needle").distinct()
+    listed = written(found.withColumn("w", F.split("needle", " ")).withColumn("size", F.size("w")), "needles")
+    keyed = listed.where("size >= 3").withColumn("n", F.least(F.col("size") - 2, F.lit(inner))).select("needle", "n", F.expr("slice(w, 2, n)").alias("inside")).select("needle", "n", T.window_key(F.col("inside")).alias("key"))
+    # Only windows of the lengths that some needle asks for are spread.
+    ns = sorted(r["n"] for r in keyed.select("n").distinct().collect())
+    hit = docs.sparkSession.createDataFrame([], hay.select("doc_id").withColumn("needle", F.lit("")).schema)
+    if ns:
+        hit = _keyed(hay.select("doc_id", words.alias("tokens")), ns, "doc_id").join(keyed, ["n", "key"]).select("doc_id", "needle").distinct()
     # Two words: the first ends a word of the text and the second begins the next one.
-    pairs = listed.where("n <= 2").select("needle", F.element_at("w", -1).alias("last"))
-    heads = pairs.select("needle", F.substring("last", 1, 3).alias("head"))
-    beginnings = F.flatten(F.transform(words, lambda w: F.array(*[F.substring(w, 1, n) for n in (1, 2, 3)])))
-    starts = hay.select("doc_id", F.explode(F.array_distinct(beginnings)).alias("start")).join(heads.select(F.col("head").alias("start")).distinct(), "start", "left_semi")
-    short = starts.join(heads, (F.col("start") == F.col("head"))).select("doc_id", "needle").distinct()
+    heads = listed.where("size <= 2").select("needle", F.substring(F.element_at("w", -1), 1, 3).alias("start"))
+    short = hit.limit(0)
+    if not heads.isEmpty():
+        beginnings = F.flatten(F.transform(words, lambda w: F.array(*[F.substring(w, 1, n) for n in (1, 2, 3)])))
+        short = hay.select("doc_id", F.explode(F.array_distinct(beginnings)).alias("start")).join(heads, "start").select("doc_id", "needle").distinct()
     bad = hit.unionByName(short).join(hay, "doc_id").where(F.col("hay").contains(F.col("needle"))).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti")
 
@@ -80,21 +83,23 @@ def windows_of(tokens: Column, n: int) -> Column:
     return T.let(tokens, lambda t: F.transform(at(t), lambda i: F.array_join(F.slice(t, i, n), " ")))
 
 
-def overlapping(cand: DataFrame, ref: DataFrame, n: int) -> DataFrame:
-    """doc_id of candidates that share a verbatim n-token window with the reference (doc_id, tokens)."""
-    ours = cand.select("doc_id", F.explode(F.array_distinct(windows_of(F.col("tokens"), n))).alias("w"))
-    theirs = ref.select(F.explode(windows_of(F.col("tokens"), n)).alias("w")).distinct()
-    return ours.join(theirs, "w", "left_semi").select("doc_id").distinct()
+def _keyed(docs: DataFrame, ns: list[int], *columns: str) -> DataFrame:
+    """(columns, n, key): the keys of all windows of n tokens, repeated ones too, for every n in one pass over ``tokens``."""
+    tagged = [F.transform(T.window_keys(F.col("tokens"), n), T.tagged("n", n)) for n in ns]
+    return docs.select(*columns, F.explode(F.concat(*tagged)).alias("x")).select(*columns, "x.n", "x.key")
+
+
+def overlapping(cand: DataFrame, ref: DataFrame, ns: list[int]) -> DataFrame:
+    """(n, doc_id) of candidates that share a verbatim n-token window with the reference (doc_id, tokens)."""
+    theirs = _keyed(ref, ns).distinct()
+    return _keyed(cand, ns, "doc_id").join(theirs, ["n", "key"], "left_semi").select("n", "doc_id").distinct()
 
 
 def token_overlap_report(cand: DataFrame, ref: DataFrame, ns: list[int]) -> DataFrame:
     """Per n: records and tokens excluded by a shared window, and untestable records (shorter than n)."""
-    out = None
-    for n in ns:
-        bad = overlapping(cand, ref, n).withColumn("hit", F.lit(1))
-        row = cand.withColumn("n_tokens", F.size("tokens")).join(bad, "doc_id", "left").agg(F.count("hit").alias("excluded"), F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("n_tokens"))), F.lit(0)).alias("excluded_tokens"), F.count_if(F.col("n_tokens") < n).alias("untestable")).withColumn("n", F.lit(n))
-        out = row if out is None else out.unionByName(row)
-    return out
+    bad = overlapping(cand, ref, ns).withColumn("hit", F.lit(1))
+    sized = cand.select("doc_id", F.size("tokens").alias("n_tokens"), F.explode(F.array(*map(F.lit, ns))).alias("n")).join(bad, ["n", "doc_id"], "left")
+    return sized.groupBy("n").agg(F.count("hit").alias("excluded"), F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("n_tokens"))), F.lit(0)).alias("excluded_tokens"), F.count_if(F.col("n_tokens") < F.col("n")).alias("untestable"))
 
 
 def char_overlap(cand: DataFrame, ref: DataFrame, n: int) -> DataFrame:
@@ -102,20 +107,17 @@ def char_overlap(cand: DataFrame, ref: DataFrame, n: int) -> DataFrame:
     # A place in a text is found by counting characters from its start, so long texts are first cut into blocks.
     span = 256
     blocks = lambda df: df.where(F.char_length("text") >= n).select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.char_length("text") - n + 1, F.lit(span))).alias("i")).select("doc_id", F.expr(f"substring(text, i, {span + n - 1})").alias("b"))
-    grams = lambda df: blocks(df).select("doc_id", "b", F.explode(F.sequence(F.lit(1), F.char_length("b") - n + 1)).alias("i")).select("doc_id", F.expr(f"substring(b, i, {n})").alias("w"))
-    hit = grams(cand).distinct().join(grams(ref).select("w").distinct(), "w", "left_semi").select("doc_id").distinct().withColumn("hit", F.lit(True))
+    grams = lambda df: blocks(df).select("doc_id", "b", F.explode(F.sequence(F.lit(1), F.char_length("b") - n + 1)).alias("i")).select("doc_id", T.window_key(F.expr(f"substring(b, i, {n})")).alias("key"))
+    hit = grams(cand).join(grams(ref).select("key").distinct(), "key", "left_semi").select("doc_id").distinct().withColumn("hit", F.lit(True))
     return cand.join(hit, "doc_id", "left").select("doc_id", F.when(F.char_length("text") >= n, F.coalesce("hit", F.lit(False))).alias("overlaps"))
 
 
 def verify_disjoint(held: DataFrame, ref: DataFrame, ns: list[int]) -> DataFrame:
     """Per n: held records whose first n tokens occur in the reference, and how many were tested."""
-    out = None
-    for n in ns:
-        heads = held.where(F.size("tokens") >= n).select("doc_id", F.array_join(F.slice("tokens", 1, n), " ").alias("w"))
-        theirs = ref.select(F.explode(windows_of(F.col("tokens"), n)).alias("w")).distinct().withColumn("hit", F.lit(1))
-        row = heads.join(theirs, "w", "left").agg(F.count("*").alias("tested"), F.count("hit").alias("found")).withColumn("n", F.lit(n))
-        out = row if out is None else out.unionByName(row)
-    return out
+    firsts = F.array(*[F.struct(F.lit(n).alias("n"), F.when(F.size("tokens") >= n, T.window_key(F.slice("tokens", 1, n))).alias("key")) for n in ns])
+    heads = held.select(F.explode(firsts).alias("x")).select("x.n", "x.key")
+    theirs = _keyed(ref, ns).join(heads.distinct(), ["n", "key"], "left_semi").distinct().withColumn("hit", F.lit(1))
+    return heads.join(theirs, ["n", "key"], "left").groupBy("n").agg(F.count("key").alias("tested"), F.count("hit").alias("found"))
 
 
 def grams_with_fallback(words: Column, n: int) -> Column:
@@ -128,14 +130,15 @@ def audit_contamination(items: DataFrame, docs: DataFrame, n: int = 8) -> DataFr
     """Per item (item_id, question, answer): exact occurrences on word boundaries, overlap ratios, severity.
 
     Exact: the words of the field occur in a row in some document. They are found by joining fields of k words
-    with the k-grams of the documents, k by k as the fields have it, never documents with items.
+    with the k-grams of the documents (doc_id, text), k by k as the fields have it, never documents with items.
     """
     strict = lambda c: F.filter(F.split(T.norm_strict(F.col(c)), " "), lambda w: w != "")
     fields = items.select("item_id", strict("question").alias("q"), strict("answer").alias("a")).withColumn("qa", F.concat("q", "a"))
-    words = docs.select(strict("text").alias("w"))
-    grams = words.select(F.explode(grams_with_fallback(F.col("w"), n)).alias("gram")).distinct()
+    words = docs.select("doc_id", strict("text").alias("w"))
     long = fields.select("item_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in ("q", "a", "qa")])).alias("x")).select("item_id", "x.field", "x.words").where(F.size("words") > 0)
-    ratios = long.select("item_id", "field", F.explode(grams_with_fallback(F.col("words"), n)).alias("gram")).join(grams.withColumn("hit", F.lit(1)), "gram", "left").groupBy("item_id", "field").agg((F.count("hit") / F.count("*")).alias("ratio"))
+    asked = long.select("item_id", "field", F.explode(grams_with_fallback(F.col("words"), n)).alias("gram"))
+    met = words.select(F.explode(grams_with_fallback(F.col("w"), n)).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi").distinct()
+    ratios = asked.join(met.withColumn("hit", F.lit(1)), "gram", "left").groupBy("item_id", "field").agg((F.count("hit") / F.count("*")).alias("ratio"))
     exact = exact_fields(long, words)
     wide = ratios.join(exact, ["item_id", "field"]).groupBy("item_id").pivot("field", ["q", "a", "qa"]).agg(F.first("ratio").alias("ratio"), F.first("exact").alias("exact"))
     out = fields.select("item_id").join(wide, "item_id", "left")
@@ -145,11 +148,17 @@ def audit_contamination(items: DataFrame, docs: DataFrame, n: int = 8) -> DataFr
 
 
 def exact_fields(long: DataFrame, words: DataFrame, head: int = 4) -> DataFrame:
-    """(item_id, field, exact): do the field's words occur in a row; by a join on up to ``head`` first words."""
-    keyed = long.select("item_id", "field", F.array_join("words", " ").alias("needle"), F.array_join(F.slice("words", 1, head), " ").alias("key"))
-    hay = words.select(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("hay"), "w")
-    keys = hay.select("hay", F.explode(F.array_distinct(F.concat(*[windows_of(F.col("w"), k) for k in range(1, head + 1)]))).alias("key"))
-    met = keys.join(keyed.select("key").distinct(), "key", "left_semi").join(keyed, "key").where(F.col("hay").contains(F.concat(F.lit(" "), F.col("needle"), F.lit(" "))))
+    """(item_id, field, exact): do the field's words occur in a row in some text (doc_id, w)?
+
+    Of each text only the keys of its first-word windows are spread, for those lengths up to ``head`` that fields
+    have; a text itself is joined again to the few keys that some field begins with.
+    """
+    start = F.slice("words", 1, head)
+    keyed = long.select("item_id", "field", F.array_join("words", " ").alias("needle"), F.least(F.size("words"), F.lit(head)).alias("n"), T.window_key(start).alias("key"))
+    ns = sorted(r["n"] for r in keyed.select("n").distinct().collect()) or [1]
+    keys = _keyed(words.select("doc_id", F.col("w").alias("tokens")), ns, "doc_id").join(keyed.select("n", "key").distinct(), ["n", "key"], "left_semi")
+    hay = words.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("hay"))
+    met = keys.join(hay.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).join(keyed, ["n", "key"]).where(F.col("hay").contains(F.concat(F.lit(" "), F.col("needle"), F.lit(" "))))
     found = met.select("item_id", "field").distinct().withColumn("exact", F.lit(True))
     return long.select("item_id", "field").join(found, ["item_id", "field"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
 
@@ -157,7 +166,7 @@ def exact_fields(long: DataFrame, words: DataFrame, head: int = 4) -> DataFrame:
 def eval_contamination(items: DataFrame, docs: DataFrame, least: int = 2) -> DataFrame:
     """(item_id, contaminated): does the answer, of at least ``least`` word tokens, occur in a document; else null."""
     long = items.select("item_id", F.lit("a").alias("field"), T.word_tokens(F.col("answer")).alias("words")).where(F.size("words") >= least)
-    found = exact_fields(long, docs.select(T.word_tokens(F.col("text")).alias("w")))
+    found = exact_fields(long, docs.select("doc_id", T.word_tokens(F.col("text")).alias("w")))
     return items.select("item_id").join(found.select("item_id", F.col("exact").alias("contaminated")), "item_id", "left")
 
 

@@ -16,8 +16,11 @@ from corpuslab.functions.scale import hash_order, ranked
 from corpuslab.functions.storage import written
 
 
-def token_rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(T.word_tokens(F.col("text"))).alias("pos", "token"))
+def token_rows(docs: DataFrame, most: int = 3) -> DataFrame:
+    """(doc_id, pos, token, before): ``before`` holds up to ``most`` tokens before each, so that contexts need no window."""
+    rows = docs.select("doc_id", T.word_tokens(F.col("text")).alias("__t")).select("doc_id", "__t", F.posexplode("__t").alias("pos", "token"))
+    first = F.greatest(F.col("pos") - most, F.lit(0))
+    return rows.select("doc_id", "pos", "token", F.slice("__t", first + 1, F.col("pos") - first).alias("before", metadata={"most": most}))
 
 
 def token_stream(docs: DataFrame, eos: str = "</s>") -> DataFrame:
@@ -38,16 +41,19 @@ def candidate_set(tokens: DataFrame, k: int) -> DataFrame:
 
 
 def contexts(tokens: DataFrame, orders: list[int]) -> DataFrame:
-    """Adds c1..: the context of each position per order; null where the document has too few tokens before it."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
+    """Adds c1..: the context of each position per order; null where the document has too few tokens before it.
+
+    Rows of ``token_rows`` bring the tokens before them along; others are put in order per document.
+    """
+    need, held = max(orders) - 1, "before" in tokens.columns and tokens.schema["before"].metadata.get("most", 0)
     out = tokens
-    for k in range(1, max(orders)):
-        out = out.withColumn(f"__l{k}", F.lag("token", k).over(w))
+    if not held or held < need:
+        w = Window.partitionBy("doc_id").orderBy("pos")
+        out = out.withColumn("before", F.array_compact(F.array(*[F.lag("token", k).over(w) for k in range(need, 0, -1)])) if need else F.array().cast("array<string>"))
     for order in orders:
-        parts = [F.col(f"__l{k}") for k in range(order - 1, 0, -1)]
-        whole = F.lit("") if order == 1 else F.when(parts[0].isNotNull(), F.concat_ws(" ", *parts))
-        out = out.withColumn(f"c{order}", whole)
-    return out.drop(*[f"__l{k}" for k in range(1, max(orders))])
+        own = F.array_join(F.slice("before", F.lit(-(order - 1)), F.lit(order - 1)), " ") if order > 1 else None
+        out = out.withColumn(f"c{order}", F.lit("") if order == 1 else F.when(F.size("before") >= order - 1, own))
+    return out if held else out.drop("before")
 
 
 def ngram_counts(tokens: DataFrame, orders: list[int]) -> DataFrame:
@@ -238,7 +244,8 @@ def backoff_scores(tokens: DataFrame, counts: DataFrame, order: int, least: int
         used, n, z = F.when(known, k).otherwise(used), F.when(known, F.col(f"n{k}")).otherwise(n), F.when(known, F.col(f"z{k}")).otherwise(z)
     p = F.coalesce(n / z, F.col("n1") / F.col("z1"), F.lit(floor))
     unigram = F.coalesce(F.col("n1") / F.col("z1"), F.lit(floor))
-    return out.select("doc_id", "pos", "token", used.alias("used"), F.ln(p).alias("logp"), F.ln(unigram).alias("unigram_logp"), F.coalesce(F.col(f"z{order}"), F.lit(0)).alias("evidence"))
+    kept = ["before"] if "before" in tokens.columns else []
+    return out.select("doc_id", "pos", "token", *kept, used.alias("used"), F.ln(p).alias("logp"), F.ln(unigram).alias("unigram_logp"), F.coalesce(F.col(f"z{order}"), F.lit(0)).alias("evidence"))
 
 
 def jelinek_mercer(tokens: DataFrame, counts: DataFrame, n_vocab: int, grid: list[tuple[float, float]]) -> DataFrame:
@@ -269,10 +276,12 @@ def memory_retrieve(queries: DataFrame, docs: DataFrame, orders: list[int], k: i
 
     Both sides have (…_id, tokens). A suffix of o tokens weighs o. A very common suffix is a skewed join key.
     """
-    from .corpus import windows_of
-
-    index = docs.select("doc_id", F.explode(F.array(*map(F.lit, orders))).alias("ord"), "tokens").select("doc_id", "ord", F.explode(F.coalesce(*[F.when(F.col("ord") == o, windows_of(F.col("tokens"), o)) for o in orders])).alias("key")).groupBy("ord", "key", "doc_id").agg(F.count("*").alias("n"))
-    asked = queries.select("query_id", F.explode(F.array(*[F.struct(F.lit(o).alias("ord"), F.when(F.size("tokens") >= o, F.array_join(F.slice("tokens", -o, o), " ")).alias("key")) for o in orders])).alias("g")).select("query_id", "g.*").where("key is not null")
+    suffixes = F.array(*[F.struct(F.lit(o).alias("ord"), F.when(F.size("tokens") >= o, T.window_key(F.slice("tokens", -o, o))).alias("key")) for o in orders])
+    asked = queries.select("query_id", F.explode(suffixes).alias("g")).select("query_id", "g.*").where("key is not null")
+    tagged = [F.transform(T.window_keys(F.col("tokens"), o), T.tagged("ord", o)) for o in orders]
+    # The keys that some query asks for are picked out first; only those are counted.
+    index = docs.select("doc_id", F.explode(F.concat(*tagged)).alias("g")).select("doc_id", "g.*").join(asked.select("ord", "key").distinct(), ["ord", "key"], "left_semi")
+    index = index.groupBy("ord", "key", "doc_id").agg(F.count("*").alias("n"))
     found = asked.join(index, ["ord", "key"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("ord") * F.col("n")).alias("score"), F.max("ord").alias("best_order"), F.max("n").alias("hits"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
