@@ -120,6 +120,64 @@ def n8(spark, sf):
     return scored.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.avg("logp"), 6).alias("mean_logp"))
 
 
+def scored_sql(order: int) -> str:
+    """SQL for the tables m (entries), g (contexts) and s (held-out positions with disc and gamma of every order)."""
+    ctx = lambda source: "SELECT *, '' AS c1, " + ", ".join(" || ' ' || ".join(f"lag(token, {j}) OVER w" for j in range(k - 1, 0, -1)) + f" AS c{k}" for k in range(2, order + 1)) + f" FROM ({source}) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)"
+    counts = " UNION ALL ".join(f"SELECT {o} AS ord, c{o} AS ctx, token AS next, count(*) AS n FROM tr WHERE c{o} IS NOT NULL GROUP BY ALL" for o in range(1, order + 1))
+    clip = lambda i, of, by: f"coalesce(greatest(0.0, least({i} - 1e-6, {i} - {i + 1} * y * {of} / nullif({by}, 0)))::DOUBLE, y)"
+    joins = " ".join(f"LEFT JOIN m m{k} ON m{k}.ord = {k} AND m{k}.ctx = c{k} AND m{k}.next = token LEFT JOIN g g{k} ON g{k}.ord = {k} AND g{k}.ctx = c{k}" for k in range(1, order + 1))
+    return f"""WITH tr AS ({ctx(_tokens(TRAIN))}), ev AS ({ctx(_tokens(EVAL))}), tn AS ({counts}),
+lv AS (SELECT * FROM tn WHERE ord = {order} UNION ALL SELECT * FROM ({CONT.format('tn')}) WHERE ord < {order}),
+cc AS (SELECT ord, count(*) FILTER (n = 1) AS n1, count(*) FILTER (n = 2) AS n2, count(*) FILTER (n = 3) AS n3, count(*) FILTER (n = 4) AS n4 FROM lv GROUP BY ord),
+yy AS (SELECT *, coalesce(greatest(1e-3, least(0.99, n1 / nullif(n1 + 2.0 * n2, 0)))::DOUBLE, 0.5) AS y FROM cc),
+dd AS (SELECT ord, y, {clip(1, 'n2', 'n1')} AS d1, {clip(2, 'n3', 'n2')} AS d2, {clip(3, 'n4', 'n3')} AS d3 FROM yy),
+k1 AS (SELECT lv.*, greatest(n - CASE WHEN n >= 3 THEN d3 WHEN n = 2 THEN d2 ELSE CASE WHEN d1 <= 0 THEN y ELSE d1 END END, 0) AS kept FROM lv JOIN dd USING (ord)),
+m AS (SELECT ord, ctx, next, n, kept / sum(n) OVER v AS disc, 1 - sum(kept) OVER v / sum(n) OVER v AS gamma FROM k1 WINDOW v AS (PARTITION BY ord, ctx)),
+g AS (SELECT ord, ctx, any_value(gamma) AS gamma FROM m GROUP BY ord, ctx), v AS (SELECT count(DISTINCT token) AS v FROM tr),
+s AS (SELECT ev.*, v.v, {", ".join(f"m{k}.disc AS d{k}, g{k}.gamma AS g{k}" for k in range(1, order + 1))} FROM ev CROSS JOIN v {joins})"""
+
+
+def _interpolated_sql(order: int) -> str:
+    p = "(coalesce(d1, 0) + g1 / v)"
+    for k in range(2, order + 1):
+        p = f"(CASE WHEN g{k} IS NOT NULL THEN coalesce(d{k}, 0) + g{k} * {p} ELSE {p} END)" if k == order else f"(coalesce(d{k}, 0) + coalesce(g{k}, 1) * {p})"
+    return p
+
+
+def _longest_sql(order: int) -> str:
+    unigram = "(coalesce(d1, 0) + g1 / v)"
+    return "CASE " + " ".join(f"WHEN g{k} IS NOT NULL THEN coalesce(d{k}, 0) + g{k} * {unigram}" for k in range(order, 1, -1)) + f" ELSE {unigram} END"
+
+
+def model_of(spark, sf, order: int):
+    """(model, held tokens, vocabulary size) of interpolated counts up to ``order``."""
+    docs = read(spark, sf, "documents").select("doc_id", "text", (hash_mod(F.col("text"), 1000) < 1000 * EVAL_SHARE).alias("held"))
+    train, held = N.token_rows(docs.where("not held"), order - 1), N.token_rows(docs.where("held"), order - 1)
+    counts = written(N.ngram_counts(train, list(range(1, order + 1))), "kn-counts")
+    model = written(N.finalize(written(N.kneser_ney_counts(counts, order), "kn-levels")), "kn-model")
+    return model, held, vocab_size(train)
+
+
+@query("n7_fourgram", f"{scored_sql(4)} SELECT doc_id, count(*) AS n, round(avg(ln({_interpolated_sql(4)})), 6) AS mean_logp, count(d4) AS fourgram_hits FROM s GROUP BY doc_id")
+def n7_fourgram(spark, sf):
+    model, held, n_vocab = model_of(spark, sf, 4)
+    scored = N.score_interpolated(held, model, 4, n_vocab)
+    return scored.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.avg("logp"), 6).alias("mean_logp"), F.count_if(F.col("matched") == 4).alias("fourgram_hits"))
+
+
+@query("n8_window_cost", " UNION ALL ".join(f"SELECT * FROM ({scored_sql(w)} SELECT {w} AS \"window\", count(*) AS n, round(avg(-ln({_interpolated_sql(w)})), 6) AS interpolated_nll, round(avg(-ln({_longest_sql(w)})), 6) AS longest_nll FROM s)" for w in (3, 5, 8)))
+def n8_window_cost(spark, sf):
+    """Mean loss of growing windows, interpolated and by the longest match."""
+    out = None
+    for window in (3, 5, 8):
+        model, held, n_vocab = model_of(spark, sf, window)
+        one = N.score_interpolated(held, model, window, n_vocab).agg(F.count("*").alias("n"), F.round(F.avg(-F.col("logp")), 6).alias("interpolated_nll"))
+        two = N.score_longest(held, model, window, n_vocab).agg(F.round(F.avg(-F.col("logp")), 6).alias("longest_nll"))
+        row = one.join(F.broadcast(two)).withColumn("window", F.lit(window))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("n9_topk_accuracy", f"""{MODEL}, b AS (SELECT ord, ctx, next, row_number() OVER (PARTITION BY ord, ctx ORDER BY round(disc, 12) DESC, next) AS r FROM m QUALIFY r <= 5), l AS (SELECT ord, ctx, list(next ORDER BY r) AS top FROM b GROUP BY ALL),
 x AS (SELECT token, coalesce(l3.top, l2.top, l1.top) AS top FROM ev LEFT JOIN l l3 ON l3.ord = 3 AND l3.ctx = c3 LEFT JOIN l l2 ON l2.ord = 2 AND l2.ctx = c2 LEFT JOIN l l1 ON l1.ord = 1)
 SELECT count(*) AS positions, round(avg((top[1] = token)::INT), 9) AS top1, round(avg(list_contains(top, token)::INT), 9) AS topk FROM x""")
