@@ -36,6 +36,15 @@ def one_per_id(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], x[order]
 
 
+def inner_products(by_component: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Products in double precision, added up from the first component to the last."""
+    out = np.zeros(by_component.shape[1])
+    with np.errstate(over="ignore", invalid="ignore"):
+        for column, value in zip(by_component, q, strict=True):
+            out += column * value
+    return out
+
+
 class SortedProjections:
     """One block of lifted vectors in the order of their projections on random lines."""
 
@@ -107,7 +116,7 @@ def search(
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         ids, x = one_per_id(data["vec_id"].to_numpy(), np.stack(data["embedding"].to_numpy()).astype(float))
         asked_ids, q = one_per_id(asked["asked_id"].to_numpy(), np.stack(asked["asked"].to_numpy()).astype(float))
-        small = x / scale
+        small, by_component = x / scale, np.ascontiguousarray(x.T)
         rest = np.sqrt(np.maximum(top - np.einsum("ij,ij->i", small, small), 0.0))
         index = SortedProjections(np.hstack([small, rest[:, None]]), n_projections, seed)
         turned = q / np.abs(q).max(axis=1, keepdims=True)
@@ -120,8 +129,7 @@ def search(
             for i in range(len(low)):
                 found = index.candidates(low[i], high[i], wanted, collisions)
                 found = found[ids[found] != asked_ids[start + i]]
-                with np.errstate(over="ignore", invalid="ignore"):
-                    scores = (x[found] * q[start + i]).sum(axis=1)
+                scores = inner_products(by_component[:, found], q[start + i])
                 best = np.lexsort((ids[found], -scores))[:k]
                 out.append(pd.DataFrame({"query_id": asked_ids[start + i], "vec_id": ids[found][best], "score": scores[best]}))
         return pd.concat(out)

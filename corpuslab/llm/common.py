@@ -2,30 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder path below ``spark.checkpoint.dir``, the folder that driver and executors share.
-
-    A local temporary folder stands in only where that setting is missing (tests in one JVM).
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="corpuslab-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from corpuslab.functions.storage import fresh_path, written
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A fresh folder path below ``spark.checkpoint.dir``, and a table written there: it survives lost executors.
+shared_dir, materialise = fresh_path, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
