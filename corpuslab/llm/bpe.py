@@ -122,7 +122,7 @@ def characters() -> Characters:
 class WordBpe:
     """One tokenizer file of the kind BPE with word ends; ``encode`` and ``decode`` as its library does."""
 
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 200_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -146,7 +146,7 @@ class WordBpe:
         self.characters = characters()
         self.words = self.characters.compiled(split["pattern"]["Regex"])
         self.special = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
-        self.cached, self.cache, self.older, self.known = cached, {}, {}, {}
+        self.cached, self.cache, self.older = cached, {}, {}
 
     def _merge(self, word: str) -> tuple[int, ...]:
         raw = word.encode()
@@ -165,27 +165,29 @@ class WordBpe:
                 ranks[i] = get((parts[i], parts[i + 1]), NO_RANK)
         return tuple(parts)
 
-    def chunk(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a stretch without white space, from or into a cache of two bounded generations."""
-        ids = self.older.get(chunk)
-        if ids is None:
-            ids = tuple(chain.from_iterable(map(self.word, self.words.findall(chunk))))
-        if len(chunk) <= SHORT:
+    def _kept(self, part: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+        """``ids``, remembered for short parts in a memory of two bounded generations."""
+        if len(part) <= SHORT:
             if len(self.cache) >= self.cached:
                 self.older, self.cache = self.cache, {}
-            self.cache[chunk] = ids
+            self.cache[part] = ids
         return ids
 
+    def chunk(self, chunk: str) -> tuple[int, ...]:
+        """Ids of a stretch without white space; of those that are several words only the words are remembered."""
+        words = self.words.findall(chunk)
+        return self.word(chunk) if words == [chunk] else tuple(chain.from_iterable(map(self.word, words)))
+
     def word(self, word: str) -> tuple[int, ...]:
-        if len(word) > SHORT:
-            return self._merge_long(word)
-        ids = self.known.get(word)
+        ids = self.cache.get(word)
         if ids is None:
-            if len(self.known) >= self.cached:
-                self.known = {}
-            ids = self.known[word] = self._merge(word)
+            ids = self.older.get(word)
+            ids = self._kept(word, self._whole(word) if ids is None else ids)
         return ids
 
+    def _whole(self, word: str) -> tuple[int, ...]:
+        return self._merge(word) if len(word) <= SHORT else self._merge_long(word)
+
     def _merge_long(self, word: str) -> tuple[int, ...]:
         """The same merges for an overlong word, with a queue of ranks in place of the scan, whose cost is quadratic."""
         import heapq

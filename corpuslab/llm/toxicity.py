@@ -254,7 +254,7 @@ class Reader:
 class Scorer(Reader):
     """For each text the surest feature of each of its words; tokens' features are kept in a bounded memory."""
 
-    def __init__(self, model: CharModel, weights: dict[str, float], kept: int = 200_000):
+    def __init__(self, model: CharModel, weights: dict[str, float], kept: int = 120_000):
         super().__init__(model, kept)
         self.weights, self.starts = weights, {f[:4] for f in weights}
 
