@@ -88,18 +88,28 @@ def norm_answer(text: Column) -> Column:
     return F.aggregate(words, start, step, lambda s: F.array_join(close(s), " "))
 
 
+#: White space as Unicode and Python have it.
+SPACES = r"[\s\x1c-\x1f]"
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"(?U)^{SPACES}+|{SPACES}+$", "")
+
+
 def split_long(text: Column, limit: int) -> Column:
-    """Pieces of at most ``limit`` characters: whole sentences while they fit, overlong ones cut hard."""
-    sentences = F.filter(F.split(F.trim(text), r"(?<=[。！？!?.;])\s*"), lambda x: x != "")
+    """Pieces of at most ``limit`` characters: a short text as it is, else whole sentences while they fit, overlong ones cut hard."""
+    whole = stripped(text)
+    sentences = F.filter(F.split(whole, f"(?U)(?<=[。！？!?.;]){SPACES}*"), lambda x: x != "")
     # An overlong sentence becomes full pieces and a rest; only the rest may be joined with what follows.
     cut = F.flatten(F.transform(sentences, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.char_length(x) - 1) / limit).cast("int")), lambda i: F.substring(x, i * limit + 1, F.lit(limit)))))
 
     def step(s: Column, x: Column) -> Column:
         fits = F.char_length(s["cur"]) + F.char_length(x) <= limit
-        return F.when(fits, F.struct(s["out"].alias("out"), F.concat(s["cur"], x).alias("cur"))).otherwise(F.struct(F.array_append(s["out"], F.trim(s["cur"])).alias("out"), x.alias("cur")))
+        return F.when(fits, F.struct(s["out"].alias("out"), F.concat(s["cur"], x).alias("cur"))).otherwise(F.struct(F.array_append(s["out"], stripped(s["cur"])).alias("out"), x.alias("cur")))
 
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
-    return F.filter(F.aggregate(cut, start, step, lambda s: F.array_append(s["out"], F.trim(s["cur"]))), lambda x: x != "")
+    pieces = F.when(F.char_length(whole) <= limit, F.array(whole)).otherwise(F.aggregate(cut, start, step, lambda s: F.array_append(s["out"], stripped(s["cur"]))))
+    return F.filter(pieces, lambda x: x != "")
 
 
 def char_chunks(docs: DataFrame, size: int = 800, overlap: int = 100) -> DataFrame:
@@ -108,7 +118,7 @@ def char_chunks(docs: DataFrame, size: int = 800, overlap: int = 100) -> DataFra
     Where a piece starts depends on the cut before it, so the starts are found by a fold within each row, over at
     most as many steps as the shortest possible advance allows.
     """
-    text = F.trim(F.col("text"))
+    text = stripped(F.col("text"))
     n = F.char_length("t")
     steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(n / max(1, size // 2 - overlap)).cast("int")))
 
@@ -118,7 +128,7 @@ def char_chunks(docs: DataFrame, size: int = 800, overlap: int = 100) -> DataFra
         white = F.least(*[F.when(F.locate(c, back) > 0, F.locate(c, back)).otherwise(size + 1) for c in ("\n", " ")])
         cut = F.char_length(window) - white  # place of the last white space in the window
         end = F.when(s["at"] + size >= n, n).when(cut > size // 2, s["at"] + cut + 1).otherwise(s["at"] + size)
-        found = F.array_append(s["out"], F.trim(F.substring(F.col("t"), s["at"] + 1, end - s["at"])))
+        found = F.array_append(s["out"], stripped(F.substring(F.col("t"), s["at"] + 1, end - s["at"])))
         going = F.struct(found.alias("out"), F.greatest(end - overlap, s["at"] + 1).alias("at"), (end >= n).alias("done"))
         return F.when(s["done"], s).otherwise(going)
 

@@ -39,7 +39,7 @@ def across_cosine(sums: DataFrame, group: str) -> DataFrame:
 
 
 def gram(rows: DataFrame, vector: str, by: list[str] | None = None, targets: list[Column] | None = None) -> dict:
-    """Per group: (n, X'X) of [1, vector, targets]; each task adds one matrix per group, only those are collected."""
+    """Per group: X'X of [1, vector, targets]; tasks add up matrices, Spark adds up their cells, one matrix per group is collected."""
     names = by or []
     data = rows.select(*names, F.col(vector).alias("x"), *[t.cast("double").alias(f"t{i}") for i, t in enumerate(targets or [])])
     extra = len(targets or [])
@@ -54,12 +54,10 @@ def gram(rows: DataFrame, vector: str, by: list[str] | None = None, targets: lis
         yield pd.DataFrame([(*k, m.ravel().tolist()) for k, m in found.items()], columns=[*names, "m"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    out: dict[tuple, np.ndarray] = {}
-    for r in data.mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "m array<double>"])).collect():
-        m = np.array(r["m"])
-        key = tuple(r[c] for c in names)
-        out[key] = out.get(key, 0.0) + m.reshape(int(np.sqrt(len(m))), -1)
-    return out
+    parts = data.mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "m array<double>"]))
+    cells = parts.select(*names, F.posexplode("m").alias("cell", "x")).groupBy(*names, "cell").agg(F.sum("x").alias("x"))
+    whole = cells.groupBy(*names).agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", "x"))), lambda c: c["x"]).alias("m"))
+    return {tuple(r[c] for c in names): np.array(r["m"]).reshape(int(np.sqrt(len(r["m"]))), -1) for r in whole.collect()}
 
 
 def spread(rows: DataFrame, vector: str) -> DataFrame:
@@ -74,12 +72,25 @@ def spread(rows: DataFrame, vector: str) -> DataFrame:
 def permutation_p(rows: DataFrame, vector: str, label: str, key: str, permutations: int = 50) -> DataFrame:
     """One row: within-minus-across cosine of a two-valued label, and its add-one permutation p.
 
-    Relabelings are hash bits of (key, replicate); a replicate is a key of the sums, all come from one job.
+    Relabelings are hash bits of (key, replicate). Tasks add up the unit vectors of each replicate and label by one
+    product of the bits with the vectors, so rows are never copied per replicate.
     """
-    lanes = F.explode(F.sequence(F.lit(-1), F.lit(permutations - 1))).alias("perm")
-    mixed = rows.select(key, F.col(label).cast("int").alias("l"), F.col(vector).alias("v"), lanes)
-    own = F.when(F.col("perm") < 0, F.col("l")).otherwise(F.pmod(F.xxhash64(key, "perm"), F.lit(2)).cast("int"))
-    sums = within_cosine(summed_units(mixed.select("perm", own.alias("l"), "v"), ["perm", "l"], "v"))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda i: F.pmod(F.xxhash64(key, i), F.lit(2)).cast("int"))
+    mixed = rows.select(F.concat(F.array(F.col(label).cast("int")), bits).alias("l"), unit(F.col(vector)).alias("v")).where("v is not null")
+
+    def run(batches):
+        found = 0.0
+        for part in batches:
+            if len(part):
+                ones, v = np.stack(part["l"].to_numpy()).astype(float), np.stack(part["v"].to_numpy()).astype(float)
+                v = np.hstack([np.ones((len(v), 1)), v])
+                found = found + np.stack([(1 - ones).T @ v, ones.T @ v], axis=1)
+        if isinstance(found, np.ndarray):
+            yield pd.DataFrame({"perm": np.repeat(np.arange(len(found)), 2) - 1, "l": np.tile([0, 1], len(found)), "s": list(found.reshape(-1, found.shape[2]))})
+
+    cells = mixed.mapInPandas(run, "perm long, l long, s array<double>").select("perm", "l", F.posexplode("s").alias("d", "x")).groupBy("perm", "l", "d").agg(F.sum("x").alias("x"))
+    whole = cells.groupBy("perm", "l").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda c: c["x"]).alias("s"))
+    sums = within_cosine(whole.select("perm", "l", F.col("s")[0].alias("n"), F.slice("s", 2, 1 << 20).alias("s")))
     wide = sums.groupBy("perm").agg(F.avg("within").alias("within"), F.collect_list("s").alias("s"), F.collect_list("n").alias("n"))
     stat = wide.select("perm", (F.col("within") - dot(F.col("s")[0], F.col("s")[1]) / (F.col("n")[0] * F.col("n")[1])).alias("d"))
     real = stat.where("perm < 0").select(F.col("d").alias("real"))
