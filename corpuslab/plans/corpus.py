@@ -151,19 +151,15 @@ def c13(spark, sf):
     return C.leakage_matrix(asked, C.hash_split(read(spark, sf, "documents"), F.col("text"), 0.3))
 
 
-@query("c14_collect_split", f"""WITH q AS (SELECT doc_id AS item_id, lang AS task, substring(text, 1, 40) AS question FROM documents), n AS (SELECT *, {ALNUM.replace('text', 'question')} AS k FROM q),
-m AS (SELECT *, min(item_id) OVER (PARTITION BY k) AS first FROM n), s AS (SELECT *, CASE WHEN k = '' THEN 'empty' WHEN k IN (SELECT k FROM n WHERE item_id % 50 = 0) THEN 'excluded' WHEN item_id <> first THEN 'duplicate' ELSE 'kept' END AS st FROM m)
-SELECT task, status, count(*) AS n FROM (SELECT task, CASE WHEN st = 'kept' AND row_number() OVER (PARTITION BY task, st ORDER BY item_id) > 100 THEN 'over' ELSE st END AS status FROM s) GROUP BY ALL""")
-def c14(spark, sf):
-    asked = read(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("lang").alias("task"), F.substring("text", 1, 40).alias("question"))
-    return C.collect_split(asked, asked.where("item_id % 50 = 0"), 100).groupBy("task", "status").agg(F.count("*").alias("n"))
+COLLECTED = f"""WITH n AS (SELECT doc_id AS item_id, lang AS task, {ALNUM} AS k, {ALNUM.replace('text', "string_split(text, 'Question:')[-1]")} AS t FROM documents), b AS (SELECT {ALNUM} AS k FROM benchmark),
+m AS (SELECT *, min(item_id) OVER (PARTITION BY k) AS first FROM n), s AS (SELECT *, CASE WHEN k = '' THEN 'empty' WHEN k IN (SELECT k FROM b WHERE k <> '') OR t IN (SELECT k FROM b WHERE k <> '') THEN 'excluded' WHEN item_id <> first THEN 'duplicate' ELSE 'kept' END AS st FROM m)
+SELECT task, status, count(*) AS n FROM (SELECT task, CASE WHEN st = 'kept' AND row_number() OVER (PARTITION BY task, st ORDER BY item_id) > 100 THEN 'over' ELSE st END AS status FROM s) GROUP BY ALL"""
 
 
-@query("c14_collect_split_whole", f"""WITH n AS (SELECT doc_id AS item_id, lang AS task, {ALNUM} AS k, {ALNUM.replace('text', "string_split(text, 'Question:')[-1]")} AS t FROM documents), b AS (SELECT {ALNUM} AS k FROM benchmark),
-m AS (SELECT *, min(item_id) OVER (PARTITION BY k) AS first FROM n), s AS (SELECT *, CASE WHEN k = '' THEN 'empty' WHEN k IN (SELECT k FROM b WHERE k <> '') OR t IN (SELECT k FROM b WHERE k <> '') THEN 'excluded' WHEN item_id <> first THEN 'duplicate' ELSE 'kept' END AS st FROM m)
-SELECT task, status, count(*) AS n FROM (SELECT task, CASE WHEN st = 'kept' AND row_number() OVER (PARTITION BY task, st ORDER BY item_id) > 100 THEN 'over' ELSE st END AS status FROM s) GROUP BY ALL""")
-def c14_whole(spark, sf):
-    """Whole texts as questions, those of ``benchmark`` known; ``c14_collect_split`` sees the first 40 characters only."""
+@query("c14_collect_split_whole", COLLECTED)
+@query("c14_collect_split", COLLECTED)
+def c14(spark, sf):
+    """Whole texts as questions, those of ``benchmark`` known."""
     asked = read(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("lang").alias("task"), F.col("text").alias("question"))
     known = read(spark, sf, "benchmark").select(F.col("text").alias("question"))
     return C.collect_split(asked, known, 100).groupBy("task", "status").agg(F.count("*").alias("n"))

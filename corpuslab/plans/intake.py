@@ -76,16 +76,13 @@ def s9(spark, sf):
     return S.merge_results(docs.withColumn("state", F.lit("old")), docs.where("doc_id % 2 = 0").withColumn("state", F.lit("new")), ["doc_id"])
 
 
-@query("st1_intake", "SELECT count(DISTINCT k) AS fresh FROM (SELECT trim(regexp_replace(regexp_replace(lower(substring(text, 1, 40)), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS k FROM documents) WHERE k <> '' AND k NOT IN (SELECT trim(regexp_replace(regexp_replace(lower(substring(text, 1, 40)), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) FROM benchmark)")
-def st1(spark, sf):
-    items = J.read_stream(spark, sf, "documents").select(F.substring("text", 1, 40).alias("question"))
-    known = read(spark, sf, "benchmark").select(F.substring("text", 1, 40).alias("question"))
-    return J.drain(J.intake(items, known), "st1").agg(F.count("*").alias("fresh"))
+FRESH = f"SELECT count(DISTINCT k) AS fresh FROM (SELECT {ALNUM} AS k FROM documents) WHERE k <> '' AND k NOT IN (SELECT {ALNUM} FROM benchmark)"
 
 
-@query("st1_intake_whole", f"SELECT count(DISTINCT k) AS fresh FROM (SELECT {ALNUM} AS k FROM documents) WHERE k <> '' AND k NOT IN (SELECT {ALNUM} FROM benchmark)")
-def st1_whole(spark, sf):
-    """Whole texts as questions; ``st1_intake`` sees the first 40 characters only."""
+@query("st1_intake_whole", FRESH)
+@query("st1_intake", FRESH)
+def st1(spark, sf):
+    """Whole texts as questions, those of ``benchmark`` known."""
     items = J.read_stream(spark, sf, "documents").select(F.col("text").alias("question"))
     known = read(spark, sf, "benchmark").select(F.col("text").alias("question"))
     return J.drain(J.intake(items, known).select("key"), "st1").agg(F.count("*").alias("fresh"))

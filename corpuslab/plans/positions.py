@@ -59,28 +59,26 @@ def p5(spark, sf):
     return P.cross_table(rows, "surprisal", "evidence", "margin", SURPRISAL, (0, 1, 5, 50)).withColumn("mean", F.round("mean", 6))
 
 
-GRID = f"{REC}, g AS (SELECT unnest(generate_series(0, 20)) AS i), l AS (SELECT grp, pos % 5 AS fold, i, count(*) AS n, sum(-ln(greatest(i / 20 * exp(-nll_p) + (1 - i / 20) * exp(-nll_q), 1e-12))) AS loss FROM r CROSS JOIN g GROUP BY ALL)"
+GRID = f"{REC}, g AS (SELECT unnest(generate_series(0, 1000)) AS i), l AS (SELECT grp, pos % 5 AS fold, i, count(*) AS n, sum(-ln(greatest(i / 1000 * exp(-nll_p) + (1 - i / 1000) * exp(-nll_q), 1e-12))) AS loss FROM r CROSS JOIN g GROUP BY ALL)"
 
 
-@query("p6_mixture_lambda", f"{GRID}, t AS (SELECT grp, i, sum(n) AS n, sum(loss) AS loss FROM l GROUP BY ALL) SELECT grp, n::BIGINT AS n, i / 20 AS lam, round(loss / n, 6) AS loss FROM t QUALIFY row_number() OVER (PARTITION BY grp ORDER BY loss, i) = 1".replace("GROUP BY ALL) SELECT grp, n::BIGINT", "GROUP BY grp, i) SELECT grp, n::BIGINT"))
-def p6(spark, sf):
-    return P.best_lambda(P.mixture_grid(records(spark, sf), ["grp"], 20), ["grp"], 20).withColumn("loss", F.round("loss", 6))
+SQL_P6 = f"{GRID}, t AS (SELECT grp, i, sum(n) AS n, sum(loss) AS loss FROM l GROUP BY ALL) SELECT grp, n::BIGINT AS n, i / 1000 AS lam, round(loss / n, 6) AS loss FROM t QUALIFY row_number() OVER (PARTITION BY grp ORDER BY loss, i) = 1".replace("GROUP BY ALL) SELECT grp, n::BIGINT", "GROUP BY grp, i) SELECT grp, n::BIGINT")
 
 
-@query("p7_crossfit_gain", f"{GRID}, t AS (SELECT l.*, sum(loss) OVER (PARTITION BY grp, i) - loss AS train FROM l), b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY grp, fold ORDER BY train, i) = 1) SELECT b.fold::INT AS fold, b.grp, b.i / 20 AS lam, b.n, round(z.loss - b.loss, 5) AS gain FROM b JOIN l z ON z.grp = b.grp AND z.fold = b.fold AND z.i = 0")
-def p7(spark, sf):
-    return P.crossfit_gain(records(spark, sf), "grp", 5, 20).select("fold", "grp", "lam", "n", F.round("gain", 5).alias("gain"))
+@query("p6_mixture_lambda_fine", SQL_P6)
+@query("p6_mixture_lambda", SQL_P6)
+def p6(spark, sf):
+    """All 1,001 weights."""
+    return P.best_lambda(P.mixture_grid(records(spark, sf), ["grp"]), ["grp"]).withColumn("loss", F.round("loss", 6))
 
 
-@query("p6_mixture_lambda_fine")
-def p6_fine(spark, sf):
-    """All 1,001 weights; ``p6_mixture_lambda`` has the 21 of its SQL."""
-    return P.best_lambda(P.mixture_grid(records(spark, sf), ["grp"]), ["grp"]).withColumn("loss", F.round("loss", 6))
+SQL_P7 = f"{GRID}, t AS (SELECT l.*, sum(loss) OVER (PARTITION BY grp, i) - loss AS train FROM l), b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY grp, fold ORDER BY train, i) = 1) SELECT b.fold::INT AS fold, b.grp, b.i / 1000 AS lam, b.n, round(z.loss - b.loss, 5) AS gain FROM b JOIN l z ON z.grp = b.grp AND z.fold = b.fold AND z.i = 0"
 
 
-@query("p7_crossfit_gain_fine")
-def p7_fine(spark, sf):
-    """All 1,001 weights; ``p7_crossfit_gain`` has the 21 of its SQL."""
+@query("p7_crossfit_gain_fine", SQL_P7)
+@query("p7_crossfit_gain", SQL_P7)
+def p7(spark, sf):
+    """All 1,001 weights."""
     return P.crossfit_gain(records(spark, sf), "grp").select("fold", "grp", "lam", "n", F.round("gain", 5).alias("gain"))
 
 
