@@ -148,6 +148,9 @@ class WordBpe:
         self.special = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         self.cached, self.cache, self.older = cached, {}, {}
 
+    def forget(self) -> None:
+        self.cache, self.older = {}, {}
+
     def _merge(self, word: str) -> tuple[int, ...]:
         raw = word.encode()
         parts = [*(self.inner[b] for b in raw[:-1]), self.last[raw[-1]]]

@@ -74,6 +74,7 @@ def pieces_of(rows: DataFrame, path: str, capacity: int) -> DataFrame:
             of = batch.take(pa.array(taken, pa.int64()))
             columns = {"piece": number, "length": [len(x) for x in cuts], "ids": cuts}
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else of.column(f.name) for f in schema], schema=schema)
+        bpe.forget()  # workers live on for other stages
 
     return rows.select("row", "doc_id", "source", "cluster", "text").mapInArrow(run, PIECE)
 
