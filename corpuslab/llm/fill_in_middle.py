@@ -66,7 +66,7 @@ def store(text: str, frame_bytes: int = FRAME_BYTES) -> tuple[int, bool, list[in
     data = text.encode("utf-8", "surrogatepass")
     units, chars, frames, n, length, at, in_run = [], [], [], 0, 0, 0, False
     while at < len(data):
-        end = min(at + frame_bytes, len(data))
+        end = min(at + max(4, frame_bytes), len(data))  # a code point has up to four bytes
         while end < len(data) and data[end] & 0xC0 == 0x80:
             end -= 1
         piece = data[at:end]

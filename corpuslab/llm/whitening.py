@@ -123,9 +123,11 @@ class Spectrum:
 
     def __init__(self, width: int):
         self.n, self.mean, self.values, self.vectors = 0, np.zeros(width), np.zeros(width), np.eye(width)
+        self.sums = np.zeros(width, object)
 
     def add(self, x: np.ndarray, times: int) -> None:
         """``times`` copies of one vector."""
+        self.sums = self.sums + x.astype(object) * times
         away, total = x - self.mean, self.n + times
         if self.n:
             self.values, self.vectors = rank_one(self.values, self.vectors, away, self.n * (times / total))
@@ -136,18 +138,20 @@ class Spectrum:
         for value, vector in zip(other.values, other.vectors.T, strict=True):
             if value > 0:
                 self.values, self.vectors = rank_one(self.values, self.vectors, vector, value)
+        self.sums = self.sums + other.sums
         away, total = other.mean - self.mean, self.n + other.n
         self.values, self.vectors = rank_one(self.values, self.vectors, away, self.n * (other.n / total))
         self.mean = self.mean + away * (other.n / total)
         self.n = total
 
     def row(self) -> tuple:
-        return self.n, self.mean.tolist(), self.values.tolist(), self.vectors.ravel().tolist()
+        return self.n, self.sums.tolist(), self.mean.tolist(), self.values.tolist(), self.vectors.ravel().tolist()
 
     @staticmethod
-    def of(n: int, mean: np.ndarray, values: np.ndarray, vectors: np.ndarray) -> Spectrum:
+    def of(n: int, sums: np.ndarray, mean: np.ndarray, values: np.ndarray, vectors: np.ndarray) -> Spectrum:
         out = Spectrum(len(mean))
         out.n, out.mean, out.values, out.vectors = int(n), np.array(mean), np.array(values), np.array(vectors).reshape(len(mean), -1)
+        out.sums = np.array([int(x) for x in sums], object)
         return out
 
 
@@ -156,7 +160,7 @@ def fixed(vectors: DataFrame) -> DataFrame:
     x = F.transform("embedding", lambda c: c.cast("double"))
     fits = ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c * SCALE) > LIMIT))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where((F.size("embedding") > 0) & fits)
-    return rows.select("vec_id", F.size("embedding").alias("width"), F.transform(x, lambda c: (F.floor(c * SCALE) + SHIFT).cast("long")).alias("x"))
+    return rows.select("vec_id", F.size("embedding").alias("width"), F.transform(x, lambda c: F.when(F.abs(c * SCALE) <= LIMIT, F.floor(c * SCALE) + SHIFT)).alias("x"))
 
 
 def by_width(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -169,9 +173,9 @@ def by_width(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarra
 
 
 def spectra(rows: DataFrame) -> DataFrame:
-    """(part, width, n, mean, evals, evecs): the spectrum of each partition, a row per width."""
-    ddl = "part long, width int, n long, mean array<double>, evals array<double>, evecs array<double>"
-    schema = pa.schema([("part", pa.int64()), ("width", pa.int32()), ("n", pa.int64()), *[(c, pa.list_(pa.float64())) for c in ("mean", "evals", "evecs")]])
+    """(part, width, n, sums, mean, evals, evecs): the spectrum of each partition, a row per width."""
+    ddl = "part long, width int, n long, sums array<long>, mean array<double>, evals array<double>, evecs array<double>"
+    schema = pa.schema([("part", pa.int64()), ("width", pa.int32()), ("n", pa.int64()), ("sums", pa.list_(pa.int64())), *[(c, pa.list_(pa.float64())) for c in ("mean", "evals", "evecs")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, Spectrum] = {}
@@ -182,7 +186,7 @@ def spectra(rows: DataFrame) -> DataFrame:
             for width, _, x in by_width(batch):
                 spectrum = found.setdefault(width, Spectrum(width))
                 once, times = np.unique(x, axis=0, return_counts=True)
-                for row, n in zip(once.astype(float), times.tolist(), strict=True):
+                for row, n in zip(once, times.tolist(), strict=True):
                     spectrum.add(row, n)
         if found:
             columns = zip(*((part, width, *s.row()) for width, s in found.items()), strict=True)
@@ -193,19 +197,20 @@ def spectra(rows: DataFrame) -> DataFrame:
 
 def combined(parts: DataFrame, at_once: int = 16) -> list[Spectrum]:
     """One spectrum per width: ``at_once`` spectra are merged in a task, until one of each width is left."""
+    names = parts.columns
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("part")
-        first, *others = (Spectrum.of(*row) for row in rows[["n", "mean", "evals", "evecs"]].itertuples(index=False))
+        first, *others = (Spectrum.of(*row) for row in rows[["n", "sums", "mean", "evals", "evecs"]].itertuples(index=False))
         for other in others:
             first.merge(other)
-        return pd.DataFrame([(rows["part"].iloc[0] // at_once, rows["width"].iloc[0], *first.row())], columns=parts.columns)
+        return pd.DataFrame([(rows["part"].iloc[0] // at_once, rows["width"].iloc[0], *first.row())], columns=names)
 
     parts = materialise(parts, "whitening-spectra")
     while (parts.agg(F.max("part")).first()[0] or 0) > 0:
         groups = parts.groupBy("width", F.floor(F.col("part") / at_once).alias("group"))
         parts = materialise(groups.applyInPandas(merge, parts.schema), "whitening-spectra")
-    return [Spectrum.of(r["n"], r["mean"], r["evals"], r["evecs"]) for r in parts.collect()]
+    return [Spectrum.of(r["n"], r["sums"], r["mean"], r["evals"], r["evecs"]) for r in parts.collect()]
 
 
 def gram_cells(rows: DataFrame, shared, project) -> dict[int, np.ndarray]:
@@ -249,12 +254,7 @@ def whiten(vectors: DataFrame, components: int = 8, at_once: int = 16) -> DataFr
     spark = vectors.sparkSession
     rows = fixed(vectors)
     found = {len(s.mean): s for s in combined(spectra(rows), at_once)}
-    position = F.posexplode("x").alias("i", "v")
-    models: dict[int, dict] = {}
-    for width, s in found.items():
-        models[width] = {"n": s.n, "vectors": np.linalg.qr(s.vectors)[0], "sums": np.zeros(width, np.int64)}
-    for r in rows.select("width", position).groupBy("width", "i").agg(F.sum("v").alias("s")).collect():
-        models[r["width"]]["sums"][r["i"]] = r["s"]
+    models = {width: {"n": s.n, "vectors": np.linalg.qr(s.vectors)[0], "sums": s.sums.astype(np.int64)} for width, s in found.items()}
     gram = gram_cells(rows, spark.sparkContext.broadcast(models), lambda m, x: centred(m, x) @ m["vectors"])
     for width, g in gram.items():
         model, cov = models[width], g / models[width]["n"]
