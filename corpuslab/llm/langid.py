@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import held_out, table
+from .common import held_out, released, table
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -118,7 +118,7 @@ def learn(docs: DataFrame, docs_per_language: int = 2000, penalty: float = 6.0,
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())], schema=schema)
 
-    counted = chosen.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = chosen.select("text", "lang").mapInArrow(released(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((BUCKETS + len(NAMES), len(languages)))
     counts[counted["bucket"], [languages.index(x) for x in counted["lang"]]] = counted["n"]
     grams, letters = counts[:BUCKETS] + 0.5, counts[BUCKETS:]
@@ -232,7 +232,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
                 columns.append(pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays(columns, [*keep, *added])
 
-    return source.mapInArrow(run, fields)
+    return source.mapInArrow(released(run), fields)
 
 
 def op4_language(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, released, table
 from .components import connected_components
 
 _U64 = np.uint64
@@ -97,7 +97,7 @@ def _signed(docs: DataFrame, size: int, symbols: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), pa.array(sig, pa.binary())], schema=schema)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return rows.mapInArrow(run, "row long, doc_id long, n long, d1 long, d2 long, sig binary")
+    return rows.mapInArrow(released(run), "row long, doc_id long, n long, d1 long, d2 long, sig binary")
 
 
 def bitmap_of(ids: DataFrame, most_bits: int = 27) -> tuple[int, np.ndarray]:
@@ -147,7 +147,7 @@ def index_keys(signatures: DataFrame, chunks: int, width: int, errors: int, only
                     nodes, keys = nodes[held], keys[held]
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes)], schema=schema)
 
-    return signatures.select("node", "sig").mapInArrow(run, "key long, node long")
+    return signatures.select("node", "sig").mapInArrow(released(run), "key long, node long")
 
 
 def _linked(targets: list[tuple[int, int, np.ndarray]]):
@@ -200,7 +200,7 @@ def confirm(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: in
                 links += [(component, other) for other in {targets[j][1] for j in similar(found, percent)} if other != component]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=schema)
 
-    return dealt.select("grp", "block", "batch", "asks", "node", "component", "shingles").mapInArrow(run, "u long, v long")
+    return dealt.select("grp", "block", "batch", "asks", "node", "component", "shingles").mapInArrow(released(run), "u long, v long")
 
 
 def star_links(queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -233,7 +233,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(digests, pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], schema=schema)
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text", _node_hash("doc_id").alias("h"))
-    found = rows.mapInArrow(run, "node long, d1 long, shingles array<long>")
+    found = rows.mapInArrow(released(run), "node long, d1 long, shingles array<long>")
     return found.join(nodes.select("node", "d1").hint("merge"), ["node", "d1"], "left_semi").dropDuplicates(["node", "d1"]).select("node", "shingles")
 
 
@@ -245,7 +245,7 @@ def _sets_for(sets: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.take(pa.array(_held(shared.value, batch.column("h").to_numpy()))).select(["node", "shingles"])
 
-    return sets.withColumn("h", _node_hash("node")).mapInArrow(run, "node long, shingles array<long>")
+    return sets.withColumn("h", _node_hash("node")).mapInArrow(released(run), "node long, shingles array<long>")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle_words: int = 5, chunks: int = 10, width: int = 6, errors: int = 1, rounds: int = 2) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import default_tokenizer, load
-from .common import materialise, table, text_or_empty
+from .common import materialise, released, table, text_or_empty
 from .near_dedup import near_duplicates
 
 
@@ -76,7 +76,7 @@ def pieces_of(rows: DataFrame, path: str, capacity: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else of.column(f.name) for f in schema], schema=schema)
         bpe.forget()  # workers live on for other stages
 
-    return rows.select("row", "doc_id", "source", "cluster", "text").mapInArrow(run, PIECE)
+    return rows.select("row", "doc_id", "source", "cluster", "text").mapInArrow(released(run), PIECE)
 
 
 def pack_documents(docs: DataFrame, clusters: DataFrame | None = None, capacity: int = 2048, shard_pieces: int = 4096, tokenizer: str | None = None) -> DataFrame:
@@ -123,7 +123,7 @@ def pack_documents(docs: DataFrame, clusters: DataFrame | None = None, capacity:
                 values = ((shard << 32) + number, len(whole), whole, starts, doc_ids, offsets, sources)
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, schema, strict=True)], schema=schema)
 
-    return ordered.select(*names, "ids").mapInArrow(run, SEQUENCE)
+    return ordered.select(*names, "ids").mapInArrow(released(run), SEQUENCE)
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:

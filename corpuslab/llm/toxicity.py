@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import held_out, materialise, table
+from .common import held_out, materialise, released, table
 from .components import connected_components
 
 # Letters that a character can stand for, beside itself if it is a letter.
@@ -301,7 +301,7 @@ def char_model(docs: DataFrame) -> CharModel:
                 grams[gram] = grams.get(gram, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())], ["gram", "n"])
 
-    counted = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(count, "gram string, n long")
+    counted = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(released(count), "gram string, n long")
     summed = counted.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     return CharModel(dict(zip(summed["gram"].to_pylist(), summed["n"].to_pylist(), strict=True)))
 
@@ -333,7 +333,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 30_000, least_ro
                 found = sorted({f for w in reader.words(text) for f in features_of(w)})
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array([x] * len(found), pa.int64()) for x in (doc_id, group))], ["feature", "doc_id", "group"])
 
-    rows = toxic_rows.select("text", "doc_id", "group").mapInArrow(toxic_features, "feature string, doc_id long, group long")
+    rows = toxic_rows.select("text", "doc_id", "group").mapInArrow(released(toxic_features), "feature string, doc_id long, group long")
     counted = rows.distinct().groupBy("feature").agg(F.count("*").alias("rows"), F.count_distinct("group").alias("n")).where(F.col("rows") >= least_rows)
     covers = {r["feature"]: r["n"] for r in counted.collect()}
     wanted = docs.sparkSession.sparkContext.broadcast(frozenset(covers))
@@ -345,7 +345,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 30_000, least_ro
                 seen.update(wanted.value & {f for w in reader.words(text) for f in features_of(w)})
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["feature", "n"])
 
-    clean = {r["feature"]: r["n"] for r in train.where("toxic = 0").select("text").mapInArrow(clean_counts, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
+    clean = {r["feature"]: r["n"] for r in train.where("toxic = 0").select("text").mapInArrow(released(clean_counts), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, rest = sizes.get(1, 0), sizes.get(0, 0)
     prior = (toxic + 1) / (toxic + rest + 2)
@@ -378,7 +378,7 @@ def copies_counted_once(rows: DataFrame) -> DataFrame:
             pairs = [(band, doc_id) for text, doc_id in zip(batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), strict=True) for band in copy_bands(text)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], ["band", "doc_id"])
 
-    bands = materialise(rows.select("text", "doc_id").mapInArrow(cut, "band long, doc_id long"), "toxicity-bands")
+    bands = materialise(rows.select("text", "doc_id").mapInArrow(released(cut), "band long, doc_id long"), "toxicity-bands")
     low = bands.groupBy("band").agg(F.min("doc_id").alias("low"))
     groups = connected_components(bands.join(low, "band").select(F.col("doc_id").alias("u"), F.col("low").alias("v")))
     return rows.join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group")), "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id"))
@@ -406,7 +406,7 @@ def score_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id"
                 words.append(sorted(found))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array(words, pa.list_(pa.string()))], [*keep, "tox_score", "tox_words"])
 
-    return source.mapInArrow(run, fields)
+    return source.mapInArrow(released(run), fields)
 
 
 THRESHOLD = 0.7

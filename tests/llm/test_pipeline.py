@@ -87,3 +87,12 @@ def test_queries_run(spark, name):
         rel = con.sql(ORACLE[name])
         names = list(rel.columns)
         assert sorted(map(repr, (tuple(r[c] for c in names) for r in rows))) == sorted(map(repr, rel.fetchall()))
+
+
+def test_near_duplicates_by_row(spark):
+    """Unrelated texts that share an id both stay, repeated rows leave one, null ids are rows like others."""
+    texts = {"a": "one two three four five six seven eight nine ten eleven", "b": "red green blue black white grey pink brown gold", "c": "lonely words that nobody else has in any order here"}
+    rows = [(4, texts["a"]), (4, texts["b"]), (4, texts["a"]), (2, texts["b"]), (None, texts["c"]), (None, texts["c"]), (7, None), (7, None), (8, ""), (None, texts["a"])]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(4, texts["a"]), (2, texts["b"]), (None, texts["c"]), (7, None), (7, None), (8, "")], key=str)
