@@ -17,10 +17,14 @@ from corpuslab.functions.storage import written
 
 
 def token_rows(docs: DataFrame, most: int = 3) -> DataFrame:
-    """(doc_id, pos, token, before): ``before`` holds up to ``most`` tokens before each, so that contexts need no window."""
-    rows = docs.select("doc_id", T.word_tokens(F.col("text")).alias("__t")).select("doc_id", "__t", F.posexplode("__t").alias("pos", "token"))
-    first = F.greatest(F.col("pos") - most, F.lit(0))
-    return rows.select("doc_id", "pos", "token", F.slice("__t", first + 1, F.col("pos") - first).alias("before", metadata={"most": most}))
+    """(doc_id, pos, token, before): ``before`` holds up to ``most`` tokens before each, so that contexts need no window.
+
+    What is exploded is an expression that no filter can be inferred from, so each text is matched once.
+    """
+    before = lambda t, i: F.slice(t, F.greatest(i - most, F.lit(0)) + 1, F.least(i, F.lit(most)))
+    rows = T.let(T.word_tokens(F.col("text")), lambda t: F.transform(t, lambda w, i: F.struct(w.alias("token"), before(t, i).alias("before"))))
+    found = docs.select("doc_id", F.posexplode(rows).alias("pos", "__w"))
+    return found.select("doc_id", "pos", "__w.token", F.col("__w.before").alias("before", metadata={"most": most}))
 
 
 def token_stream(docs: DataFrame, eos: str = "</s>") -> DataFrame:
@@ -73,9 +77,13 @@ def kneser_ney_counts(counts: DataFrame, order: int) -> DataFrame:
     return counts.where(F.col("ord") == order).unionByName(continuation_counts(counts).where(F.col("ord") < order))
 
 
-def discounts(level: DataFrame, smoothing: str = "mkn") -> DataFrame:
-    """(ord, n1..n4, y, d1, d2, d3) from counts of counts; a half each where there is no signal."""
-    n = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
+def discounts(level: DataFrame, smoothing: str = "mkn", weight: str | None = None) -> DataFrame:
+    """(ord, n1..n4, y, d1, d2, d3) from counts of counts; a half each where there is no signal.
+
+    With ``weight`` a row stands for so many entries.
+    """
+    each = F.col(weight) if weight else F.lit(1)
+    n = [F.coalesce(F.sum(F.when(F.col("n") == i, each)), F.lit(0)).cast("long").alias(f"n{i}") for i in (1, 2, 3, 4)]
     c = level.groupBy("ord").agg(*n)
     n1, n2, n3, n4 = (F.col(f"n{i}") for i in (1, 2, 3, 4))
     c = c.withColumn("y", F.greatest(F.lit(1e-3), F.least(F.lit(0.99), n1 / F.nullif(n1 + 2 * n2, F.lit(0)))))
@@ -125,43 +133,93 @@ def matched(tokens: DataFrame, model: DataFrame, order: int) -> DataFrame:
     return out
 
 
-def score_interpolated(tokens: DataFrame, model: DataFrame, order: int, n_vocab: int) -> DataFrame:
-    """(doc_id, pos, token, matched, logp): p_k = disc_k + gamma_k p_(k-1) from the spread unigram floor upwards."""
-    rows = matched(tokens, model, order)
+def interpolated(order: int, n_vocab: int) -> Column:
+    """The probability of ``matched`` rows: p_k = disc_k + gamma_k p_(k-1) from the spread unigram floor upwards."""
     p = F.coalesce("disc1", F.lit(0.0)) + F.col("gamma1") / n_vocab
-    best = F.when(F.col("disc1").isNotNull(), 1).otherwise(0)
     for k in range(2, order + 1):
-        known = F.col(f"gamma{k}").isNotNull()
-        p = F.when(known, F.coalesce(f"disc{k}", F.lit(0.0)) + F.col(f"gamma{k}") * p).otherwise(p)
-        best = F.when(F.col(f"disc{k}").isNotNull(), k).otherwise(best)
-    return rows.select("doc_id", "pos", "token", best.alias("matched"), F.ln(p).alias("logp"))
+        p = F.when(F.col(f"gamma{k}").isNotNull(), F.coalesce(f"disc{k}", F.lit(0.0)) + F.col(f"gamma{k}") * p).otherwise(p)
+    return p
 
 
-def score_longest(tokens: DataFrame, model: DataFrame, order: int, n_vocab: int) -> DataFrame:
+def longest_match(order: int, n_vocab: int) -> Column:
     """The longest known context's discounted part plus its backoff weight times the unigram probability."""
-    rows = matched(tokens, model, order)
     unigram = F.coalesce("disc1", F.lit(0.0)) + F.col("gamma1") / n_vocab
     p = unigram
     for k in range(2, order + 1):
         p = F.when(F.col(f"gamma{k}").isNotNull(), F.coalesce(f"disc{k}", F.lit(0.0)) + F.col(f"gamma{k}") * unigram).otherwise(p)
-    return rows.select("doc_id", "pos", "token", F.ln(p).alias("logp"))
+    return p
+
+
+def score_interpolated(tokens: DataFrame, model: DataFrame, order: int, n_vocab: int) -> DataFrame:
+    """(doc_id, pos, token, matched, logp) by ``interpolated``; matched: the highest order that has the token."""
+    rows = matched(tokens, model, order)
+    best = F.when(F.col("disc1").isNotNull(), 1).otherwise(0)
+    for k in range(2, order + 1):
+        best = F.when(F.col(f"disc{k}").isNotNull(), k).otherwise(best)
+    return rows.select("doc_id", "pos", "token", best.alias("matched"), F.ln(interpolated(order, n_vocab)).alias("logp"))
+
+
+def score_longest(tokens: DataFrame, model: DataFrame, order: int, n_vocab: int) -> DataFrame:
+    """(doc_id, pos, token, logp) by ``longest_match``."""
+    return matched(tokens, model, order).select("doc_id", "pos", "token", F.ln(longest_match(order, n_vocab)).alias("logp"))
 
 
-def topk_accuracy(tokens: DataFrame, model: DataFrame, order: int, k: int = 5) -> DataFrame:
-    """One row: positions, share whose token is the first, or among the first k, continuations by probability.
+def best_continuations(asked: DataFrame, model: DataFrame, order: int, n_vocab: int, candidates: DataFrame | None, k: int, lookup: str) -> DataFrame:
+    """(c1.., top): the k most probable candidates after each asked context (c1..c``order``), ties to the smaller token.
 
-    Only stored continuations of the longest known context and the k commonest tokens can rank, so a position
-    meets one precomputed list of its context: k rows per context, kept by a window per context.
+    Exact, without a product of contexts and vocabulary. Let h be a context and h' its shorter one. The k best after h
+    are among the k best entries stored for h and the k best after h': a token that h does not store has gamma(h) times
+    its probability after h', so k tokens that beat it there beat it here too. Stored entries get their probability by
+    joins with the shorter orders; then a context's list is its own k entries merged with gamma times the list of its
+    shorter one, which holds k entries again. With ``lookup`` longest, the longest known context is merged with the
+    unigram list alone.
     """
-    w = Window.partitionBy("ord", "ctx").orderBy(F.desc("disc"), "next")
-    best = model.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    lists = best.groupBy("ord", "ctx").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "next"))), lambda x: x["next"]).alias("top"))
-    rows = contexts(tokens, list(range(1, order + 1)))
+    value = interpolated if lookup == "interpolate" else longest_match
+    out = asked
     for o in range(1, order + 1):
-        own = lists.where(F.col("ord") == o).select(F.col("ctx").alias(f"c{o}"), F.col("top").alias(f"t{o}"))
-        rows = rows.join(F.broadcast(own) if o == 1 else own, f"c{o}", "left")
-    top = F.coalesce(*[F.col(f"t{o}") for o in range(order, 0, -1)])
-    return rows.agg(F.count("*").alias("positions"), F.avg((F.element_at(top, 1) == F.col("token")).cast("int")).alias("top1"), F.avg(F.array_contains(top, F.col("token")).cast("int")).alias("topk"))
+        entries = model.where(F.col("ord") == o)
+        wanted = asked.select(F.col(f"c{o}").alias("ctx")).where("ctx is not null").distinct()
+        known = entries.join(wanted, "ctx", "left_semi")
+        gammas = known.groupBy("ctx").agg(F.first("gamma").alias(f"g{o}"))
+        if candidates is not None:
+            known = known.join(candidates.select(F.col("token").alias("next")), "next", "left_semi")
+        words = F.split("ctx", " ") if o > 1 else F.array().cast("array<string>")
+        scored = matched(known.select("ctx", F.col("next").alias("token"), words.alias("before", metadata={"most": max(1, o - 1)})), model.where(F.col("ord") <= o), o).select("ctx", "token", value(o, n_vocab).alias("p"))
+        rank = F.row_number().over(Window.partitionBy("ctx").orderBy(F.desc("p"), "token"))
+        lists = scored.withColumn("r", rank).where(F.col("r") <= k).groupBy("ctx").agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("loss"), F.col("token").alias("t")))).alias(f"l{o}"))
+        both = gammas.join(lists, "ctx", "left").withColumnRenamed("ctx", f"c{o}")
+        out = out.join(F.broadcast(both) if o == 1 else both, f"c{o}", "left")
+    out = out.withColumn("top", F.col("l1")).withColumn("unigrams", F.col("l1"))
+    for o in range(2, order + 1):
+        base = "top" if lookup == "interpolate" else "unigrams"
+        weight = F.col(f"g{o}")
+        lower = F.transform(base, lambda x: F.struct((x["loss"] * weight).alias("loss"), x["t"].alias("t")))  # noqa: B023
+        both = F.concat(F.coalesce(f"l{o}", F.filter("unigrams", lambda x: F.lit(False))), lower)
+        # A token on both lists has its own entry first, which is never the smaller one.
+        merged = T.let(F.array_sort(both), lambda all_: F.slice(F.filter(all_, lambda x, i: ~F.exists(F.slice(all_, 1, i), lambda y: y["t"] == x["t"])), 1, k))
+        out = out.withColumn("top", F.when(F.col(f"g{o}").isNotNull(), merged).otherwise(F.col("top")))
+    return out.select(*asked.columns, F.transform("top", lambda x: x["t"]).alias("top"))
+
+
+def topk_accuracy(tokens: DataFrame, model: DataFrame, order: int, n_vocab: int, candidates: DataFrame | None = None, k: int = 5, lookup: str = "interpolate") -> DataFrame:
+    """One row: positions, outside (targets that are no candidates), coverage, top1 and topk among targets inside, top1_all and topk_all.
+
+    A position is right if its token is the most probable candidate, or among the k most probable, after its context.
+    ``candidates``: (token), all tokens of the model if not given. Positions with equal context and token are counted
+    first, so a distinct context is looked up once.
+    """
+    names = [f"c{o}" for o in range(1, order + 1)]
+    counted = written(contexts(tokens, list(range(1, order + 1))).groupBy(*names, "token").agg(F.count("*").alias("n")), "topk-positions")
+    tops = written(best_continuations(counted.select(*names).distinct(), model, order, n_vocab, candidates, k, lookup), "topk-lists")
+    same = [counted[c].eqNullSafe(tops[c]) for c in names]
+    rows = counted.join(tops, reduce(lambda a, b: a & b, same)).select("token", "n", "top")
+    inside = candidates.select("token") if candidates is not None else model.where("ord = 1").select(F.col("next").alias("token"))
+    rows = rows.join(inside.distinct().withColumn("inside", F.lit(True)), "token", "left")
+    hit1, hit = F.coalesce(F.try_element_at("top", F.lit(1)) == F.col("token"), F.lit(False)), F.coalesce(F.array_contains("top", F.col("token")), F.lit(False))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    sums = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("positions"), total(F.col("inside")).alias("inside"), total(hit1).alias("h1"), total(hit).alias("hk"))
+    share = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
+    return sums.select("positions", (F.col("positions") - F.col("inside")).alias("outside"), share("inside", "positions").alias("coverage"), share("h1", "inside").alias("top1"), share("hk", "inside").alias("topk"), share("h1", "positions").alias("top1_all"), share("hk", "positions").alias("topk_all"))
 
 
 def prune(counts: DataFrame, tau: int, protect: int = 1) -> DataFrame:
@@ -180,6 +238,80 @@ def budget_frontier(counts: DataFrame, taus: list[int], protect: int = 1, entry_
     return entries.join(contexts_, "tau").withColumn("bytes", F.col("entries") * entry_bytes + F.col("contexts") * context_bytes)
 
 
+def pruned_gammas(level: DataFrame, taus: list[int], protect: int, smoothing: str = "mkn") -> tuple[DataFrame, DataFrame]:
+    """(entries, contexts) of all pruned models at once, with an array over ``taus`` in place of each figure.
+
+    entries: (ord, ctx, next, discs); contexts: (ord, ctx, gammas), null where a threshold leaves the context nothing.
+    A pruned model keeps entries of at least tau counts (all of them up to order ``protect``) and takes its discounts,
+    sums and masses from what it keeps; a context without an entry is gone. Discounts come from counts of counts, a
+    few rows per order and threshold; a context is summed once, with a vector over thresholds as its state.
+    """
+    kept = lambda t: (F.col("n") >= t) | (F.col("ord") <= protect)
+    histogram = written(level.groupBy("ord", "n").agg(F.count("*").alias("k")), "pruned-histogram")
+    found = None
+    for i, t in enumerate(taus):
+        rows = histogram.where(kept(t))
+        one = discounts(rows.withColumn("__w", F.col("k")), smoothing, weight="__w").select("ord", F.lit(i).alias("i"), *[F.col(f"d{j}").alias(f"a{j}") for j in (1, 2, 3)], F.col("y"))
+        found = one if found is None else found.unionByName(one)
+    per_order = found.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("i", "a1", "a2", "a3", "y"))).alias("ds"))
+    rows = level.join(F.broadcast(per_order), "ord")
+    one = lambda d, way: F.greatest(F.col("n") - {"a": F.when(F.col("n") >= 3, d["a3"]).when(F.col("n") == 2, d["a2"]).otherwise(d["a1"]), "b": d["y"], "c": F.lit(0.5)}[way], F.lit(0.0))
+    grid = F.array(*map(F.lit, taus))
+    state = lambda way: F.zip_with("ds", grid, lambda d, t: F.when(kept(t), one(d, way)).otherwise(0.0)).alias(f"k{way}")
+    states = [state(way) for way in "abc"]
+    zs = F.transform(grid, lambda t: F.when(kept(t), F.col("n")).otherwise(F.lit(0)))
+    wide = rows.select("ord", "ctx", "next", "n", *states, zs.alias("zn"))
+    sums = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(len(taus))]).alias(f"s{c}")
+    masses = written(wide.groupBy("ord", "ctx").agg(*[sums(c) for c in ("ka", "kb", "kc", "zn")]), "pruned-masses")
+    # Where a context's entries keep all of their mass, that order and threshold falls back, as in ``finalize``.
+    bad = masses.groupBy("ord").agg(*[F.array(*[F.max(F.col(f"sk{way}")[i] >= F.nullif(F.col("szn")[i], F.lit(0))) for i in range(len(taus))]).alias(f"bad_{way}") for way in "ab"])
+    pick = lambda i, a, b, c: F.when(~F.coalesce(F.get("bad_a", i), F.lit(False)), a).when(~F.coalesce(F.get("bad_b", i), F.lit(False)), b).otherwise(c)
+    at = F.sequence(F.lit(0), F.lit(len(taus) - 1))
+    contexts_ = masses.join(F.broadcast(bad), "ord").select("ord", "ctx", "szn", F.transform(at, lambda i: F.when(F.get("szn", i) > 0, 1 - pick(i, F.get("ska", i), F.get("skb", i), F.get("skc", i)) / F.get("szn", i))).alias("gammas"))
+    entries = wide.join(F.broadcast(bad), "ord").join(masses.select("ord", "ctx", "szn"), ["ord", "ctx"])
+    return entries.select("ord", "ctx", "next", F.transform(at, lambda i: F.coalesce(pick(i, F.get("ka", i), F.get("kb", i), F.get("kc", i)) / F.nullif(F.get("szn", i), F.lit(0)), F.lit(0.0))).alias("discs")), contexts_.select("ord", "ctx", "gammas")
+
+
+def loss_frontier(tokens: DataFrame, level: DataFrame, order: int, n_vocab: int, taus: list[int], protect: int = 1, entry_bytes: int = 8, context_bytes: int = 12) -> DataFrame:
+    """(tau, entries, contexts, bytes, positions, nll): size and mean loss of the model pruned at each threshold.
+
+    ``level``: (ord, ctx, next, n) of the whole model. One pass over the positions scores every pruned model: a
+    position's state is a vector of probabilities over thresholds, folded from the unigram floor upwards.
+    """
+    entries, gammas = (written(x, "pruned-model") for x in pruned_gammas(level, taus, protect))
+    rows = contexts(tokens, list(range(1, order + 1)))
+    for o in range(1, order + 1):
+        own = entries.where(F.col("ord") == o).select(F.col("ctx").alias(f"c{o}"), F.col("next").alias("token"), F.col("discs").alias(f"discs{o}"))
+        weights = gammas.where(F.col("ord") == o).select(F.col("ctx").alias(f"c{o}"), F.col("gammas").alias(f"gammas{o}"))
+        rows = rows.join(F.broadcast(weights) if o == 1 else weights, f"c{o}", "left").join(own, [f"c{o}", "token"], "left")
+
+    def p(i: int) -> Column:
+        value = F.coalesce(F.col("discs1")[i], F.lit(0.0)) + F.col("gammas1")[i] / n_vocab
+        for o in range(2, order + 1):
+            known = F.col(f"gammas{o}")[i]
+            value = F.coalesce(F.coalesce(F.col(f"discs{o}")[i], F.lit(0.0)) + known * value, value)
+        return value
+
+    losses = rows.agg(F.count("*").alias("positions"), *[F.avg(-F.ln(p(i))).alias(f"l{i}") for i in range(len(taus))])
+    cells = F.array(*[F.struct(F.lit(t).alias("tau"), F.col("positions"), F.col(f"l{i}").alias("nll")) for i, t in enumerate(taus)])
+    scored = losses.select(F.explode(cells).alias("x")).select("x.*")
+    return budget_frontier(level, taus, protect, entry_bytes, context_bytes).join(F.broadcast(scored), "tau")
+
+
+def best_within(frontier: DataFrame, budgets: list[int]) -> DataFrame:
+    """(budget, tau, bytes, nll, nll_at_budget): the largest pruned model within each byte budget.
+
+    nll_at_budget lies between that model and the next larger one, in proportion to the logarithm of bytes; it is null
+    where no larger one exists. A budget below the smallest model has nulls. ``frontier`` has a row per threshold.
+    """
+    wanted = frontier.sparkSession.createDataFrame([(int(b),) for b in budgets], "budget long")
+    pairs = F.broadcast(wanted).join(frontier.select("tau", "bytes", "nll"), how="cross")
+    point = F.struct("bytes", F.negative("tau").alias("m"), "nll")
+    ends = pairs.groupBy("budget").agg(F.max(F.when(F.col("bytes") <= F.col("budget"), point)).alias("low"), F.min(F.when(F.col("bytes") > F.col("budget"), point)).alias("high"))
+    along = (F.ln("budget") - F.ln("low.bytes")) / (F.ln("high.bytes") - F.ln("low.bytes"))
+    return ends.select("budget", F.negative("low.m").alias("tau"), "low.bytes", "low.nll", (F.col("low.nll") + along * (F.col("high.nll") - F.col("low.nll"))).alias("nll_at_budget"))
+
+
 def scaling(tokens: DataFrame, fracs: list[float], order: int = 2) -> DataFrame:
     """(frac, n_tokens, distinct): distinct n-grams of growing prefixes of the documents in order of id."""
     last = tokens.agg(F.max("doc_id")).first()[0] or 0
@@ -262,6 +394,41 @@ def jelinek_mercer(tokens: DataFrame, counts: DataFrame, n_vocab: int, grid: lis
     return sums.select(F.explode(cells).alias("x")).select("x.l3", "x.l2", "x.nll")
 
 
+def nested_mixture(tokens: DataFrame, counts: DataFrame, candidates: DataFrame, weights: list[float], discount: float = 0.75) -> DataFrame:
+    """(part, lam_bi, lam_tri, n, nll): mean loss of nested, absolutely discounted bigrams and trigrams over candidates.
+
+    With counts restricted to candidates as the next token, z(c) their sum after c and m(c) their number:
+    raw(y | c) = max(n(c, y) - d, 0) / z(c) + d m(c) / z(c) lower(y), or lower(y) where c is unknown. The bigram mixes
+    raw with the unigram share by lam_bi, the trigram mixes its raw, whose lower is that mixture, with it by lam_tri.
+    ``tokens`` has a column ``part`` (such as dev and test); positions whose token is no candidate are left out, as are
+    those without two tokens before. All pairs of weights are sums in one pass.
+    """
+    asked = contexts(tokens, [1, 2, 3]).where("c3 is not null").join(candidates.select("token"), "token", "left_semi")
+    own = counts.join(candidates.select(F.col("token").alias("next")), "next", "left_semi")
+    whole = own.where("ord = 1").agg(F.sum("n").alias("z1"))
+    rows = asked.join(own.where("ord = 1").select(F.col("next").alias("token"), F.col("n").alias("n1")), "token", "left").join(F.broadcast(whole))
+    for k in (2, 3):
+        level = own.where(F.col("ord") == k)
+        mass = level.groupBy(F.col("ctx").alias(f"c{k}")).agg(F.sum("n").alias(f"z{k}"), F.count("*").alias(f"m{k}"))
+        rows = rows.join(mass, f"c{k}", "left").join(level.select(F.col("ctx").alias(f"c{k}"), F.col("next").alias("token"), F.col("n").alias(f"n{k}")), [f"c{k}", "token"], "left")
+    raw = lambda k, lower: F.when(F.col(f"z{k}").isNull(), lower).otherwise(F.greatest(F.coalesce(f"n{k}", F.lit(0)) - discount, F.lit(0.0)) / F.col(f"z{k}") + discount * F.col(f"m{k}") / F.col(f"z{k}") * lower)
+    uni = F.coalesce("n1", F.lit(0)) / F.col("z1")
+    grid = [(b, t) for b in weights for t in weights]
+    values = []
+    for b, t in grid:
+        bi = b * raw(2, uni) + (1 - b) * uni
+        values.append(F.avg(-F.ln(F.greatest(t * raw(3, bi) + (1 - t) * bi, F.lit(1e-12)))))
+    sums = rows.groupBy("part").agg(F.count("*").alias("n"), *[v.alias(f"g{i}") for i, v in enumerate(values)])
+    cells = F.array(*[F.struct(F.lit(b).alias("lam_bi"), F.lit(t).alias("lam_tri"), F.col(f"g{i}").alias("nll")) for i, (b, t) in enumerate(grid)])
+    return sums.select("part", "n", F.explode(cells).alias("x")).select("part", "x.lam_bi", "x.lam_tri", "n", "x.nll")
+
+
+def tuned_mixture(grid: DataFrame, dev: str = "dev", test: str = "test") -> DataFrame:
+    """One row: the weights of the smallest loss on the dev part (ties to the smaller ones), and their loss on the test part."""
+    best = grid.where(F.col("part") == dev).agg(F.min(F.struct("nll", "lam_bi", "lam_tri")).alias("x")).select("x.lam_bi", "x.lam_tri", F.col("x.nll").alias("dev_nll"))
+    return grid.where(F.col("part") == test).join(F.broadcast(best), ["lam_bi", "lam_tri"]).select("lam_bi", "lam_tri", "dev_nll", F.col("nll").alias("test_nll"), "n")
+
+
 def memory_continuation(queries: DataFrame, counts: DataFrame, order: int, least_order: int = 2) -> DataFrame:
     """(query_id, used, next, p): continuations of the longest known suffix of each query (query_id, tokens)."""
     suffixes = queries.select("query_id", F.explode(F.array(*[F.struct(F.lit(k).alias("ord"), F.when(F.size("tokens") >= k - 1, F.array_join(F.slice("tokens", -(k - 1), k - 1), " ")).alias("ctx")) for k in range(least_order, order + 1)])).alias("g")).select("query_id", "g.ord", "g.ctx")

@@ -178,13 +178,41 @@ def n8_window_cost(spark, sf):
     return out
 
 
-@query("n9_topk_accuracy", f"""{MODEL}, b AS (SELECT ord, ctx, next, row_number() OVER (PARTITION BY ord, ctx ORDER BY round(disc, 12) DESC, next) AS r FROM m QUALIFY r <= 5), l AS (SELECT ord, ctx, list(next ORDER BY r) AS top FROM b GROUP BY ALL),
-x AS (SELECT token, coalesce(l3.top, l2.top, l1.top) AS top FROM ev LEFT JOIN l l3 ON l3.ord = 3 AND l3.ctx = c3 LEFT JOIN l l2 ON l2.ord = 2 AND l2.ctx = c2 LEFT JOIN l l1 ON l1.ord = 1)
-SELECT count(*) AS positions, round(avg((top[1] = token)::INT), 9) AS top1, round(avg(list_contains(top, token)::INT), 9) AS topk FROM x""")
-def n9(spark, sf):
+CANDIDATES = 500
+#: Every candidate is scored after every distinct context of the held-out stream.
+DENSE = f"""{MODEL}, v AS (SELECT count(DISTINCT token) AS v FROM tr), g AS (SELECT ord, ctx, any_value(gamma) AS gamma FROM m GROUP BY ord, ctx),
+ca AS (SELECT token FROM tr GROUP BY token ORDER BY count(*) DESC, token LIMIT {CANDIDATES}),
+pos AS (SELECT c2, c3, token, count(*) AS n FROM ev GROUP BY ALL), ch AS (SELECT DISTINCT c2, c3 FROM pos),
+u AS (SELECT ca.token, coalesce(disc, 0) + (SELECT gamma FROM g WHERE ord = 1) / v AS p1 FROM ca CROSS JOIN v LEFT JOIN m ON m.ord = 1 AND m.next = ca.token),
+w AS (SELECT c2, c3, g2.gamma AS g2, g3.gamma AS g3 FROM ch LEFT JOIN g g2 ON g2.ord = 2 AND g2.ctx = c2 LEFT JOIN g g3 ON g3.ord = 3 AND g3.ctx = c3),
+x AS (SELECT w.*, u.token, p1, m2.disc AS d2, m3.disc AS d3 FROM w CROSS JOIN u LEFT JOIN m m2 ON m2.ord = 2 AND m2.ctx = c2 AND m2.next = u.token LEFT JOIN m m3 ON m3.ord = 3 AND m3.ctx = c3 AND m3.next = u.token),
+y AS (SELECT c2, c3, token, p1, CASE WHEN g2 IS NOT NULL THEN coalesce(d2, 0) + g2 * p1 ELSE p1 END AS p2, d3, g3 FROM x)"""
+
+
+def _topk_sql(p: str) -> str:
+    return f"""{DENSE}, z AS (SELECT c2, c3, token, {p} AS p FROM y), k AS (SELECT c2, c3, token, row_number() OVER (PARTITION BY c2, c3 ORDER BY p DESC, token) AS r FROM z QUALIFY r <= 5),
+h AS (SELECT pos.n, pos.token IN (SELECT token FROM ca) AS inside, coalesce(k.r, 99) AS r FROM pos LEFT JOIN k ON k.token = pos.token AND k.c2 IS NOT DISTINCT FROM pos.c2 AND k.c3 IS NOT DISTINCT FROM pos.c3),
+tot AS (SELECT sum(n)::BIGINT AS positions, sum(n) FILTER (inside)::BIGINT AS i, coalesce(sum(n) FILTER (r = 1), 0) AS h1, coalesce(sum(n) FILTER (r <= 5), 0) AS hk FROM h)
+SELECT positions, positions - i AS outside, round(i / positions, 9) AS coverage, round(h1 / i, 9) AS top1, round(hk / i, 9) AS topk, round(h1 / positions, 9) AS top1_all, round(hk / positions, 9) AS topk_all FROM tot"""
+
+
+def topk(spark, sf, lookup: str):
     model, _, held = kneser_ney(spark, sf)
-    out = N.topk_accuracy(held, model.withColumn("disc", F.round("disc", 12)), 3)
-    return out.select("positions", F.round("top1", 9).alias("top1"), F.round("topk", 9).alias("topk"))
+    train = parts(spark, sf)[0]
+    out = N.topk_accuracy(held, model, 3, vocab_size(train), N.candidate_set(train, CANDIDATES), 5, lookup)
+    return out.select("positions", "outside", *[F.round(c, 9).alias(c) for c in ("coverage", "top1", "topk", "top1_all", "topk_all")])
+
+
+@query("n9_topk_accuracy", _topk_sql("CASE WHEN g3 IS NOT NULL THEN coalesce(d3, 0) + g3 * p2 ELSE p2 END"))
+def n9(spark, sf):
+    """Exact first and first five of 500 candidates by the interpolated model."""
+    return topk(spark, sf, "interpolate")
+
+
+@query("n9_topk_longest", _topk_sql("CASE WHEN g3 IS NOT NULL THEN coalesce(d3, 0) + g3 * p1 ELSE p2 END"))
+def n9_longest(spark, sf):
+    """The same by the longest known context."""
+    return topk(spark, sf, "longest")
 
 
 @query("n10_addk", f"{BASE}, v AS (SELECT count(DISTINCT token) AS v FROM tr), z AS (SELECT ord, ctx, sum(n) AS z, count(*) AS k FROM tn GROUP BY ALL) SELECT ord, count(*) AS contexts, round(sum(z / (z + 0.1 * v)), 6) AS mass FROM z CROSS JOIN v GROUP BY ord")
@@ -200,6 +228,51 @@ def n11(spark, sf):
     return N.budget_frontier(counts, [1, 2, 3, 5, 10])
 
 
+TAUS = [1, 2, 3, 5, 10]
+BUDGETS = [100_000, 1_000_000, 2_000_000, 100_000_000]
+
+
+def _pruned_sql(tau: int) -> str:
+    """The model of the entries with at least ``tau`` counts (all of order 1), made anew, and its size and loss."""
+    clip = lambda i, of, by: f"coalesce(greatest(0.0, least({i} - 1e-6, {i} - {i + 1} * y * {of} / nullif({by}, 0)))::DOUBLE, y)"
+    kept = lambda d3, d2, d1: f"greatest(n - CASE WHEN n >= 3 THEN {d3} WHEN n = 2 THEN {d2} ELSE {d1} END, 0)"
+    return f"""WITH cc AS (SELECT ord, count(*) FILTER (n = 1) AS n1, count(*) FILTER (n = 2) AS n2, count(*) FILTER (n = 3) AS n3, count(*) FILTER (n = 4) AS n4 FROM lv WHERE n >= {tau} OR ord = 1 GROUP BY ord),
+yy AS (SELECT *, CASE WHEN n1 = 0 AND n2 = 0 THEN 0.5 ELSE greatest(1e-3, least(0.99, n1 / (n1 + 2.0 * n2))) END::DOUBLE AS y, n1 = 0 AND n2 = 0 AS quiet FROM cc),
+dd AS (SELECT ord, y, CASE WHEN quiet THEN y ELSE {clip(1, 'n2', 'n1')} END AS e1, CASE WHEN quiet THEN y ELSE {clip(2, 'n3', 'n2')} END AS d2, CASE WHEN quiet THEN y ELSE {clip(3, 'n4', 'n3')} END AS d3 FROM yy),
+k0 AS (SELECT lv.*, {kept('d3', 'd2', 'CASE WHEN e1 <= 0 THEN y ELSE e1 END')} AS ka, {kept('y', 'y', 'y')} AS kb, greatest(n - 0.5, 0) AS kc FROM lv JOIN dd USING (ord) WHERE n >= {tau} OR ord = 1),
+bad AS (SELECT ord, bool_or(ka >= z) AS ba, bool_or(kb >= z) AS bb FROM (SELECT ord, ctx, sum(ka) AS ka, sum(kb) AS kb, sum(n) AS z FROM k0 GROUP BY ALL) GROUP BY ord),
+k1 AS (SELECT k0.*, CASE WHEN NOT ba THEN ka WHEN NOT bb THEN kb ELSE kc END AS kept FROM k0 JOIN bad USING (ord)),
+m AS (SELECT ord, ctx, next, kept / sum(n) OVER w AS disc, 1 - sum(kept) OVER w / sum(n) OVER w AS gamma FROM k1 WINDOW w AS (PARTITION BY ord, ctx)), g AS (SELECT ord, ctx, any_value(gamma) AS gamma FROM m GROUP BY ord, ctx),
+s AS (SELECT coalesce(m1.disc, 0) + g1.gamma / v AS p1, m2.disc AS d2, g2.gamma AS g2, m3.disc AS d3, g3.gamma AS g3 FROM ev CROSS JOIN v
+ LEFT JOIN m m1 ON m1.ord = 1 AND m1.next = token LEFT JOIN g g1 ON g1.ord = 1 LEFT JOIN m m2 ON m2.ord = 2 AND m2.ctx = c2 AND m2.next = token LEFT JOIN g g2 ON g2.ord = 2 AND g2.ctx = c2
+ LEFT JOIN m m3 ON m3.ord = 3 AND m3.ctx = c3 AND m3.next = token LEFT JOIN g g3 ON g3.ord = 3 AND g3.ctx = c3),
+s2 AS (SELECT *, CASE WHEN g2 IS NOT NULL THEN coalesce(d2, 0) + g2 * p1 ELSE p1 END AS p2 FROM s)
+SELECT {tau} AS tau, (SELECT count(*) FROM m) AS entries, (SELECT count(*) FROM g) AS contexts, count(*) AS positions, avg(-ln(CASE WHEN g3 IS NOT NULL THEN coalesce(d3, 0) + g3 * p2 ELSE p2 END)) AS nll FROM s2"""
+
+
+FRONTIER = f"{LEVELS}, v AS (SELECT count(DISTINCT token) AS v FROM tr), fr AS (SELECT *, entries * 8 + contexts * 12 AS bytes FROM ({' UNION ALL '.join(f'SELECT * FROM ({_pruned_sql(t)})' for t in TAUS)}))"
+
+
+def frontier(spark, sf):
+    train, held = parts(spark, sf)
+    level = written(N.kneser_ney_counts(written(N.ngram_counts(train, [1, 2, 3]), "frontier-counts"), 3), "frontier-level")
+    return written(N.loss_frontier(held, level, 3, vocab_size(train), TAUS), "frontier")
+
+
+@query("n11_loss_frontier", f"{FRONTIER} SELECT tau, entries, contexts, bytes, positions, round(nll, 6) AS nll FROM fr")
+def n11_loss(spark, sf):
+    """Size and held-out loss of the model pruned at each threshold, all scored in one pass."""
+    return frontier(spark, sf).withColumn("nll", F.round("nll", 6))
+
+
+@query("n11_best_within", f"""{FRONTIER}, b AS (SELECT unnest({BUDGETS})::BIGINT AS budget), p AS (SELECT budget, f.*, bytes <= budget AS fits FROM b CROSS JOIN fr f),
+lo AS (SELECT budget, tau, bytes, nll FROM p WHERE fits QUALIFY row_number() OVER (PARTITION BY budget ORDER BY bytes DESC, tau) = 1), hi AS (SELECT budget, bytes AS hb, nll AS hn FROM p WHERE NOT fits QUALIFY row_number() OVER (PARTITION BY budget ORDER BY bytes, tau DESC) = 1)
+SELECT b.budget, tau, bytes, round(nll, 6) AS nll, round(nll + (ln(b.budget) - ln(bytes)) / (ln(hb) - ln(bytes)) * (hn - nll), 6) AS nll_at_budget FROM b LEFT JOIN lo ON lo.budget = b.budget LEFT JOIN hi ON hi.budget = b.budget""")
+def n11_best(spark, sf):
+    """The best pruned model within each byte budget."""
+    return N.best_within(frontier(spark, sf), BUDGETS).select("budget", "tau", "bytes", F.round("nll", 6).alias("nll"), F.round("nll_at_budget", 6).alias("nll_at_budget"))
+
+
 FRACS = (0.1, 0.25, 0.5, 0.75, 1.0)
 SCALING = f"{BASE}, f AS (SELECT unnest([0.1, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS frac), x AS (SELECT frac, count(*) FILTER (true) AS n_tokens, count(DISTINCT CASE WHEN c2 IS NOT NULL THEN c2 || ' ' || token END) AS \"distinct\" FROM a CROSS JOIN f WHERE doc_id <= frac * (SELECT max(doc_id) FROM a) GROUP BY frac)"
 
@@ -255,6 +328,37 @@ def n16(spark, sf):
     return N.jelinek_mercer(held, counts, vocab_size(train), GRID).withColumn("nll", F.round("nll", 6))
 
 
+#: The weights tried for either level, and the discount.
+NESTED_WEIGHTS = [0.2, 0.4, 0.6, 0.8, 0.95]
+NESTED_DISCOUNT = 0.75
+NESTED = f"""{BASE}, ca AS (SELECT token FROM tr GROUP BY token ORDER BY count(*) DESC, token LIMIT {CANDIDATES}), cn AS (SELECT * FROM tn WHERE next IN (SELECT token FROM ca)), cz AS (SELECT ord, ctx, sum(n) AS z, count(*) AS m FROM cn GROUP BY ALL),
+r AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'dev' ELSE 'test' END AS part, coalesce(a1.n, 0) / z1.z AS u, a2.n AS n2, z2.z AS z2, z2.m AS m2, a3.n AS n3, z3.z AS z3, z3.m AS m3 FROM ev
+ LEFT JOIN cn a1 ON a1.ord = 1 AND a1.next = token LEFT JOIN cz z1 ON z1.ord = 1 LEFT JOIN cn a2 ON a2.ord = 2 AND a2.ctx = c2 AND a2.next = token LEFT JOIN cz z2 ON z2.ord = 2 AND z2.ctx = c2
+ LEFT JOIN cn a3 ON a3.ord = 3 AND a3.ctx = c3 AND a3.next = token LEFT JOIN cz z3 ON z3.ord = 3 AND z3.ctx = c3 WHERE c3 IS NOT NULL AND token IN (SELECT token FROM ca)),
+w AS (SELECT b::DOUBLE AS lam_bi, t::DOUBLE AS lam_tri FROM (SELECT unnest({NESTED_WEIGHTS}) AS b) CROSS JOIN (SELECT unnest({NESTED_WEIGHTS}) AS t)),
+b AS (SELECT r.*, w.*, lam_bi * CASE WHEN z2 IS NULL THEN u ELSE greatest(coalesce(n2, 0) - 0.75, 0) / z2 + 0.75 * m2 / z2 * u END + (1 - lam_bi) * u AS bi FROM r CROSS JOIN w),
+nest AS (SELECT part, lam_bi, lam_tri, count(*) AS n, avg(-ln(greatest(1e-12, lam_tri * CASE WHEN z3 IS NULL THEN bi ELSE greatest(coalesce(n3, 0) - 0.75, 0) / z3 + 0.75 * m3 / z3 * bi END + (1 - lam_tri) * bi))) AS nll FROM b GROUP BY ALL)"""
+
+
+def nested(spark, sf):
+    train, held = parts(spark, sf)
+    counts = written(N.ngram_counts(train, [1, 2, 3]), "nested-counts")
+    parted = held.withColumn("part", F.when(F.col("doc_id") % 2 == 0, "dev").otherwise("test"))
+    return N.nested_mixture(parted, counts, written(N.candidate_set(train, CANDIDATES), "nested-candidates"), NESTED_WEIGHTS, NESTED_DISCOUNT)
+
+
+@query("n16_nested_mixture", f"{NESTED} SELECT part, lam_bi, lam_tri, n, round(nll, 6) AS nll FROM nest")
+def n16_nested(spark, sf):
+    """Nested discounted mixtures, 5 x 5 weights on either part of the held-out documents."""
+    return nested(spark, sf).withColumn("nll", F.round("nll", 6))
+
+
+@query("n16_tuned_mixture", f"{NESTED}, best AS (SELECT * FROM nest WHERE part = 'dev' ORDER BY nll, lam_bi, lam_tri LIMIT 1) SELECT lam_bi, lam_tri, round(best.nll, 6) AS dev_nll, round(t.nll, 6) AS test_nll, t.n FROM best JOIN (SELECT * FROM nest WHERE part = 'test') t USING (lam_bi, lam_tri)")
+def n16_tuned(spark, sf):
+    """The weights tuned on one part, their loss on the other."""
+    return N.tuned_mixture(nested(spark, sf)).select("lam_bi", "lam_tri", F.round("dev_nll", 6).alias("dev_nll"), F.round("test_nll", 6).alias("test_nll"), "n")
+
+
 def suffix_queries(spark, sf):
     return read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), T.word_tokens(F.col("text")).alias("tokens"))
 
