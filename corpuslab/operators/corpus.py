@@ -156,7 +156,7 @@ def exact_fields(long: DataFrame, words: DataFrame, head: int = 4) -> DataFrame:
     start = F.slice("words", 1, head)
     keyed = long.select("item_id", "field", F.array_join("words", " ").alias("needle"), F.least(F.size("words"), F.lit(head)).alias("n"), T.window_key(start).alias("key"))
     ns = sorted(r["n"] for r in keyed.select("n").distinct().collect()) or [1]
-    keys = _keyed(words.select("doc_id", F.col("w").alias("tokens")), ns, "doc_id").join(keyed.select("n", "key").distinct(), ["n", "key"], "left_semi")
+    keys = _keyed(words.select("doc_id", F.col("w").alias("tokens")), ns, "doc_id").join(keyed.select("n", "key").distinct(), ["n", "key"], "left_semi").distinct()
     hay = words.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("hay"))
     met = keys.join(hay.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).join(keyed, ["n", "key"]).where(F.col("hay").contains(F.concat(F.lit(" "), F.col("needle"), F.lit(" "))))
     found = met.select("item_id", "field").distinct().withColumn("exact", F.lit(True))
@@ -178,11 +178,11 @@ def hash_split(df: DataFrame, text: Column, frac: float, names=("eval", "train")
 def collect_split(items: DataFrame, known: DataFrame, limit: int, task: str = "task") -> DataFrame:
     """Items with a ``status``: empty, excluded (known question), duplicate, over (beyond the cap) or kept.
 
-    A question is known also by what follows its last "Question:". Of duplicates by normal form the smallest id
-    stays. The cap per task is by global ranks, not a window per task. Normal forms are compared by their hashes.
+    A question is known also by what follows its last "Question:"; a null one is empty. Of duplicates by normal form
+    the smallest id stays. The cap per task is by global ranks, not a window per task. Normal forms are compared by their hashes.
     """
     tail = F.trim(F.element_at(F.split("question", "Question:"), -1))
-    keyed = written(items.withColumn("__k", T.norm_key(F.col("question"))).withColumn("__t", T.norm_key(tail)), "split-keys")
+    keyed = written(items.withColumn("__k", F.coalesce(T.norm_key(F.col("question")), F.lit(""))).withColumn("__t", T.norm_key(tail)), "split-keys")
     seen = known.select(T.norm_key(F.col("question")).alias("__k")).where("__k <> ''").distinct().withColumn("__known", F.lit(1))
     joined = keyed.join(seen, "__k", "left").join(seen.withColumnRenamed("__k", "__t").withColumnRenamed("__known", "__known2"), "__t", "left")
     firsts = joined.groupBy("__k").agg(F.min("item_id").alias("__first"))

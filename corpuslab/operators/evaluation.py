@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,7 +81,22 @@ def with_p_values(contrasts: DataFrame, by: list[str]) -> DataFrame:
     names = [f for f in contrasts.schema.fieldNames() if f not in ("p_t", "p_mcnemar", "p_sign")]
 
     def tail(wins: int, n: int) -> float:
-        return sum(math.comb(n, i) for i in range(wins, n + 1)) / 2**n if n <= 1000 else 0.5 * math.erfc((wins - 0.5 - n / 2) / math.sqrt(n / 2))
+        """P(at least ``wins`` of ``n`` fair coins), exact at every size: terms relative to the largest, from its logarithm."""
+        first = max(wins, (n + 1) // 2)
+        log = math.lgamma(n + 1) - math.lgamma(first + 1) - math.lgamma(n - first + 1) - n * math.log(2)
+        total, term = 0.0, 1.0
+        for i in range(first, n + 1):
+            total += term
+            term *= (n - i) / (i + 1)
+            if term < total * 1e-18:
+                break
+        term = 1.0
+        for i in range(first, wins, -1):
+            term *= i / (n - i + 1)
+            total += term
+            if term < total * 1e-18:
+                break
+        return min(1.0, math.exp(log) * total)
 
     def add(batches):
         for rows in batches:
@@ -96,24 +112,45 @@ def with_p_values(contrasts: DataFrame, by: list[str]) -> DataFrame:
     return contrasts.select(*names).mapInPandas(add, f"{schema}, p_t double, p_mcnemar double, p_sign double")
 
 
+POISSON_CUTS = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)])
+
+
+def poisson_weights(seeds: np.ndarray, replicates: int) -> np.ndarray:
+    """Poisson(1) weights (rows x replicates) of rows with 64-bit seeds: a mixed hash of seed and replicate, by its distribution."""
+    with np.errstate(over="ignore"):
+        x = seeds.astype(np.uint64)[:, None] + np.arange(1, replicates + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(POISSON_CUTS, (x ^ (x >> np.uint64(31))) / 2.0**64, "right").astype(float)
+
+
 def bootstrap(df: DataFrame, value: str, key: list[str], by: list[str], replicates: int = 200, seed: int = 0) -> DataFrame:
-    """(by…, mean, lo, hi): percentile interval of the mean by a Poisson bootstrap.
+    """(by…, n, mean, wins, losses, lo, hi): percentile interval of the mean by a Poisson bootstrap; wins: values above 0.
 
-    Each row draws a Poisson(1) weight per replicate from its hash; sums per replicate are partial aggregates, so
-    the rows are read once and never copied per replicate beyond a task.
+    Each row draws a Poisson(1) weight per replicate from its hash. A task adds up one vector over replicates per group,
+    and those are all that is shuffled; rows are never copied per replicate. Null values are left out.
     """
-    u = (F.pmod(F.xxhash64(*key, F.lit(seed), F.col("__b")), F.lit(1 << 30)) / float(1 << 30)).alias("u")
-    cuts, p, total = [], math.exp(-1), 0.0
-    for i in range(1, 9):
-        total += p
-        cuts.append(total)
-        p /= i
-    rows = df.select(*by, *key, F.col(value).cast("double").alias("__v"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("__b")).select(*by, "__b", "__v", u)
-    weight = sum((F.col("u") >= c).cast("int") for c in cuts)
-    means = rows.groupBy(*by, "__b").agg((F.sum(weight * F.col("__v")) / F.sum(weight)).alias("m"))
-    out = means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
-    mean = df.groupBy(*by).agg(F.avg(F.col(value).cast("double")).alias("mean"))
-    return mean.join(out, by) if by else mean.join(F.broadcast(out))
+    names = list(by)
+    rows = df.where(F.col(value).isNotNull()).select(*names, F.xxhash64(*key, F.lit(seed)).alias("__s"), F.col(value).cast("double").alias("__v"))
+
+    def run(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for part in batches:
+            for group, own in part.groupby(names, dropna=False) if names else [((), part)]:
+                group = group if isinstance(group, tuple) else (group,)
+                for i in range(0, len(own), 1024):
+                    v = own["__v"].to_numpy()[i : i + 1024]
+                    weights = poisson_weights(own["__s"].to_numpy()[i : i + 1024], replicates)
+                    sums[group] = sums.get(group, 0.0) + np.stack([weights.sum(axis=0), v @ weights], axis=1)
+        yield pd.DataFrame([(*g, b, *row) for g, both in sums.items() for b, row in enumerate(both.tolist())], columns=[*names, "b", "w", "x"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    parts = rows.mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "b int, w double, x double"]))
+    means = parts.groupBy(*names, "b").agg(F.sum("w").alias("w"), F.sum("x").alias("x")).where("w > 0").withColumn("m", F.col("x") / F.col("w"))
+    out = means.groupBy(*names).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+    v = F.col("__v")
+    mean = rows.groupBy(*names).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.count_if(v > 0).alias("wins"), F.count_if(v < 0).alias("losses"))
+    return mean.join(out, names) if names else mean.join(F.broadcast(out))
 
 
 def total_variation(rows: DataFrame, arm: str, label: str, a: str, b: str) -> DataFrame:

@@ -151,6 +151,67 @@ def loglinear_fusion(rows: DataFrame, scale: float, temperature: float, bias: fl
     return e.join(total, "pos").select("pos", "token", (F.col("e") / F.col("z")).alias("p"))
 
 
+def calibration_states(rows: DataFrame, scales: list[float]) -> DataFrame:
+    """(pos, own, own_lnq, rest, support) of rows (pos, token, logit, q, is_target), q null or 0 outside the memory.
+
+    What a position's loss needs under any scale and bias: the target's logit and ln q (null: not in the memory), and
+    the exponentials summed over the tokens the memory lacks and, per scale, over those it has, e^(logit + scale ln q);
+    all logits less the position's largest. These are sums, so no list of a position's tokens is made. q below 1e-60
+    counts as that. A position without a target, or with several, is left out.
+    """
+    lnq = F.when(F.col("q") > 0, F.ln(F.greatest("q", F.lit(1e-60))))
+    top = rows.groupBy("pos").agg(F.max("logit").alias("top"))
+    each = rows.join(top, "pos").select("pos", (F.col("logit") - F.col("top")).alias("x"), lnq.alias("lnq"), "is_target")
+    support = [F.coalesce(F.sum(F.when(F.col("lnq").isNotNull(), F.exp(F.col("x") + s * F.col("lnq")))), F.lit(0.0)) for s in scales]
+    own = F.max(F.when(F.col("is_target"), F.struct("x", "lnq")))
+    out = each.groupBy("pos").agg(F.count_if("is_target").alias("n"), own.alias("own"), F.coalesce(F.sum(F.when(F.col("lnq").isNull(), F.exp("x"))), F.lit(0.0)).alias("rest"), F.sum(F.exp("x")).alias("base"), F.array(*support).alias("support"))
+    return out.where("n = 1").select("pos", F.col("own.x").alias("own"), F.col("own.lnq").alias("own_lnq"), "rest", "base", "support")
+
+
+def calibration_grid(rows: DataFrame, scales: list[float], biases: list[float], temperatures: list[float] | None = None) -> DataFrame:
+    """(temperature, scale, bias, n, nll, base_nll): mean loss of the fused softmax in every cell, the whole grid in one pass.
+
+    Fused logits are logit + scale ln q / temperature + bias where the memory has the token. ``rows`` as in
+    ``calibration_states``. A task adds up matrices over the grid; what is shuffled is a cell per task, never rows times
+    cells. Losses are cut at -ln 1e-12.
+    """
+    cells = [(float(t), float(s)) for t in temperatures or [1.0] for s in scales]
+    wanted = sorted({s / t for t, s in cells})
+    place = [wanted.index(s / t) for t, s in cells]
+    bias = np.array(biases, float)
+    states = calibration_states(rows, wanted)
+    effective = np.array(wanted)
+
+    def run(batches):
+        sums, n, base = np.zeros((len(wanted), len(bias))), 0, 0.0
+        for part in batches:
+            for i in range(0, len(part), 256):
+                own = part.iloc[i : i + 256]
+                x, lnq = own["own"].to_numpy(), own["own_lnq"].to_numpy(float)
+                held = ~np.isnan(lnq)
+                support = np.stack(own["support"].to_numpy())
+                total = own["rest"].to_numpy()[:, None, None] + support[:, :, None] * np.exp(bias)[None, None, :]
+                fused = x[:, None, None] + np.where(held, 1.0, 0.0)[:, None, None] * (effective[None, :, None] * np.nan_to_num(lnq)[:, None, None] + bias[None, None, :])
+                sums += np.minimum(np.log(total) - fused, -np.log(1e-12)).sum(axis=0)
+                base += np.minimum(np.log(own["base"].to_numpy()) - x, -np.log(1e-12)).sum()
+                n += len(own)
+        if n:
+            at = [(i, j) for i in range(len(wanted)) for j in range(len(bias))]
+            yield pd.DataFrame({"i": [i for i, _ in at], "j": [j for _, j in at], "n": n, "loss": sums.ravel(), "base": base})
+
+    parts = states.mapInPandas(run, "i int, j int, n long, loss double, base double")
+    whole = parts.groupBy("i", "j").agg(F.sum("n").alias("n"), (F.sum("loss") / F.sum("n")).alias("nll"), (F.sum("base") / F.sum("n")).alias("base_nll"))
+    names = rows.sparkSession.createDataFrame([(t, s, i, float(b), j) for (t, s), i in zip(cells, place, strict=True) for j, b in enumerate(biases)], "temperature double, scale double, i int, bias double, j int")
+    return whole.join(F.broadcast(names), ["i", "j"]).select("temperature", "scale", "bias", "n", "nll", "base_nll")
+
+
+def best_calibration(grid: DataFrame) -> DataFrame:
+    """One row: the cell of the smallest loss (ties to the smaller temperature, scale, bias) and its gain over the bare logits."""
+    x = grid.agg(F.min(F.struct("nll", "temperature", "scale", "bias", "n", "base_nll")).alias("x")).select("x.*").where("nll is not null")
+    gain = F.col("base_nll") - F.col("nll")
+    return x.select("temperature", "scale", "bias", "n", "nll", "base_nll", gain.alias("delta_nats"), (gain / np.log(2)).alias("delta_bits"))
+
+
 def temperature_grid(records: DataFrame, temperatures: list[float]) -> DataFrame:
     """(temperature, nll): mean loss of the geometric mixture p^(1/T) q, unnormalised, for each temperature."""
     sums = records.agg(*[F.avg(F.col("nll_p") / t + F.col("nll_q") * (1 - 1 / t)).alias(f"t{i}") for i, t in enumerate(temperatures)])

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
+from corpuslab.functions.storage import written
 
 from .ngrams import memory_retrieve
 
 
 def top(df: DataFrame, k: int, score: str = "score") -> DataFrame:
-    """The k best rows per query, ties to the smaller doc_id, with ``rank`` from 0."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), "doc_id")) - 1
-    return df.withColumn("rank", rank).where(F.col("rank") < k)
+    """The k best rows per query, ties to the smaller doc_id, with ``rank`` from 0; tasks cut to k before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), "doc_id"))
+    return df.withColumn("rank", place).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -42,18 +45,69 @@ def unit(v: Column) -> Column:
     return T.let(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0)))
 
 
-def dense(docs: DataFrame, queries: DataFrame, k: int, block: int = 64) -> DataFrame:
-    """(query_id, doc_id, score, rank) by cosine of (…_id, vector) rows.
+def dense(docs: DataFrame, queries: DataFrame, k: int, block_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
+    """(query_id, doc_id, score, rank) by cosine of (…_id, vector) rows, exact.
 
-    The queries, a stated set, meet all vectors block by block: queries are dealt to groups of about ``block``,
-    each row meets each group, and only its k best per partial window of the group go on to the final window.
+    Vectors are dealt to blocks and queries, a stated set, to groups of bounded size by hashes; a task has one block
+    and one group, multiplies them and keeps the k best of each query, ties to the smaller doc_id. So no key holds all
+    vectors or all queries, and k rows per query and block reach the final window. A zero vector has score 0; null
+    vectors take no part; vectors meet those of their own length.
     """
-    n = max(1, -(-queries.count() // block))
-    left = docs.select("doc_id", unit(F.col("vector")).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("grp"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("salt"))
-    right = queries.select("query_id", unit(F.col("vector")).alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("grp"))
-    scored = left.join(right, "grp").select("query_id", "doc_id", "salt", F.round(dot(F.col("v"), F.col("q")), 9).alias("score"))
-    local = F.row_number().over(Window.partitionBy("query_id", "salt").orderBy(F.desc("score"), "doc_id"))
-    return top(scored.withColumn("r", local).where(F.col("r") <= k).select("query_id", "doc_id", "score"), k)
+    sizes = docs.agg(F.count("*")).first()[0], queries.agg(F.count("*")).first()[0]
+    blocks, groups = max(1, -(-sizes[0] // block_rows)), max(1, -(-sizes[1] // query_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    doubles = F.transform("vector", lambda v: v.cast("double")).alias("vector")
+    left = docs.where("vector is not null").select("doc_id", doubles, F.size("vector").alias("width"), dealt("doc_id", blocks).alias("block"), every(groups).alias("grp"))
+    right = queries.where("vector is not null").select("query_id", doubles, F.size("vector").alias("width"), every(blocks).alias("block"), dealt("query_id", groups).alias("grp"))
+    kinds = docs.schema["doc_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+
+    def units(rows: pd.DataFrame) -> np.ndarray:
+        x = np.stack(rows["vector"].to_numpy())
+        norms = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
+
+    def best(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if data.empty or asked.empty:
+            return pd.DataFrame({"query_id": asked["query_id"][:0], "doc_id": data["doc_id"][:0], "score": np.zeros(0)})
+        data = data.sort_values("doc_id", kind="stable")
+        ids, names = data["doc_id"].to_numpy(), asked["query_id"].to_numpy()
+        scores = np.round(units(asked) @ units(data).T, 9)
+        kept = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"query_id": np.repeat(names, kept.shape[1]), "doc_id": ids[kept.ravel()], "score": np.take_along_axis(scores, kept, axis=1).ravel()})
+
+    keys = ["block", "grp", "width"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"query_id {kinds[1]}, doc_id {kinds[0]}, score double")
+    return top(found, k)
+
+
+def text_vectors(texts: DataFrame, weights: DataFrame, key: str, dims: int = 256) -> DataFrame:
+    """(key, vector) of (key, text): every word adds a signed weight to one of ``dims`` hashed places.
+
+    A word that occurs n times in the text adds (1 + ln n) times its weight in ``weights`` (token, idf); words without
+    a weight add nothing. Place and sign come from a digest of the word, so that texts and queries made apart agree.
+    Texts without a weighted word have no vector.
+    """
+    words = texts.select(key, F.explode(T.word_tokens(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+    digest = F.md5("token")
+    place = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dims).cast("int")
+    sign = F.when(F.substring(digest, 9, 1) < "8", 1.0).otherwise(-1.0)
+    cells = words.join(weights, "token").groupBy(key, place.alias("dim")).agg(F.sum(sign * (1 + F.ln("n")) * F.col("idf")).alias("x"))
+    held = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("m"))
+    return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
+
+
+def idf_weights(docs: DataFrame) -> DataFrame:
+    """(token, idf): ln((N + 1) / (df + 1)) + 1 of every word of the documents (doc_id, text)."""
+    words = docs.select(F.explode(F.array_distinct(T.word_tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    size = docs.agg(F.count("*").alias("n_docs"))
+    return words.join(F.broadcast(size)).select("token", (F.ln((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+def dense_texts(docs: DataFrame, queries: DataFrame, k: int, dims: int = 256) -> DataFrame:
+    """Documents by cosine of hashed tf-idf vectors, as a ranking (query_id, doc_id, score, rank)."""
+    weights = written(idf_weights(docs), "idf")
+    return dense(written(text_vectors(docs, weights, "doc_id", dims), "doc-vectors"), written(text_vectors(queries, weights, "query_id", dims), "query-vectors"), k)
 
 
 def mean_vectors(rows: DataFrame, by: list[str], vector: str = "vector") -> DataFrame:
@@ -114,12 +168,12 @@ def knn_mixture(neighbours: DataFrame, labels: DataFrame, base: DataFrame, targe
 def transition_hits(rankings: DataFrame, docs: DataFrame, asked: DataFrame) -> DataFrame:
     """(query_id, exact, any): does a retrieved text have the transition context -> target, or the target at all.
 
-    ``asked``: (query_id, context, target); ``docs``: (doc_id, pos, token).
+    ``asked``: (query_id, context, target); ``docs``: (doc_id, pos, token, before), as rows of tokens bring it along.
     """
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    pairs = docs.withColumn("before", F.lag("token").over(w))
-    met = rankings.select("query_id", "doc_id").join(asked, "query_id").join(pairs, (F.col("target") == F.col("token")) & (rankings["doc_id"] == pairs["doc_id"]))
-    hits = met.groupBy("query_id").agg(F.max(F.col("before") == F.col("context")).alias("exact"), F.lit(True).alias("any"))
+    pairs = docs.select("doc_id", "token", F.try_element_at("before", F.lit(-1)).alias("previous"))
+    wanted = rankings.select("query_id", "doc_id").join(asked, "query_id").withColumnRenamed("target", "token")
+    met = pairs.join(wanted, ["doc_id", "token"])
+    hits = met.groupBy("query_id").agg(F.max(F.col("previous") == F.col("context")).alias("exact"), F.lit(True).alias("any"))
     return asked.join(hits, "query_id", "left").select("query_id", F.coalesce("exact", F.lit(False)).alias("exact"), F.coalesce("any", F.lit(False)).alias("any"))
 
 

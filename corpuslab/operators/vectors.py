@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.functions.scale import hash_order
+from corpuslab.functions.scale import hash_order, ranked
+from corpuslab.functions.storage import written
 
 from .retrieval import dot, unit
 
@@ -149,6 +150,112 @@ def information_gap(rows: DataFrame, vector: str, label: str, fold: str, base: i
     return j.agg(F.count("*").alias("n"), F.avg(err("p_h") - err("p_e")).alias("gain"), F.avg(err("p_h") - err("p_c")).alias("control_gain"))
 
 
+#: The temperatures tried for a probe's scores.
+TAUS = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.0, 4.0, 8.0)
+
+
+def _probe(m: np.ndarray, width: int, n_inputs: int, ridge: float) -> np.ndarray:
+    """Weights (constant first, then ``width`` inputs; a column per class) of a ridge fit to one-hot labels, from sums.
+
+    Inputs are standardised by their own mean and deviation, taken into the weights; the classes are not centred.
+    """
+    n, x = m[0, 0], slice(1, 1 + width)
+    mu = m[0, x] / n
+    sigma = np.sqrt(np.maximum(np.diag(m)[x] / n - mu**2, 0.0))
+    sigma[sigma <= 1e-12 * np.maximum(1.0, np.abs(mu))] = 1.0
+    inner = (m[x, x] - n * np.outer(mu, mu)) / np.outer(sigma, sigma)
+    cross = (m[x, 1 + n_inputs :] - np.outer(mu, m[0, 1 + n_inputs :])) / sigma[:, None]
+    w = np.linalg.solve(inner + ridge * np.eye(width), cross) / sigma[:, None]
+    return np.vstack([-mu @ w, w])
+
+
+def _log_loss(scores: np.ndarray, y: np.ndarray, tau: float) -> np.ndarray:
+    z = scores / tau
+    top = z.max(axis=1)
+    return np.log(np.exp(z - top[:, None]).sum(axis=1)) + top - z[np.arange(len(y)), y]
+
+
+def paired_replicates(rows: DataFrame, vector: str, label: str, key: str, base: int, folds: int, permutations: int, seed: int) -> DataFrame:
+    """(key, rep, fold, y, x): the rows (rep -1), and per replicate the rows with the inputs beyond ``base`` of another row.
+
+    Rows stand in a hashed order; replicate r takes the inputs of the row (r + 1) n / (permutations + 1) places on, so
+    every row gets another one's and each is used once. One rank serves all replicates, which are keys of one table.
+    """
+    data = rows.select(F.col(key).alias("key"), F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("int").alias("fold"), F.col(label).cast("int").alias("y"), F.transform(vector, lambda v: v.cast("double")).alias("x"))
+    placed = written(ranked(data.withColumn("__h", hash_order(seed + 1, "key")), [F.col("__h"), F.col("key")]).drop("__h"), "paired")
+    n = placed.count()
+    own = placed.select("key", F.lit(-1).alias("rep"), "fold", "y", "x")
+    shifts = F.explode(F.array(*[F.struct(F.lit(r).alias("rep"), F.lit((r + 1) * n // (permutations + 1)).alias("by")) for r in range(permutations)]))
+    asked = placed.select("key", "fold", "y", F.slice("x", 1, base).alias("h"), "rank", shifts.alias("s")).select("key", "s.rep", "fold", "y", "h", ((F.col("rank") - 1 + F.col("s.by")) % max(1, n) + 1).alias("rank"))
+    given = placed.select("rank", F.slice("x", base + 1, 1 << 20).alias("e"))
+    return own.unionByName(asked.join(given, "rank").select("key", "rep", "fold", "y", F.concat("h", "e").alias("x")))
+
+
+def conditional_information(rows: DataFrame, vector: str, label: str, key: str, base: int, folds: int = 5, ridge: float = 1.0, permutations: int = 4, replicates: int = 2000, seed: int = 0) -> DataFrame:
+    """One row: what the inputs beyond ``base`` tell about the label given the first ``base``, in nats a row.
+
+    Two multinomial probes, on the first inputs and on all, are fitted by sums per fold (total minus own), their
+    temperature by the losses of the training folds, and compared by their held-out losses row by row. delta: mean
+    gain, with a bootstrap interval; width_bias: mean gain where the further inputs belong to other rows, mean over
+    ``permutations`` replicates; excess: delta less that bias, with its own interval. Labels are 0, 1, ...; rows with
+    a null label or vector are left out; ``key`` is unique. Three passes over rows and replicates; a matrix per
+    replicate and fold, and weights per fold and probe, are all that the driver holds.
+    """
+    from .evaluation import bootstrap
+
+    spark = rows.sparkSession
+    usable = rows.where(F.col(label).isNotNull() & F.col(vector).isNotNull())
+    data = written(paired_replicates(usable, vector, label, key, base, folds, permutations, seed), "probe-rows")
+    figures = data.agg(F.max("y").alias("y"), F.max(F.size("x")).alias("d")).first()
+    n_classes, d = (figures["y"] or 0) + 1, figures["d"] or 0
+    sums = gram(data, "x", ["rep", "fold"], [F.col("y") == c for c in range(n_classes)])
+    probes = {}
+    for rep in sorted({r for r, _ in sums}):
+        total = sum(m for (r, _), m in sums.items() if r == rep)
+        for fold in [f for r, f in sums if r == rep]:
+            rest = total - sums[rep, fold]
+            probes[rep, fold] = [_probe(rest, width, d, ridge) for width in (base, d)]
+    shared = spark.sparkContext.broadcast(probes)
+
+    def matrix(own: pd.DataFrame) -> np.ndarray:
+        return np.hstack([np.ones((len(own), 1)), np.stack(own["x"].to_numpy()).astype(float)])
+
+    def losses(batches):
+        found: dict[tuple, np.ndarray] = {}
+        for part in batches:
+            for (rep, fold), own in part.groupby(["rep", "fold"]):
+                x, y = matrix(own), own["y"].to_numpy()
+                for (r, f), weights in shared.value.items():
+                    if r == rep and f != fold:
+                        for wide, w in enumerate(weights):
+                            scores = x[:, : len(w)] @ w
+                            found[r, f, wide] = found.get((r, f, wide), 0.0) + np.array([_log_loss(scores, y, t).sum() for t in TAUS])
+        yield pd.DataFrame([(*k, i, v) for k, each in found.items() for i, v in enumerate(each.tolist())], columns=["rep", "fold", "wide", "i", "loss"])
+
+    grid = data.select("rep", "fold", "y", "x").mapInPandas(losses, "rep int, fold int, wide int, i int, loss double").groupBy("rep", "fold", "wide", "i").agg(F.sum("loss").alias("loss"))
+    taus = {(r["rep"], r["fold"], r["wide"]): TAUS[r["i"]] for r in grid.groupBy("rep", "fold", "wide").agg(F.min(F.struct("loss", "i")).alias("x")).select("rep", "fold", "wide", "x.i").collect()}
+    fitted = spark.sparkContext.broadcast({k: [(w, taus.get((*k, wide), 1.0)) for wide, w in enumerate(weights)] for k, weights in probes.items()})
+
+    def held(batches):
+        for part in batches:
+            for (rep, fold), own in part.groupby(["rep", "fold"]):
+                x, y = matrix(own), own["y"].to_numpy()
+                scores = [(x[:, : len(w)] @ w, tau) for w, tau in fitted.value[rep, fold]]
+                nll, ok = [_log_loss(s, y, tau) for s, tau in scores], [s.argmax(axis=1) == y for s, _ in scores]
+                yield pd.DataFrame({"key": own["key"], "rep": rep, "nll_h": nll[0], "nll_he": nll[1], "ok_h": ok[0], "ok_he": ok[1]})
+
+    kind = data.schema["key"].dataType.simpleString()
+    scored = data.mapInPandas(held, f"key {kind}, rep int, nll_h double, nll_he double, ok_h boolean, ok_he boolean")
+    gain, real = F.col("nll_h") - F.col("nll_he"), F.col("rep") < 0
+    first = lambda c: F.max(F.when(real, c))
+    per_row = scored.groupBy("key").agg(first(gain).alias("delta"), F.avg(F.when(~real, gain)).alias("null"), *[first(F.col(c)).alias(c) for c in ("nll_h", "nll_he")], *[first(F.col(c).cast("int")).alias(c) for c in ("ok_h", "ok_he")])
+    per_row = written(per_row.withColumn("excess", F.col("delta") - F.col("null")), "probe-gains")
+    means = per_row.agg(F.count("*").alias("n"), F.lit(n_classes).alias("n_classes"), F.avg("nll_h").alias("nll_h"), F.avg("nll_he").alias("nll_he"), F.avg("ok_h").alias("acc_h"), F.avg("ok_he").alias("acc_he"), F.avg("null").alias("width_bias"))
+    ends = lambda c: bootstrap(per_row, c, ["key"], [], replicates, seed).select(F.col("mean").alias(c), F.col("lo").alias(f"{c}_lo"), F.col("hi").alias(f"{c}_hi"))
+    out = means.join(F.broadcast(ends("delta"))).join(F.broadcast(ends("excess")))
+    return out.withColumn("positive", F.col("excess_lo") > 0)
+
+
 def linear_cka(rows: DataFrame, a: str, b: str) -> DataFrame:
     """One row: linear CKA of two vector columns, |X'Y|² / (|X'X| |Y'Y|), from centred sums."""
     joined = rows.select(F.concat(F.transform(a, lambda x: x.cast("double")), F.transform(b, lambda x: x.cast("double"))).alias("__v"), F.size(a).alias("__n"))

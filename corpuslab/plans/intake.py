@@ -90,13 +90,15 @@ def st1(spark, sf):
 
 @query("st2_growing_ngrams", f"SELECT count(*) AS grams, sum(n)::BIGINT AS total, max(n) AS largest FROM (SELECT g, count(*) AS n FROM (SELECT unnest(list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1])) AS g FROM (SELECT {TOKENS} AS t FROM documents)) GROUP BY g)")
 def st2(spark, sf):
-    counts = J.drain(J.growing_ngrams(J.read_stream(spark, sf, "documents"), 2), "st2", "complete")
+    """Bigrams added batch by batch to a bucketed table."""
+    counts = J.drain_counts(J.ngrams_of(J.read_stream(spark, sf, "documents"), 2), "gram", "st2")
     return counts.agg(F.count("*").alias("grams"), F.sum("n").alias("total"), F.max("n").alias("largest"))
 
 
-@query("st3_telemetry", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+@query("st3_telemetry", "SELECT * FROM (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")
 def st3(spark, sf):
-    return J.drain(J.telemetry(J.read_stream(spark, sf, "events")), "st3", "complete")
+    """Hours that the watermark, two hours behind the latest event, has closed."""
+    return J.drain(J.telemetry(J.read_stream(spark, sf, "events")), "st3")
 
 
 @query("st4_flag_contaminated", f"WITH d AS (SELECT doc_id, unnest(list_distinct(list_transform(generate_series(1, len(t) - 7), lambda i: array_to_string(t[i:i+7], ' ')))) AS w FROM (SELECT doc_id, {TOKENS} AS t FROM documents)), b AS (SELECT item_id, unnest(list_transform(generate_series(1, len(t) - 7), lambda i: array_to_string(t[i:i+7], ' '))) AS w FROM (SELECT item_id, {TOKENS} AS t FROM benchmark)) SELECT DISTINCT doc_id, item_id FROM d JOIN b USING (w)")

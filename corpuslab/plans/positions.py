@@ -111,6 +111,45 @@ def p11(spark, sf):
     return P.temperature_grid(records(spark, sf), [0.5, 1.0, 2.0, 4.0]).withColumn("nll", F.round("nll", 6))
 
 
+#: The grids of scale and bias, the line of weights, and the coarse search with a temperature.
+CALIBRATION = [i / 4 - 5 for i in range(41)]
+LINE = [i / 20 - 2 for i in range(161)]
+COARSE = {"temperatures": [0.5, 0.75, 1.0, 1.5, 2.0, 3.0], "scales": [i / 2 - 2 for i in range(21)], "biases": [float(i - 5) for i in range(11)]}
+
+
+def calibration_rows(spark, sf):
+    """Each embedding as logits over 64 tokens, its label the target, beside a memory that knows every second token."""
+    rows = read(spark, sf, "embeddings").select(F.col("vec_id").alias("pos"), "label", F.posexplode("embedding").alias("token", "x"))
+    return rows.select("pos", "token", F.col("x").cast("double").alias("logit"), F.when(F.col("token") % 2 == 0, F.least(F.exp(F.col("x").cast("double")) / 64, F.lit(1.0))).alias("q"), (F.col("token") == F.col("label")).alias("is_target"))
+
+
+#: A full softmax in every cell.
+CELLS = "WITH s AS (SELECT vec_id AS pos, label, unnest(embedding)::DOUBLE AS logit, generate_subscripts(embedding, 1)::INT - 1 AS token FROM embeddings), q AS (SELECT pos, token = label AS own, logit, CASE WHEN token % 2 = 0 THEN ln(least(exp(logit) / 64, 1)) END AS lnq FROM s), c AS (SELECT {c}), f AS (SELECT c.*, pos, own, logit + coalesce(scale * lnq / temperature + bias, 0) AS x, logit FROM q CROSS JOIN c), g AS (SELECT temperature, scale, bias, pos, least(-ln(1e-12), -ln(sum(exp(x)) FILTER (own) / sum(exp(x)))) AS loss, least(-ln(1e-12), -ln(sum(exp(logit)) FILTER (own) / sum(exp(logit)))) AS base FROM f GROUP BY ALL), r AS (SELECT temperature, scale, bias, count(*) AS n, avg(loss) AS nll, avg(base) AS base_nll FROM g GROUP BY ALL)"
+_BEST = "SELECT temperature, scale, bias, n, round(nll, 9) AS nll, round(base_nll, 9) AS base_nll, round(base_nll - nll, 9) AS delta_nats, round((base_nll - nll) / ln(2), 9) AS delta_bits FROM r ORDER BY r.nll, temperature, scale, bias LIMIT 1"
+
+
+def rounded_best(grid):
+    return P.best_calibration(grid).select("temperature", "scale", "bias", "n", *[F.round(c, 9).alias(c) for c in ("nll", "base_nll", "delta_nats", "delta_bits")])
+
+
+@query("p11_calibration_grid", CELLS.format(c=f"1.0::DOUBLE AS temperature, scale::DOUBLE AS scale, bias::DOUBLE AS bias FROM (SELECT unnest({CALIBRATION}) AS scale) CROSS JOIN (SELECT unnest({CALIBRATION}) AS bias)") + " SELECT scale, bias, n, round(nll, 9) AS nll FROM r")
+def p11_calibration(spark, sf):
+    """All 41 x 41 cells."""
+    return P.calibration_grid(calibration_rows(spark, sf), CALIBRATION, CALIBRATION).select("scale", "bias", "n", F.round("nll", 9).alias("nll"))
+
+
+@query("p11_weight_line", CELLS.format(c=f"1.0::DOUBLE AS temperature, unnest({LINE})::DOUBLE AS scale, 0.0::DOUBLE AS bias") + " " + _BEST)
+def p11_line(spark, sf):
+    """The best of 161 weights without a bias."""
+    return rounded_best(P.calibration_grid(calibration_rows(spark, sf), LINE, [0.0]))
+
+
+@query("p11_temperature_search", CELLS.format(c=f"temperature::DOUBLE AS temperature, scale::DOUBLE AS scale, bias::DOUBLE AS bias FROM (SELECT unnest({COARSE['temperatures']}) AS temperature) CROSS JOIN (SELECT unnest({COARSE['scales']}) AS scale) CROSS JOIN (SELECT unnest({COARSE['biases']}) AS bias)") + " " + _BEST.replace("ORDER BY r.nll", "ORDER BY round(r.nll, 12)"))
+def p11_temperature(spark, sf):
+    """The best of 6 temperatures, 21 scales and 11 biases; equal ratios of scale and temperature tie."""
+    return rounded_best(P.calibration_grid(calibration_rows(spark, sf), COARSE["scales"], COARSE["biases"], COARSE["temperatures"]).withColumn("nll", F.round("nll", 12)))
+
+
 @query("p12_distribution_features", f"{FUSED} SELECT pos, round(sum(-p * ln(greatest(p, 1e-12))), 6) AS entropy, round(max(p), 6) AS top_p, count(*) AS support FROM d GROUP BY pos")
 def p12(spark, sf):
     return P.distribution_features(fused(spark, sf)).select("pos", F.round("entropy", 6).alias("entropy"), F.round("top_p", 6).alias("top_p"), "support")

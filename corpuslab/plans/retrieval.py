@@ -11,7 +11,7 @@ from corpuslab.operators import ngrams as N
 from corpuslab.operators import retrieval as R
 
 from .registry import query
-from .text import TOKENS
+from .text import _ROUTES_SQL, TOKENS
 
 K = 10
 
@@ -82,25 +82,51 @@ def r5(spark, sf):
 
 
 def hybrid(spark, sf, k):
+    """BM25, hashed tf-idf vectors and n-gram suffixes, fused by the weights of each query's task."""
     queries = asked(spark, sf)
     weights = spark.createDataFrame([(t, *w) for t, w in T.CHANNEL_WEIGHTS.items()], "task string, bm25 double, dense double, ngram double")
-    routed = queries.select("query_id", T.route_task(F.col("text")).alias("task")).join(F.broadcast(weights), "task")
-    channels = {"bm25": R.bm25(documents(spark, sf), queries, 50), "ngram": R.ngram_channel(documents(spark, sf), queries, 50)}
+    routed = written(queries.select("query_id", T.route_task(F.col("text")).alias("task")).join(F.broadcast(weights), "task"), "routed")
+    channels = {"bm25": R.bm25(documents(spark, sf), queries, 50), "dense": R.dense_texts(documents(spark, sf), queries, 50), "ngram": R.ngram_channel(documents(spark, sf), queries, 50)}
     return R.hybrid({name: written(c, name) for name, c in channels.items()}, routed, k)
 
 
-@query("r6_hybrid")
+HASHED = f"""tw AS (SELECT token, ln((n + 1) / (df + 1)) + 1 AS idf FROM (SELECT term AS token, df FROM df) CROSS JOIN (SELECT count(*) AS n FROM documents)),
+dv AS (SELECT 'd' AS side, doc_id AS id, term AS token, tf AS n FROM p UNION ALL SELECT 'q', query_id, term, qtf FROM q),
+cell AS (SELECT side, id, ('0x' || substring(md5(token), 1, 8))::BIGINT % 256 AS dim, sum(CASE WHEN substring(md5(token), 9, 1) < '8' THEN 1 ELSE -1 END * (1 + ln(n)) * idf) AS x FROM dv JOIN tw USING (token) GROUP BY ALL),
+nrm AS (SELECT side, id, sqrt(sum(x * x)) AS l FROM cell GROUP BY ALL),
+cs AS (SELECT b.id AS query_id, a.id AS doc_id, sum(a.x * b.x) AS s FROM cell a JOIN cell b ON a.side = 'd' AND b.side = 'q' AND a.dim = b.dim GROUP BY ALL),
+de AS (SELECT query_id, doc_id, round(coalesce(s / nullif(na.l * nb.l, 0), 0), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(s / nullif(na.l * nb.l, 0), 0), 9) DESC, doc_id) - 1 AS rank
+ FROM (SELECT a.id AS doc_id, b.id AS query_id, coalesce(cs.s, 0) AS s FROM (SELECT id FROM nrm WHERE side = 'd') a CROSS JOIN (SELECT id FROM nrm WHERE side = 'q') b LEFT JOIN cs ON cs.doc_id = a.id AND cs.query_id = b.id) z JOIN nrm na ON na.side = 'd' AND na.id = doc_id JOIN nrm nb ON nb.side = 'q' AND nb.id = query_id QUALIFY rank < 50)"""
+
+
+@query("r6_dense_texts", f"{BM25}, {HASHED} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM de WHERE rank < {K}")
+def r6_dense(spark, sf):
+    """The dense channel alone."""
+    return R.dense_texts(documents(spark, sf), asked(spark, sf), K).withColumn("score", F.round("score", 6))
+
+
+GRAMS = f"""gd AS (SELECT doc_id, {TOKENS} AS t FROM documents), gx AS (SELECT doc_id, o AS ord, array_to_string(t[i:i+o-1], ' ') AS key FROM (SELECT doc_id, t, o, unnest(generate_series(1, len(t) - o + 1)) AS i FROM gd CROSS JOIN (SELECT unnest([2, 3, 4]) AS o))),
+gq AS (SELECT item_id AS query_id, o AS ord, array_to_string(t[len(t)-o+1:], ' ') AS key FROM (SELECT item_id, {TOKENS} AS t FROM benchmark) CROSS JOIN (SELECT unnest([2, 3, 4]) AS o) WHERE len(t) >= o),
+gr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY sum(ord) DESC, doc_id) - 1 AS rank FROM gq JOIN gx USING (ord, key) GROUP BY query_id, doc_id QUALIFY rank < 50)"""
+ROUTED = f"rt AS (SELECT item_id AS query_id, {_ROUTES_SQL} AS task FROM benchmark), wt AS (SELECT * FROM (VALUES {', '.join(f'({chr(39)}{t}{chr(39)}, {a}, {b}, {c})' for t, (a, b, c) in T.CHANNEL_WEIGHTS.items())}) x(task, bm25, dense, ngram))"
+
+
+@query("r6_hybrid", f"""{BM25}, {HASHED}, {GRAMS}, {ROUTED}, ch AS (SELECT query_id, doc_id, rank, 'bm25' AS c FROM bm UNION ALL SELECT query_id, doc_id, rank, 'dense' FROM de UNION ALL SELECT query_id, doc_id, rank, 'ngram' FROM gr),
+fs AS (SELECT query_id, doc_id, round(sum(CASE c WHEN 'bm25' THEN bm25 WHEN 'dense' THEN dense ELSE ngram END::DOUBLE / (60 + rank + 1)), 12) AS score FROM ch JOIN rt USING (query_id) JOIN wt USING (task) WHERE CASE c WHEN 'bm25' THEN bm25 WHEN 'dense' THEN dense ELSE ngram END > 0 GROUP BY query_id, doc_id)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM fs QUALIFY rank < {K}""")
 def r6(spark, sf):
     return hybrid(spark, sf, K)
 
 
 def targets(spark, sf):
-    """The documents in which an item's normalised text occurs."""
+    """The documents in which an item's normalised text occurs: keys of six words meet first, the few texts after."""
     items = asked(spark, sf).select("query_id", T.norm_words(F.col("text")).alias("words"))
     docs = documents(spark, sf).select("doc_id", T.norm_words(F.col("text")).alias("words"))
-    keys = docs.select("doc_id", F.explode(F.array_distinct(C.windows_of(F.col("words"), 6))).alias("key"), F.array_join("words", " ").alias("hay"))
     wanted = items.select("query_id", F.array_join(F.slice("words", 1, 6), " ").alias("key"), F.array_join("words", " ").alias("needle"))
-    return keys.join(wanted, "key").where(F.col("hay").contains(F.col("needle"))).select("query_id", "doc_id").distinct()
+    keys = docs.select("doc_id", F.explode(F.array_distinct(C.windows_of(F.col("words"), 6))).alias("key")).join(wanted.select("key").distinct(), "key", "left_semi")
+    met = keys.join(wanted, "key").select("query_id", "doc_id", "needle")
+    texts = docs.select("doc_id", F.array_join("words", " ").alias("hay"))
+    return met.join(texts, "doc_id").where(F.col("hay").contains(F.col("needle"))).select("query_id", "doc_id").distinct()
 
 
 NORM = "trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"

@@ -74,6 +74,12 @@ def v8(spark, sf):
     return V.information_gap(rows(spark, sf), "embedding", "label", "fold", 32, "vec_id")
 
 
+@query("v8_conditional_information")
+def v8_conditional(spark, sf):
+    """What the second half of an embedding tells about its label beside the first half, against permuted halves."""
+    return V.conditional_information(read(spark, sf, "embeddings"), "embedding", "label", "vec_id", 32)
+
+
 @query("v9_linear_cka")
 def v9(spark, sf):
     return V.linear_cka(halves(spark, sf), "a", "b")
