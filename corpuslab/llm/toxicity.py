@@ -15,7 +15,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +36,17 @@ FILLERS = " .-_~'`·​"
 EDGES = ".,;:!?\"'()[]{}<>|`*#$%&~-_/\\=+…«»„“”"
 #: What is trimmed when symbols at an edge are read as letters.
 EDGES_BEFORE, EDGES_AFTER = (EDGES.translate({ord(c): None for c in kept}) for kept in ("!$|(@", "$@"))
-#: A run of such symbols hides at most so many letters; the rest of a longer one is filler.
-MOST_HIDDEN = 4
 COST = {"lookalike": 0.7, "any": 3.0, "filler": 0.3, "repeat": 0.5, "literal": 6.0}
 BEGINNINGS = (4, 5, 6, 7)
-#: From here on a character is a syllable or a word of its own script (ideographs, kana, syllable blocks).
-ALPHABET_END = 0x2E80
-_BEYOND = re.compile(f"[{chr(ALPHABET_END)}-\U0010ffff]")
+#: Letters from here on count as one letter per block of 128, those from ALPHABET_END on (ideographs, kana, syllable
+#: blocks) as one letter in all: an alphabet of at most 26 + 32 + 93 letters, and so at most 153 ** 3 trigrams.
+LETTERS_END, BLOCK, ALPHABET_END = 0x100, 128, 0x2E80
+_BEYOND = re.compile(f"[{chr(LETTERS_END)}-\U0010ffff]")
 _SPACED = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*~]{1,2}[^\W_]){2,}(?!\w)")
 #: The second and third letter of a spaced run: a cheap test that every text with such a run passes.
 _MAY_BE_SPACED = re.compile(r"[ .\-_*~][^\W_][ .\-_*~]{1,2}[^\W_](?!\w)")
 _WIDE_GAP = re.compile(r"[ .\-_*~]{2}")
-_HIDDEN_RUN = re.compile(f"([{re.escape(ANY_LETTER)}]{{{MOST_HIDDEN}}})[{re.escape(ANY_LETTER)}]+")
+_HIDDEN_RUN = re.compile(f"[{re.escape(ANY_LETTER)}]{{2,}}")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
 
 
@@ -76,6 +75,17 @@ class CharModel:
             self.bigrams[gram[1:]] += n
             self.singles[gram[1]] += n
 
+    @cached_property
+    def most_hidden(self) -> int:
+        """More letters than this a run of symbols hides in no cheapest reading.
+
+        A hidden letter costs more than a filler by ``any`` - ``filler`` at least, and hidden letters change the cost of
+        none but the two letters after the run (or the end), each of which costs no more than one never seen in the
+        commonest context.
+        """
+        most = math.log((max(self.contexts.values(), default=0) + 2.0) * (max(self.singles.values(), default=0) + 5.0) / 0.1)
+        return int(2 * most / (COST["any"] - COST["filler"])) + 1
+
     def cost(self, context: str, letter: str) -> float:
         asked = context + letter
         found = self.known.get(asked)
@@ -89,8 +99,8 @@ class CharModel:
 
 
 def folded(word: str) -> str:
-    """``word`` with the letters beyond ``ALPHABET_END`` as one letter, which keeps the alphabet of the model small."""
-    return word if word.isascii() else _BEYOND.sub(chr(ALPHABET_END), word)
+    """``word`` with a letter per block in place of letters beyond ``LETTERS_END``: the alphabet of the model is bounded."""
+    return word if word.isascii() else _BEYOND.sub(lambda m: chr(min(ord(m[0]), ALPHABET_END) // BLOCK * BLOCK), word)
 
 
 def trigrams_of(word: str) -> Iterator[str]:
@@ -147,6 +157,7 @@ def count_trigrams(text: str) -> Iterator[tuple[str, int]]:
     runs = np.arange(len(starts))
     place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     letters = np.minimum(codes[np.repeat(starts, lengths) + place], ALPHABET_END)
+    letters = np.where(letters < LETTERS_END, letters, letters // BLOCK * BLOCK)
     alphabet = np.flatnonzero(np.bincount(np.concatenate((letters, [BEGIN, END]))))
     rank = np.zeros(ALPHABET_END + 1, np.int64)
     rank[alphabet] = np.arange(len(alphabet))
@@ -168,12 +179,16 @@ def count_trigrams(text: str) -> Iterator[tuple[str, int]]:
 
 
 def restore(token: str, model: CharModel) -> str:
-    """The cheapest reading of a disguised token: Viterbi over states (last two letters), a step per character.
+    """The cheapest reading of a disguised token.
 
-    Of a run of symbols that can stand for any letter only ``MOST_HIDDEN`` are read as letters or fillers, so there
-    are at most some 700 states at each step, and the time is in proportion to the length.
+    Of a run of symbols that can stand for any letter as many are looked at as can be letters in a cheapest reading;
+    the others are fillers in any order, which cost every reading the same.
     """
-    token = _HIDDEN_RUN.sub(r"\1", token)
+    return cheapest(_HIDDEN_RUN.sub(lambda m: m[0][: model.most_hidden], token), model)
+
+
+def cheapest(token: str, model: CharModel) -> str:
+    """Viterbi over states (last two letters), at most some 700 after any step; a step per character."""
     states: dict[tuple[str, str], tuple[float, tuple | None]] = {("^^", ""): (0.0, None)}
     for c in token:
         options: list[tuple[str, float]] = []
@@ -309,8 +324,8 @@ def char_model(docs: DataFrame) -> CharModel:
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 30_000, least_rows: int = 4, least_precision: float = 0.9) -> Model:
     """Letters from all texts of ``docs``, features from a bounded sample of labelled rows that are not held out.
 
-    The character model needs no labels: every text counts and no trigram is left out. It is bounded by its alphabet,
-    the letters below ``ALPHABET_END`` and one for all others, of which words of one script use a few dozen. The
+    The character model needs no labels: every text counts and no trigram is left out. It is bounded by its alphabet
+    of 151 letters and two marks, 153 ** 3 counts, whatever the corpus. The
     sample (about ``train_rows``, by id hash) bounds the features of at least ``least_rows`` toxic rows, and those
     rows. A feature is kept if, near copies counted once, at least ``least_precision`` of its rows are toxic and its
     likelihood ratio stands out among all features tried.

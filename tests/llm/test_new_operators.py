@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm import decontaminate as D
 from corpuslab.llm import fill_in_middle as M
+from corpuslab.llm import toxicity
 from corpuslab.llm import whitening as W
 
 SF = "/root/testdata/sf0.001"
@@ -247,3 +248,37 @@ def test_very_long_texts_and_no_rows(spark):
     got = M.digests_of(M.fill_in_middle(M.store_texts(df))).first()
     assert got["restored_sha256"] == sha(text) and got["n"] == len(re.findall(r"[A-Za-z]+|[^A-Za-z]", text))
     assert M.digests_of(M.fill_in_middle(M.store_texts(df.limit(0)))).collect() == []
+
+
+# 9 toxicity: long runs of hidden letters, the alphabet's bound
+
+
+def test_long_runs_of_symbols_are_read_exactly():
+    words = ["castle", "cattle", "candle", "bottle", "battle", "saddle", "settled"] * 200
+    counts = {}
+    for word in words:
+        for gram in toxicity.trigrams_of(word):
+            counts[gram] = counts.get(gram, 0) + 1
+    model = toxicity.CharModel(counts)
+    assert model.most_hidden > 10
+    for token in ("c*****e", "ca****e", "s******d", "b*#?%e", "a" + "*" * 14 + "b", "c*a*****e***d"):
+        assert toxicity.restore(token, model) == toxicity.cheapest(token, model)
+    # The bound changes no reading, however small the run would have been kept before.
+    long = "c" + "*" * (model.most_hidden + 6) + "e"
+    assert toxicity.restore(long, model) == toxicity.cheapest(long, model)
+    assert toxicity.restore("c" + "*" * 100_000 + "e", model) == toxicity.restore(long, model)
+
+
+def test_alphabet_of_letters_is_bounded():
+    names = {c for i in range(0x20000) if (c := toxicity.folded(chr(i))).isalpha() or chr(i).isalpha()}
+    lower = {toxicity.folded(chr(i).lower()) for i in range(0x20000) if chr(i).isalpha() and len(chr(i).lower()) == 1}
+    assert len(lower) <= 26 + 34 + 93 and len(names) < 300
+    text = "żółw über 日本 кот"
+    want = {}
+    for word in text.split():
+        for gram in toxicity.trigrams_of(word):
+            want[gram] = want.get(gram, 0) + 1
+    got = {}
+    for gram, n in toxicity.count_trigrams(text):
+        got[gram] = got.get(gram, 0) + n
+    assert got == want
