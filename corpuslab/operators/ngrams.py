@@ -526,6 +526,21 @@ def stream_windows(stream: DataFrame, size: int, step: int) -> DataFrame:
     return covered.groupBy("window").agg(F.transform(F.sort_array(F.collect_list(F.struct("offset", "token"))), lambda x: x["token"]).alias("tokens"))
 
 
+def window_order(windows: DataFrame, seed: int | None = None, slot: str | None = None, most: int | None = None, shards: int = 1) -> DataFrame:
+    """``windows`` with ``place`` (from 0) and ``shard`` = place mod ``shards``: the order in which they are read.
+
+    By window number; with ``seed`` by a hash of it, a permutation that is the same on every cluster; with ``slot``, a
+    column such as the smallest slot that a window reads, by that, ties in the order so far. Only the first ``most``
+    are kept, if given. Places are global ranks over ranges, not a window over all rows.
+    """
+    order = [hash_order(seed, "window")] if seed is not None else []
+    keyed = windows.withColumn("__h", order[0] if order else F.lit(""))
+    out = ranked(keyed, [*([F.col(slot)] if slot else []), F.col("__h"), F.col("window")]).withColumn("place", F.col("rank") - 1).drop("rank", "__h")
+    if most is not None:
+        out = out.where(F.col("place") < most)
+    return out.withColumn("shard", (F.col("place") % shards).cast("int"))
+
+
 def locality(windows: DataFrame) -> DataFrame:
     """(window, rows, distinct_rows, duplicate_share) of reads per window."""
     return windows.select("window", F.size("tokens").alias("rows"), F.size(F.array_distinct("tokens")).alias("distinct_rows")).withColumn("duplicate_share", 1 - F.col("distinct_rows") / F.col("rows"))

@@ -352,6 +352,63 @@ def last_change(records: DataFrame, partitions: int | None = None) -> DataFrame:
     return out.withColumn("last", last).withColumn("distance", F.when(F.col("last") >= 0, F.col("pos") - F.col("last"))).drop("__p", "__own", "__carried")
 
 
+#: The ranges of distance of ``dose_response``.
+DISTANCES = ((1, 1), (2, 2), (3, 4), (5, 8), (9, 16), (17, 32), (33, 64), (65, 128), (129, 1 << 40))
+
+
+def block_split(records: DataFrame, block: int) -> DataFrame:
+    """``last_change`` with ``same_block`` and ``boundary``: is the last earlier change in the position's own block of ``block``.
+
+    A boundary means that the last visible change lies in an earlier block; a position without an earlier change is neither.
+    """
+    own = F.floor(F.col("pos") / block) == F.floor(F.col("last") / block)
+    return last_change(records).withColumn("same_block", (F.col("last") >= 0) & own).withColumn("boundary", (F.col("last") >= 0) & ~own)
+
+
+def dose_response(split: DataFrame, value: str, ranges=DISTANCES, small: float = 1e-3) -> DataFrame:
+    """(low, high, n, mean, mean_abs, above, exact_zero) of unchanged rows in whose block a change came before, by its distance.
+
+    above: share with an absolute value over ``small``. Ranges without rows stay, with n 0 and nulls.
+    """
+    grid = split.sparkSession.createDataFrame([(int(a), int(b)) for a, b in ranges], "low long, high long")
+    at = F.coalesce(*[F.when(F.col("distance").between(a, b), F.lit(a)) for a, b in ranges]).cast("long")
+    v, one = F.col(value), lambda c: F.avg(c.cast("int"))
+    rows = split.where("same_block and not changed").groupBy(at.alias("low")).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.avg(F.abs(v)).alias("mean_abs"), one(F.abs(v) > small).alias("above"), one(v == 0).alias("exact_zero"))
+    return F.broadcast(grid).join(rows, "low", "left").withColumn("n", F.coalesce("n", F.lit(0))).select("low", "high", "n", "mean", "mean_abs", "above", "exact_zero")
+
+
+def zero_rule(split: DataFrame, value: str) -> DataFrame:
+    """One row: how far exact zeros of ``value`` are those behind a block boundary; zeros_not_boundary are the rule's failures."""
+    zero = F.col(value) == 0
+    sums = split.agg(F.count("*").alias("n"), F.count_if(zero).alias("n_zero"), F.count_if(zero & ~F.col("changed")).alias("n_zero_untouched"), F.count_if(zero & F.col("changed")).alias("n_zero_changed"), F.count_if("boundary").alias("boundary_n"), F.count_if(F.col("boundary") & zero).alias("boundary_zero"))
+    share = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
+    return sums.withColumn("zeros_not_boundary", F.col("n_zero") - F.col("boundary_zero")).withColumn("boundary_zero_share", share("boundary_zero", "boundary_n")).withColumn("zeros_explained", share("boundary_zero", "n_zero"))
+
+
+def compare_distributions(layers: DataFrame, final: DataFrame, k: int = 10, least: float = 1e-12) -> DataFrame:
+    """(item, layer, kl, overlap) of sparse distributions (item, layer, token, p) against the item's final one (item, token, p).
+
+    Tokens that either side has count; one that a side lacks has ``least`` there, and both sides are scaled to one
+    again: kl = sum p ln(p / q) of final p and layer q, from three sums in one pass. overlap: share of the final k most
+    probable tokens among the layer's k (ties to the smaller token). A layer needs a row to be compared.
+    """
+    each = layers.select("item", "layer").distinct()
+    p, q = F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(least)), F.greatest(F.coalesce("q", F.lit(0.0)), F.lit(least))
+    both = final.select("item", "token", "p").join(each, "item").join(layers.select("item", "layer", "token", F.col("p").alias("q")), ["item", "layer", "token"], "full_outer")
+    sums = both.groupBy("item", "layer").agg(F.sum(p).alias("sp"), F.sum(q).alias("sq"), F.sum(p * (F.ln(p) - F.ln(q))).alias("s"), F.count("p").alias("final_tokens"))
+    kl = sums.where("final_tokens > 0").select("item", "layer", (F.col("s") / F.col("sp") - F.ln("sp") + F.ln("sq")).alias("kl"))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("p"), "token"))
+    top = final.withColumn("r", rank("item")).where(F.col("r") <= k).select("item", "token")
+    shared = layers.withColumn("r", rank("item", "layer")).where(F.col("r") <= k).join(top, ["item", "token"]).groupBy("item", "layer").agg((F.count("*") / k).alias("overlap"))
+    return kl.join(shared, ["item", "layer"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
+
+
+def distribution_depth(compared: DataFrame, share: float = 0.5, overlap: float = 0.3) -> DataFrame:
+    """(item, by_kl, by_overlap): the first layer whose kl is at most ``share`` of the item's largest, and with more overlap than that."""
+    rows = compared.join(compared.groupBy("item").agg(F.max("kl").alias("most")), "item")
+    return rows.groupBy("item").agg(F.min(F.when(F.col("kl") <= share * F.col("most"), F.col("layer"))).alias("by_kl"), F.min(F.when(F.col("overlap") > overlap, F.col("layer"))).alias("by_overlap"))
+
+
 def transition_points(curves: DataFrame) -> DataFrame:
     """Per item of (item, layer, value): the first layers at most half the maximum, above 0.3, and of two positives in a row."""
     w = Window.partitionBy("item")

@@ -451,3 +451,24 @@ def n26(spark, sf):
     windows = N.stream_windows(written(stream(spark, sf), "stream"), 512, 256)
     shares = N.locality(windows).select("window", F.round("duplicate_share", 9).alias("duplicate_share"))
     return windows.select("window", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ")).alias("digest")).join(shares, "window")
+
+
+WINDOWS_SQL = """WITH d AS (SELECT doc_id, list_append({tokens}, '</s>') AS t FROM documents), s AS (SELECT token, row_number() OVER (ORDER BY doc_id, pos) - 1 AS o FROM (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM d)),
+w AS (SELECT unnest(generate_series(0, ((SELECT count(*) FROM s) - 512) // 256)) AS w), x AS (SELECT w AS "window", min(token) AS slot FROM w JOIN s ON o >= w * 256 AND o < w * 256 + 512 GROUP BY w)""".format(tokens=TOKENS)
+
+
+def slotted(spark, sf):
+    """Windows with the smallest token they read, in the role of the smallest slot."""
+    return N.stream_windows(written(stream(spark, sf), "stream"), 512, 256).select("window", F.array_min("tokens").alias("slot"))
+
+
+@query("n26_seeded_order", f"{WINDOWS_SQL}, k AS (SELECT \"window\", row_number() OVER (ORDER BY md5('5|' || \"window\"), \"window\") - 1 AS place FROM x) SELECT \"window\", place, (place % 4)::INT AS shard FROM k")
+def n26_seeded(spark, sf):
+    """Windows in a seeded order, dealt to four shards."""
+    return N.window_order(slotted(spark, sf), seed=5, shards=4).select("window", "place", "shard")
+
+
+@query("n26_slot_order", f"{WINDOWS_SQL}, k AS (SELECT \"window\", slot, row_number() OVER (ORDER BY slot, md5('5|' || \"window\"), \"window\") - 1 AS place FROM x) SELECT \"window\", slot, place, (place % 4)::INT AS shard FROM k WHERE place < 100")
+def n26_slots(spark, sf):
+    """The first hundred windows by their smallest slot, ties in the seeded order."""
+    return N.window_order(slotted(spark, sf), seed=5, slot="slot", most=100, shards=4).select("window", "slot", "place", "shard")

@@ -240,6 +240,56 @@ def p24(spark, sf):
     return out.groupBy(F.when(F.col("distance").isNull(), -1).otherwise(F.least("distance", F.lit(20))).alias("distance")).agg(F.count("*").alias("n"), F.round(F.avg("margin"), 6).alias("margin"))
 
 
+BLOCK = 64
+SPLIT = f"{REC}, m AS (SELECT pos, round(margin, 3) AS margin, evidence >= 50 AS changed FROM r), l AS (SELECT *, coalesce(last_value(CASE WHEN changed THEN pos END IGNORE NULLS) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS last FROM m), sp AS (SELECT *, last >= 0 AND pos // {BLOCK} = last // {BLOCK} AS same, last >= 0 AND pos // {BLOCK} <> last // {BLOCK} AS boundary, pos - last AS distance FROM l)"
+
+
+def split_rows(spark, sf):
+    rows = records(spark, sf).select("pos", F.round("margin", 3).alias("margin"), (F.col("evidence") >= 50).alias("changed"))
+    return P.block_split(rows, BLOCK)
+
+
+@query("p24_dose_response", f"{SPLIT}, g AS (SELECT unnest({[a for a, _ in P.DISTANCES]})::BIGINT AS low, unnest({[b for _, b in P.DISTANCES]})::BIGINT AS high), x AS (SELECT * FROM sp WHERE same AND NOT changed) SELECT low, high, count(margin) AS n, round(avg(margin), 6) AS mean, round(avg(abs(margin)), 6) AS mean_abs, round(avg((abs(margin) > 0.001)::INT), 9) AS above, round(avg((margin = 0)::INT), 9) AS exact_zero FROM g LEFT JOIN x ON distance BETWEEN low AND high GROUP BY low, high")
+def p24_dose(spark, sf):
+    """Margins of positions by the distance of the last well-known context in their block."""
+    out = P.dose_response(split_rows(spark, sf), "margin")
+    return out.select("low", "high", "n", F.round("mean", 6).alias("mean"), F.round("mean_abs", 6).alias("mean_abs"), F.round("above", 9).alias("above"), F.round("exact_zero", 9).alias("exact_zero"))
+
+
+@query("p24_zero_rule", f"{SPLIT}, c AS (SELECT count(*) AS n, count(*) FILTER (margin = 0) AS n_zero, count(*) FILTER (margin = 0 AND NOT changed) AS n_zero_untouched, count(*) FILTER (margin = 0 AND changed) AS n_zero_changed, count(*) FILTER (boundary) AS boundary_n, count(*) FILTER (boundary AND margin = 0) AS boundary_zero FROM sp) SELECT *, n_zero - boundary_zero AS zeros_not_boundary, round(coalesce(boundary_zero / nullif(boundary_n, 0), 0), 9) AS boundary_zero_share, round(coalesce(boundary_zero / nullif(n_zero, 0), 0), 9) AS zeros_explained FROM c")
+def p24_zero(spark, sf):
+    """How far margins of exactly zero are those behind a block boundary."""
+    out = P.zero_rule(split_rows(spark, sf), "margin")
+    return out.withColumn("boundary_zero_share", F.round("boundary_zero_share", 9)).withColumn("zeros_explained", F.round("zeros_explained", 9))
+
+
+def layered(spark, sf):
+    """Each embedding as eight layers of eight tokens, a softmax each, without what is below 0.03; the last layer is the final one."""
+    cells = read(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.posexplode("embedding").alias("i", "x")).select("item", F.floor(F.col("i") / 8).cast("int").alias("layer"), (F.col("i") % 8).alias("token"), F.exp(F.col("x").cast("double")).alias("e"))
+    z = cells.groupBy("item", "layer").agg(F.sum("e").alias("z"))
+    dist = cells.join(z, ["item", "layer"]).select("item", "layer", "token", (F.col("e") / F.col("z")).alias("p")).where("p >= 0.03")
+    return dist, dist.where("layer = 7").select("item", "token", "p")
+
+
+COMPARED = """WITH c AS (SELECT vec_id AS item, (i - 1) // 8 AS layer, (i - 1) % 8 AS token, exp(x) AS e FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::INT AS i FROM embeddings)),
+d AS (SELECT item, layer, token, p FROM (SELECT *, e / sum(e) OVER (PARTITION BY item, layer) AS p FROM c) WHERE p >= 0.03), f AS (SELECT item, token, p FROM d WHERE layer = 7),
+g AS (SELECT i.item, i.layer, t.token, greatest(coalesce(f.p, 0), 1e-12) AS p, greatest(coalesce(d.p, 0), 1e-12) AS q FROM (SELECT DISTINCT item, layer FROM d) i CROSS JOIN (SELECT unnest(generate_series(0, 7)) AS token) t LEFT JOIN f ON f.item = i.item AND f.token = t.token LEFT JOIN d ON d.item = i.item AND d.layer = i.layer AND d.token = t.token WHERE f.p IS NOT NULL OR d.p IS NOT NULL),
+n AS (SELECT item, layer, p / sum(p) OVER w AS p, q / sum(q) OVER w AS q FROM g WINDOW w AS (PARTITION BY item, layer)), k AS (SELECT item, layer, sum(p * ln(p / q)) AS kl FROM n GROUP BY ALL),
+tf AS (SELECT item, token FROM f QUALIFY row_number() OVER (PARTITION BY item ORDER BY p DESC, token) <= 3), td AS (SELECT item, layer, token FROM d QUALIFY row_number() OVER (PARTITION BY item, layer ORDER BY p DESC, token) <= 3),
+cmp AS (SELECT k.item, k.layer, kl, (SELECT count(*) FROM td JOIN tf USING (item, token) WHERE td.item = k.item AND td.layer = k.layer) / 3 AS overlap FROM k)"""
+
+
+@query("p25_distributions", f"{COMPARED} SELECT item, layer::INT AS layer, round(kl, 6) + 0.0 AS kl, round(overlap, 9) AS overlap FROM cmp")
+def p25_distributions(spark, sf):
+    """Divergence and shared commonest tokens of every layer against the last."""
+    return P.compare_distributions(*layered(spark, sf), 3).select("item", "layer", (F.round("kl", 6) + 0.0).alias("kl"), F.round("overlap", 9).alias("overlap"))
+
+
+@query("p25_depth", f"{COMPARED}, m AS (SELECT *, max(round(kl, 9)) OVER (PARTITION BY item) AS most FROM cmp) SELECT item, (min(layer) FILTER (round(kl, 9) <= 0.5 * most))::INT AS by_kl, (min(layer) FILTER (overlap > 0.3))::INT AS by_overlap FROM m GROUP BY item")
+def p25_depth(spark, sf):
+    return P.distribution_depth(P.compare_distributions(*layered(spark, sf), 3).withColumn("kl", F.round("kl", 9)))
+
+
 @query("p25_transition_points", "WITH c AS (SELECT vec_id AS item, unnest(embedding)::DOUBLE AS value, generate_subscripts(embedding, 1) - 1 AS layer FROM embeddings), x AS (SELECT *, max(value) OVER (PARTITION BY item) AS top, lead(value) OVER (PARTITION BY item ORDER BY layer) AS after FROM c) SELECT item, min(layer) FILTER (value <= top / 2)::INT AS half, min(layer) FILTER (value > 0.3)::INT AS above, min(layer) FILTER (value > 0 AND after > 0)::INT AS steady FROM x GROUP BY item")
 def p25(spark, sf):
     curves = read(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.posexplode("embedding").alias("layer", "value")).withColumn("value", F.col("value").cast("double"))
