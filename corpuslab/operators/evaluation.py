@@ -27,6 +27,24 @@ def scores(answers: DataFrame) -> DataFrame:
     return out.withColumns({"exact": exact("__p"), "contains": contains("__p"), "extracted_exact": exact("__c"), "extracted_contains": contains("__c")}).drop("__p", "__g", "__c")
 
 
+def second_scores(answers: DataFrame) -> DataFrame:
+    """Adds what the second rule extracts: ``extracted``, its exact and contains, and ``task_metric``, the one that suits the task.
+
+    ``boolq`` asks for an exact yes or no, every other task for a candidate that contains the gold. Rules of empty
+    texts as in ``scores``; a null task is like any other but ``boolq``.
+    """
+    out = answers.withColumn("extracted", A.answer_candidate(F.col("generated"), F.coalesce("task", F.lit(""))))
+    out = out.withColumns({"__c": T.norm_answer(F.col("extracted")), "__g": T.norm_answer(F.col("gold"))})
+    exact, contains = (F.col("__c") != "") & (F.col("__c") == F.col("__g")), (F.col("__g") != "") & F.col("__c").contains(F.col("__g"))
+    return out.withColumns({"v2_exact": exact, "v2_contains": contains, "task_metric": F.when(F.col("task") == "boolq", exact).otherwise(contains)}).drop("__c", "__g")
+
+
+def second_metrics(scored: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, n, v2_exact, v2_contains, task_metric, n_generated): means per group, rolled up as in ``metrics``."""
+    mean = lambda c: F.round(F.avg(F.col(c).cast("double")), 9).alias(c)
+    return scored.rollup(*by).agg(F.count("*").alias("n"), *[mean(c) for c in ("v2_exact", "v2_contains", "task_metric", "n_generated")])
+
+
 def reading_rules(answers: DataFrame) -> DataFrame:
     """Adds four readings on plain normal forms: substring (an empty gold counts), word window, exact, leading."""
     p, g = T.norm_alnum(F.col("generated")), T.norm_alnum(F.col("gold"))

@@ -138,6 +138,37 @@ def incremental_r2(rows: DataFrame, vector: str, target: str, base: int, seed: i
     return rows.sparkSession.createDataFrame(rows_, "model string, r2 double, bound double")
 
 
+def rank_bounds(rows: DataFrame, vector: str, base: int, targets: list[Column], l2: float = 10.0, most: int = 32) -> DataFrame:
+    """(rank, delta_r2, cumulative, bound): what the inputs beyond ``base`` explain of the targets beside the first ``base``.
+
+    Both the further inputs and the targets are freed of what the first inputs tell (ridge), by the Schur complement of
+    one block Gram matrix; no residual is made row by row. Rank 0 is the ridge fit on all further inputs; rank i > 0
+    the i-th direction of their cross-covariance with the targets, alone and summed up to it. bound = -½ ln(1 - ΔR²).
+    """
+    m = gram(rows, vector, None, targets)[()]
+    c = m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:]) / m[0, 0]
+    h, e, y = slice(0, base), slice(base, len(c) - len(targets)), slice(len(c) - len(targets), len(c))
+    project = np.linalg.solve(c[h, h] + l2 * np.eye(base), np.hstack([c[h, e], c[h, y]]))
+    width = c[e, e].shape[0]
+    of_e, of_y = project[:, :width], project[:, width:]
+    che, chy = c[h, e], c[h, y]
+    inner = c[e, e] - of_e.T @ che - che.T @ of_e + of_e.T @ c[h, h] @ of_e
+    cross = c[e, y] - of_e.T @ chy - che.T @ of_y + of_e.T @ c[h, h] @ of_y
+    total = float(np.trace(c[y, y]))
+    weights = np.linalg.solve(inner + l2 * np.eye(width), cross)
+    bound = lambda r2: float(-0.5 * np.log(max(1e-12, 1 - max(0.0, r2))))
+    whole = float(np.trace(weights.T @ inner @ weights)) / total if total > 0 else 0.0
+    out, upto = [(0, whole, whole, bound(whole))], 0.0
+    directions = np.linalg.svd(cross, full_matrices=False)[0]
+    for i in range(min(most, directions.shape[1])):
+        u = directions[:, i]
+        spread_ = float(u @ inner @ u)
+        own = float(((u @ cross) ** 2).sum() / spread_ / total) if spread_ > 0 and total > 0 else 0.0
+        upto += own
+        out.append((i + 1, own, upto, bound(upto)))
+    return rows.sparkSession.createDataFrame(out, "rank int, delta_r2 double, cumulative double, bound double")
+
+
 def information_gap(rows: DataFrame, vector: str, label: str, fold: str, base: int, key: str, l2: float = 1.0) -> DataFrame:
     """One row: held-out squared-error gain of a linear probe with all dimensions over the first ``base``, minus that of a permuted control."""
     target = F.col(label).cast("double")

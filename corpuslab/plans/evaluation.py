@@ -54,6 +54,22 @@ def e4(spark, sf):
     return E.metrics(E.scores(answers(spark, sf)), ["arm", "task"])
 
 
+def second(spark, sf):
+    """Answers scored by the second rule; questions of even length count as yes-or-no ones."""
+    rows = answers(spark, sf).withColumn("task", F.when(F.col("task") == "even", "boolq").otherwise("qa"))
+    return E.second_scores(rows)
+
+
+@query("e1_second_scores")
+def e1_second(spark, sf):
+    return second(spark, sf).select("arm", "item_id", "extracted", "v2_exact", "v2_contains", "task_metric")
+
+
+@query("e4_task_metric")
+def e4_second(spark, sf):
+    return E.second_metrics(second(spark, sf), ["arm", "task"])
+
+
 @query("e5_format_fingerprint", f"{ANSWERS} SELECT arm, count(*) AS n, round(avg((trim(generated) = '')::INT), 9) AS empty, 0.0::DOUBLE AS scaffold, round(avg(starts_with(lower(trim(generated)), 'yes')::INT), 9) AS yes, round(count(DISTINCT generated) / count(*), 9) AS distinct_rate FROM an GROUP BY arm")
 def e5(spark, sf):
     return E.format_fingerprint(answers(spark, sf))

@@ -69,6 +69,12 @@ def v7(spark, sf):
     return V.incremental_r2(rows(spark, sf), "embedding", "label", 16, 3, "vec_id").select("model", "bound")
 
 
+@query("v7_rank_curve")
+def v7_ranks(spark, sf):
+    """Bound of the second half of an embedding on its label beside the first half, direction by direction."""
+    return V.rank_bounds(rows(spark, sf), "embedding", 32, [(F.col("label") == c).cast("double") for c in range(10)])
+
+
 @query("v8_information_gap")
 def v8(spark, sf):
     return V.information_gap(rows(spark, sf), "embedding", "label", "fold", 32, "vec_id")
