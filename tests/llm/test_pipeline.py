@@ -82,7 +82,7 @@ def test_queries_run(spark, name):
     if name in ORACLE:
         duckdb = pytest.importorskip("duckdb")
         con = duckdb.connect()
-        for t in ("documents", "pages", "conversations", "embeddings"):
+        for t in ("documents", "pages", "conversations", "embeddings", "benchmark"):
             con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
         rel = con.sql(ORACLE[name])
         names = list(rel.columns)
