@@ -19,12 +19,12 @@ from corpuslab.functions.storage import written
 def token_rows(docs: DataFrame, most: int = 3) -> DataFrame:
     """(doc_id, pos, token, before): ``before`` holds up to ``most`` tokens before each, so that contexts need no window.
 
-    What is exploded is an expression that no filter can be inferred from, so each text is matched once.
+    The outer form of the generator lets no filter on the tokens' number be inferred, so each text is matched once.
     """
-    before = lambda t, i: F.slice(t, F.greatest(i - most, F.lit(0)) + 1, F.least(i, F.lit(most)))
-    rows = T.let(T.word_tokens(F.col("text")), lambda t: F.transform(t, lambda w, i: F.struct(w.alias("token"), before(t, i).alias("before"))))
-    found = docs.select("doc_id", F.posexplode(rows).alias("pos", "__w"))
-    return found.select("doc_id", "pos", "__w.token", F.col("__w.before").alias("before", metadata={"most": most}))
+    rows = docs.select("doc_id", T.word_tokens(F.col("text")).alias("__t")).select("doc_id", "__t", F.posexplode_outer("__t").alias("pos", "token")).where("pos is not null")
+    first = F.greatest(F.col("pos") - most, F.lit(0))
+    before = F.slice("__t", first + 1, F.col("pos") - first) if most else F.array().cast("array<string>")
+    return rows.select("doc_id", "pos", "token", before.alias("before", metadata={"most": most}))
 
 
 def token_stream(docs: DataFrame, eos: str = "</s>") -> DataFrame:

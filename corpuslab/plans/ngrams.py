@@ -45,7 +45,7 @@ def n1(spark, sf):
 
 @query("n2_vocab", f"SELECT token, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, token) AS id FROM ({_tokens('true')}) GROUP BY token")
 def n2(spark, sf):
-    return N.vocab(N.token_rows(read(spark, sf, "documents")))
+    return N.vocab(N.token_rows(read(spark, sf, "documents"), 0))
 
 
 @query("n3_ngram_counts", f"{BASE} SELECT ord, count(*) AS distinct_ngrams, sum(n)::BIGINT AS total, max(n) AS largest, bit_xor(('0x' || substring(md5(ctx || '|' || next || '|' || n), 1, 15))::BIGINT) AS digest FROM ng GROUP BY ord")
