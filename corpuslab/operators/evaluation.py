@@ -266,8 +266,9 @@ def channel_comparison(rows: DataFrame) -> DataFrame:
     return rows.where(ok).groupBy("channel").agg(F.count("*").alias("n"), F.avg("logp").alias("mean_logp"), F.avg(F.col("hit").cast("int")).alias("hit"))
 
 
-def shuffled_within(df: DataFrame, column: str, key: str, seed: int) -> DataFrame:
-    """(key, column) with values dealt anew over all keys, by meeting two global ranks."""
-    a = ranked(df.select(key), [F.col(key)])
-    b = ranked(df.select(key, column).withColumn("__h", hash_order(seed, key)), [F.col("__h"), F.col(key)]).select("rank", column)
+def shuffled_within(df: DataFrame, column: str, key: str | list[str], seed: int) -> DataFrame:
+    """(key…, column) with values dealt anew over all keys, by meeting two global ranks."""
+    keys = [key] if isinstance(key, str) else key
+    a = ranked(df.select(*keys), [F.col(c) for c in keys])
+    b = ranked(df.select(*keys, column).withColumn("__h", hash_order(seed, *keys)), [F.col("__h"), *[F.col(c) for c in keys]]).select("rank", column)
     return a.join(b, "rank").drop("rank")

@@ -14,11 +14,13 @@ from .registry import query
 from .text import ALNUM
 
 ARMS = ("full", "head", "echo")
+#: An item's id is its conversation times this, more than any turn's number, plus its turn.
+ITEM = 2**31 + 2
 
 
 def answers(spark, sf):
     """(arm, task, item_id, question, gold, generated, n_generated): gold are the first two words of the answer."""
-    pairs = C.qa_pairs(read(spark, sf, "conversations")).select((F.col("conv_id") * 100 + F.col("turn")).alias("item_id"), "question", "answer")
+    pairs = C.qa_pairs(read(spark, sf, "conversations")).select((F.col("conv_id").cast("long") * ITEM + F.col("turn")).alias("item_id"), "question", "answer")
     gold = F.array_join(F.slice(T.norm_words(F.col("answer")), 1, 2), " ")
     task = F.when(F.pmod(F.char_length("question"), F.lit(2)) == 0, "even").otherwise("odd")
     forms = F.array(*[F.struct(F.lit(a).alias("arm"), g.alias("generated")) for a, g in (("full", F.col("answer")), ("head", F.substring("answer", 1, 12)), ("echo", F.col("question")))])
@@ -27,7 +29,7 @@ def answers(spark, sf):
 
 
 _NORM = lambda c: ALNUM.replace("text", c)
-ANSWERS = f"""WITH q AS (SELECT conv_id * 100 + turn AS item_id, question, answer, CASE WHEN length(question) % 2 = 0 THEN 'even' ELSE 'odd' END AS task, array_to_string(list_filter(string_split({_NORM('answer')}, ' '), lambda w: w <> '')[1:2], ' ') AS gold FROM {QA}),
+ANSWERS = f"""WITH q AS (SELECT conv_id::BIGINT * {ITEM} + turn AS item_id, question, answer, CASE WHEN length(question) % 2 = 0 THEN 'even' ELSE 'odd' END AS task, array_to_string(list_filter(string_split({_NORM('answer')}, ' '), lambda w: w <> '')[1:2], ' ') AS gold FROM {QA}),
 an AS (SELECT unnest(['full','head','echo']) AS arm, task, item_id, question, gold, unnest([answer, substring(answer, 1, 12), question]) AS generated FROM q),
 rr AS (SELECT *, {_NORM('generated')} AS p, {_NORM('gold')} AS g, length(generated) AS n_generated FROM an)"""
 
@@ -195,8 +197,7 @@ def e18(spark, sf):
     from .ngrams import parts
 
     train, held = parts(spark, sf)
-    keyed = train.withColumn("key", F.col("doc_id") * 1_000_000 + F.col("pos"))
-    mixed = keyed.drop("token").join(E.shuffled_within(keyed.select("key", "token"), "token", "key", 5), "key")
+    mixed = E.shuffled_within(train.select("doc_id", "pos", "token"), "token", ["doc_id", "pos"], 5)
     real, control = (N.backoff_scores(held, written(N.ngram_counts(t, [1, 2]), "e18"), 2) for t in (train, written(mixed.select("doc_id", "pos", "token"), "shuffled")))
     d = E.paired_delta(E.align(control, real, ["doc_id", "pos"], "logp"), [])
     return E.with_p_values(d, [])
