@@ -147,8 +147,8 @@ def audit_contamination(items: DataFrame, docs: DataFrame, n: int = 8) -> DataFr
     return out.select("item_id", flag("a").alias("answer_exact"), flag("q").alias("question_exact"), flag("qa").alias("both_exact"), F.round(ratio("q"), 9).alias("question_overlap"), F.round(ratio("qa"), 9).alias("both_overlap"), severity.alias("severity"))
 
 
-def exact_fields(long: DataFrame, words: DataFrame, head: int = 4) -> DataFrame:
-    """(item_id, field, exact): do the field's words occur in a row in some text (doc_id, w)?
+def field_findings(long: DataFrame, words: DataFrame, head: int = 4) -> DataFrame:
+    """(item_id, field, doc_id): the texts (doc_id, w) in which the field's words occur in a row, each once.
 
     Of each text only the keys of its first-word windows are spread, for those lengths up to ``head`` that fields
     have; a text itself is joined again to the few keys that some field begins with.
@@ -159,10 +159,33 @@ def exact_fields(long: DataFrame, words: DataFrame, head: int = 4) -> DataFrame:
     keys = _keyed(words.select("doc_id", F.col("w").alias("tokens")), ns, "doc_id").join(keyed.select("n", "key").distinct(), ["n", "key"], "left_semi").distinct()
     hay = words.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("hay"))
     met = keys.join(hay.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).join(keyed, ["n", "key"]).where(F.col("hay").contains(F.concat(F.lit(" "), F.col("needle"), F.lit(" "))))
-    found = met.select("item_id", "field").distinct().withColumn("exact", F.lit(True))
+    return met.select("item_id", "field", "doc_id").distinct()
+
+
+def exact_fields(long: DataFrame, words: DataFrame, head: int = 4) -> DataFrame:
+    """(item_id, field, exact): do the field's words occur in a row in some text (doc_id, w)?"""
+    found = field_findings(long, words, head).select("item_id", "field").distinct().withColumn("exact", F.lit(True))
     return long.select("item_id", "field").join(found, ["item_id", "field"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
 
 
+def contamination_findings(items: DataFrame, docs: DataFrame, least: int = 2) -> DataFrame:
+    """(item_id, docs, first_doc): in how many documents an item's answer occurs, and the smallest id; items without a finding are left out."""
+    long = items.select("item_id", F.lit("a").alias("field"), T.word_tokens(F.col("answer")).alias("words")).where(F.size("words") >= least)
+    found = field_findings(long, docs.select("doc_id", T.word_tokens(F.col("text")).alias("w")))
+    return found.groupBy("item_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
+
+
+def audit_by_task(audit: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(task, items, exact counts, mean overlaps, severities) of an audit per item and (item_id, task); task null: all items.
+
+    Items without a task count as ``unknown``.
+    """
+    rows = audit.join(tasks.select("item_id", "task"), "item_id", "left").withColumn("task", F.coalesce("task", F.lit("unknown")))
+    counts = [F.count_if(c).alias(c) for c in ("answer_exact", "question_exact", "both_exact")]
+    means = [F.avg(c).alias(c) for c in ("question_overlap", "both_overlap")]
+    return rows.rollup("task").agg(F.count("*").alias("items"), *counts, *means, *[F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low")])
+
+
 def eval_contamination(items: DataFrame, docs: DataFrame, least: int = 2) -> DataFrame:
     """(item_id, contaminated): does the answer, of at least ``least`` word tokens, occur in a document; else null."""
     long = items.select("item_id", F.lit("a").alias("field"), T.word_tokens(F.col("answer")).alias("words")).where(F.size("words") >= least)

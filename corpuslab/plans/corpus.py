@@ -106,17 +106,31 @@ def _grams(words: str) -> str:
     return f"list_distinct(CASE WHEN len({words}) = 0 THEN [] WHEN len({words}) < 8 THEN [array_to_string({words}, ' ')] ELSE list_transform(generate_series(1, len({words}) - 7), lambda i: array_to_string({words}[i:i+7], ' ')) END)"
 
 
-@query("c8_audit_contamination", f"""WITH f AS (SELECT item_id, {STRICT.replace('text', 'question')} AS q, {STRICT.replace('text', 'answer')} AS a FROM {ITEMS}),
+AUDIT = f"""WITH f AS (SELECT item_id, {STRICT.replace('text', 'question')} AS q, {STRICT.replace('text', 'answer')} AS a FROM {ITEMS}),
 l AS (SELECT item_id, 'q' AS field, q AS w FROM f UNION ALL SELECT item_id, 'a', a FROM f UNION ALL SELECT item_id, 'qa', list_concat(q, a) FROM f),
 d AS (SELECT {STRICT} AS w FROM documents), g AS (SELECT DISTINCT unnest({_grams('w')}) AS gram FROM d),
 r AS (SELECT item_id, field, count(*) FILTER (gram IN (SELECT gram FROM g)) / count(*) AS ratio FROM (SELECT item_id, field, unnest({_grams('w')}) AS gram FROM l) GROUP BY ALL),
 e AS (SELECT item_id, field, len(w) > 0 AND EXISTS (SELECT 1 FROM d WHERE contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(l.w, ' ') || ' ')) AS exact FROM l),
 p AS (SELECT f.item_id, max(CASE WHEN e.field='a' THEN exact END) AS ae, max(CASE WHEN e.field='q' THEN exact END) AS qe, max(CASE WHEN e.field='qa' THEN exact END) AS qae, coalesce(max(CASE WHEN e.field='q' THEN ratio END), 0) AS qr, coalesce(max(CASE WHEN e.field='qa' THEN ratio END), 0) AS qar FROM f JOIN e USING (item_id) LEFT JOIN r ON r.item_id = e.item_id AND r.field = e.field GROUP BY f.item_id)
-SELECT item_id, ae AS answer_exact, qe AS question_exact, qae AS both_exact, round(qr, 9) AS question_overlap, round(qar, 9) AS both_overlap, CASE WHEN qae THEN 'critical' WHEN qe OR qar >= 0.8 THEN 'high' WHEN ae OR qr >= 0.5 THEN 'medium' ELSE 'low' END AS severity FROM p""")
+SELECT item_id, ae AS answer_exact, qe AS question_exact, qae AS both_exact, round(qr, 9) AS question_overlap, round(qar, 9) AS both_overlap, CASE WHEN qae THEN 'critical' WHEN qe OR qar >= 0.8 THEN 'high' WHEN ae OR qr >= 0.5 THEN 'medium' ELSE 'low' END AS severity FROM p"""
+
+
+@query("c8_audit_contamination", AUDIT)
 def c8(spark, sf):
     return C.audit_contamination(items(spark, sf), read(spark, sf, "documents"))
 
 
+TASK_OF = "CASE WHEN item_id % 3 = 0 THEN 'recall' WHEN item_id % 3 = 1 THEN 'reading' END"
+
+
+@query("c8_by_task", f"SELECT task, count(*) AS items, count(*) FILTER (answer_exact) AS answer_exact, count(*) FILTER (question_exact) AS question_exact, count(*) FILTER (both_exact) AS both_exact, round(avg(question_overlap), 9) AS question_overlap, round(avg(both_overlap), 9) AS both_overlap, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("critical", "high", "medium", "low")) + f" FROM (SELECT *, coalesce({TASK_OF}, 'unknown') AS task FROM ({AUDIT})) GROUP BY ROLLUP (task)")
+def c8_tasks(spark, sf):
+    """The audit per task; a third of the items has none."""
+    asked = items(spark, sf)
+    out = C.audit_by_task(c8(spark, sf), asked.select("item_id", F.expr(TASK_OF).alias("task")))
+    return out.withColumn("question_overlap", F.round("question_overlap", 9)).withColumn("both_overlap", F.round("both_overlap", 9))
+
+
 ANSWER_TOKENS = "regexp_extract_all(lower(answer), '[a-z0-9'']+')"
 CONTAMINATED = f"SELECT item_id, CASE WHEN len({ANSWER_TOKENS}) >= 2 THEN EXISTS (SELECT 1 FROM documents WHERE contains(' ' || array_to_string({TOKENS}, ' ') || ' ', ' ' || array_to_string({ANSWER_TOKENS}, ' ') || ' ')) END AS contaminated FROM {ITEMS} i"
 
@@ -126,6 +140,11 @@ def c9(spark, sf):
     return C.eval_contamination(items(spark, sf), read(spark, sf, "documents"))
 
 
+@query("c9_findings", f"WITH k AS (SELECT doc_id, ' ' || array_to_string({TOKENS}, ' ') || ' ' AS hay FROM documents) SELECT item_id, count(*) AS docs, min(doc_id) AS first_doc FROM (SELECT item_id, {ANSWER_TOKENS} AS a FROM {ITEMS} i) JOIN k ON contains(hay, ' ' || array_to_string(a, ' ') || ' ') WHERE len(a) >= 2 GROUP BY item_id")
+def c9_findings(spark, sf):
+    return C.contamination_findings(items(spark, sf), read(spark, sf, "documents"))
+
+
 @query("c10_correct_by_memorised", f"SELECT contaminated AS memorised, count(*) AS n, count(*) FILTER (item_id % 3 = 0) AS n_correct FROM ({CONTAMINATED}) GROUP BY contaminated")
 def c10(spark, sf):
     flags = c9(spark, sf).withColumn("correct", F.col("item_id") % 3 == 0)
