@@ -15,6 +15,7 @@ from corpuslab.operators import ngrams as N
 from .evaluation import ANSWERS, ARMS, CORRECT, RUNS, answers, correct, paired, runs
 from .ngrams import EVAL, TRAIN, _tokens, parts
 from .registry import query
+from .text import LABELS
 
 PAIRS = list(combinations(ARMS, 2))
 RULES = ["r_substring", "r_window", "r_exact", "r_leading"]
@@ -30,6 +31,27 @@ def e2_disagreements(spark, sf):
     return G.rule_disagreements(E.reading_rules(answers(spark, sf)), "arm", RULES)
 
 
+MARKED = """CASE item_id % 5 WHEN 0 THEN 'assistant' || chr(10) || generated WHEN 1 THEN '<think>' || generated WHEN 2 THEN '  ' WHEN 3 THEN 'Yes, ' || generated ELSE generated END"""
+
+
+@query("e5_marked_answers", f"{ANSWERS}, mk AS (SELECT arm, {MARKED} AS s FROM an), lb AS (SELECT arm, s, {LABELS} AS label FROM mk) SELECT arm, count(*) AS n, round(avg((trim(s) = '')::INT), 9) AS empty, round(avg((label = 'chat_scaffold')::INT), 9) AS scaffold, round(avg(starts_with(lower(trim(s)), 'yes')::INT), 9) AS yes, round(count(DISTINCT s) / count(*), 9) AS distinct_rate FROM lb GROUP BY arm")
+def e5_marked(spark, sf):
+    """Answers of which a fifth each holds a role line, a thinking mark, nothing, a yes in front."""
+    text, kind = F.col("generated"), F.col("item_id") % 5
+    marked = F.when(kind == 0, F.concat(F.lit("assistant\n"), text)).when(kind == 1, F.concat(F.lit("<think>"), text)).when(kind == 2, "  ").when(kind == 3, F.concat(F.lit("Yes, "), text)).otherwise(text)
+    return E.format_fingerprint(answers(spark, sf).withColumn("generated", marked))
+
+
+@query("e6_gaps", f"""{ANSWERS}, x AS (SELECT task, item_id, question FROM an WHERE arm = 'full' AND length(question) >= 40), y AS (SELECT task, item_id, CASE WHEN item_id % 7 = 0 THEN question || '!' ELSE question END AS question FROM an WHERE arm = 'head' AND item_id % 5 <> 0)
+SELECT count(*) FILTER (y.item_id IS NULL) AS only_a, count(*) FILTER (x.item_id IS NULL) AS only_b, count(*) FILTER (x.question <> y.question) AS mismatched, count(*) AS items FROM x FULL JOIN y ON x.task = y.task AND x.item_id = y.item_id""")
+def e6_gaps(spark, sf):
+    """Arms that lack items of each other, and questions that differ."""
+    rows = answers(spark, sf)
+    a = rows.where("arm = 'full'").where(F.char_length("question") >= 40)
+    b = rows.where("arm = 'head' and item_id % 5 <> 0").withColumn("question", F.when(F.col("item_id") % 7 == 0, F.concat("question", F.lit("!"))).otherwise(F.col("question")))
+    return E.alignment_report(a, b, ["task", "item_id"], "question")
+
+
 @query("e8_correlation", f"{ANSWERS}, w AS (SELECT task, item_id, max(length(p)) FILTER (arm = 'echo') AS a, max(length(p)) FILTER (arm = 'head') AS b FROM rr GROUP BY ALL) SELECT task, count(*) AS n, round(corr(a, b), 9) AS r FROM w GROUP BY task")
 def e8_correlation(spark, sf):
     return _rounded(G.correlation(paired(spark, sf), ["task"]), "r")

@@ -12,15 +12,19 @@ from .ngrams import BACKOFF, parts
 from .registry import query
 
 
+#: A position's number is its document times this, more than any text has tokens, plus its place.
+PLACES = 3_000_000_000
+
+
 def records(spark, sf):
     """(pos, doc_id, grp, nll_p, nll_q, evidence, margin): trigram backoff p, unigram q; a row per position."""
     train, held = parts(spark, sf)
     scored = N.backoff_scores(held, written(N.ngram_counts(train, [1, 2, 3]), "counts"), 3)
-    rows = scored.select((F.col("doc_id") * 1_000_000 + F.col("pos")).alias("pos"), "doc_id", (F.col("doc_id") % 3).alias("grp"), (-F.col("logp")).alias("nll_p"), (-F.col("unigram_logp")).alias("nll_q"), F.col("evidence").alias("evidence"))
+    rows = scored.select((F.col("doc_id").cast("long") * PLACES + F.col("pos")).alias("pos"), "doc_id", (F.col("doc_id") % 3).alias("grp"), (-F.col("logp")).alias("nll_p"), (-F.col("unigram_logp")).alias("nll_q"), F.col("evidence").alias("evidence"))
     return written(P.margins(rows, "nll_q", "nll_p").withColumn("margin", F.round("margin", 9)), "positions")
 
 
-REC = f"{BACKOFF}, rec AS (SELECT doc_id * 1000000 + pos AS pos, doc_id, doc_id % 3 AS grp, -ln(coalesce(CASE WHEN z3 IS NOT NULL THEN n3 / z3 WHEN z2 IS NOT NULL THEN n2 / z2 ELSE n1 / z1 END, n1 / z1, 1e-12)) AS nll_p, -ln(coalesce(n1 / z1, 1e-12)) AS nll_q, coalesce(z3, 0) AS evidence FROM bo), r AS (SELECT *, round(nll_q - nll_p, 9) AS margin FROM rec)"
+REC = f"{BACKOFF}, rec AS (SELECT doc_id::BIGINT * {PLACES} + pos AS pos, doc_id, doc_id % 3 AS grp, -ln(coalesce(CASE WHEN z3 IS NOT NULL THEN n3 / z3 WHEN z2 IS NOT NULL THEN n2 / z2 ELSE n1 / z1 END, n1 / z1, 1e-12)) AS nll_p, -ln(coalesce(n1 / z1, 1e-12)) AS nll_q, coalesce(z3, 0) AS evidence FROM bo), r AS (SELECT *, round(nll_q - nll_p, 9) AS margin FROM rec)"
 
 
 @query("p1_margin", f"{REC} SELECT count(*) AS n, round(avg(margin), 6) AS margin, round(avg((margin > 0)::INT), 9) AS positive FROM r")

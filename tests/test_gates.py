@@ -3,9 +3,12 @@
 import math
 import random
 import statistics
+import struct
 
+import pytest
 from pyspark.sql import functions as F
 
+from corpuslab.operators import address as A
 from corpuslab.operators import gates as G
 
 
@@ -123,3 +126,17 @@ def test_nulls_and_empty_arms(spark):
     read = spark.createDataFrame([("a", True, None), ("a", False, True)], "arm string, r1 boolean, r2 boolean")
     assert tuple(G.rule_disagreements(read, "arm", ["r1", "r2"]).first())[3:] == (1, 1, 0)
     assert G.correlation(spark.createDataFrame([(1, 1.0, None), (1, 2.0, 4.0), (1, 3.0, 6.0)], "g int, a double, b double"), ["g"]).select("n", F.round("r", 9)).first() == (2, 1.0)
+
+
+def test_window_keys_against_the_hash_library(spark):
+    xxhash = pytest.importorskip("xxhash")
+    rng = random.Random(6)
+    rows = [tuple(rng.randrange(1 << 40) for _ in range(3)) for _ in range(50)]
+    df = spark.createDataFrame(rows, "a long, b long, c long").withColumn("key", A.window_key([F.col(c) for c in "abc"]))
+
+    def plain(values, seed=42):
+        for v in values:
+            seed = xxhash.xxh64(struct.pack("<q", v), seed=seed).intdigest()
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    assert all(r["key"] == plain((r["a"], r["b"], r["c"])) for r in df.collect())
