@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.functions.text import let
+
 from .common import materialise, text_or_empty
 
 # Kinds in order, their patterns, the group that is the value, and its least length.
@@ -24,6 +26,32 @@ KINDS = ("assign", "access", "hex", "owned")
 SPAN = "struct<start:int,kind:int,end:int,hash:string>"
 
 
+def _blocks(items: Column, of, rows: int = 256) -> Column:
+    """``of`` each slice of at most ``rows`` items."""
+    return let(items, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), F.lit(rows)), lambda i: of(F.slice(x, i, rows))))
+
+
+def _scan(items: Column, carry: Column, step, out: str) -> Column:
+    """What ``step(carry, item)``, a pair of the next carry and an out, puts out item by item; null outs are left out.
+
+    Appending copies a list, so outs are appended to lists of a block each, which are joined at the end: a text
+    with 100,000 matches copies no list of that size. The carry over a block is folded by itself, without outs.
+    """
+    none = F.array().cast(f"array<{out}>")
+
+    def one(state: Column, x: Column) -> Column:
+        after, found = step(state["carry"], x)
+        return F.struct(after.alias("carry"), F.concat(state["found"], F.filter(F.array(found), lambda y: y.isNotNull())).alias("found"))
+
+    def block(state: Column, part: Column) -> Column:
+        after = F.aggregate(part, state["carry"], lambda at, x: step(at, x)[0])
+        found = F.aggregate(part, F.struct(state["carry"].alias("carry"), none.alias("found")), one, lambda y: y["found"])
+        return F.struct(after.alias("carry"), F.array_append(state["lists"], found).alias("lists"))
+
+    start = F.struct(carry.alias("carry"), F.array().cast(f"array<array<{out}>>").alias("lists"))
+    return F.aggregate(_blocks(items, lambda part: part), start, block, lambda state: F.flatten(state["lists"]))
+
+
 def _found(kind: int, pattern: str, group: int, least: int, also: str = "true") -> Column:
     """Spans of one kind in column ``text``: pieces between matches and the matches give the places.
 
@@ -33,16 +61,24 @@ def _found(kind: int, pattern: str, group: int, least: int, also: str = "true")
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, p, F.lit(0)).alias("w"), F.regexp_extract_all(text, p, F.lit(group)).alias("v"))
     fields = parts.cast("array<struct<p:string,w:string,v:string>>")
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["pos"] + F.char_length(x["p"])
-        end = start + F.char_length(x["w"])
+    def step(pos: Column, x: Column) -> tuple[Column, Column]:
+        start = pos + F.char_length(x["p"])
+        end = start + F.coalesce(F.char_length(x["w"]), F.lit(0))
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.sha2(x["v"], 256).alias("hash"))
-        keep = (F.char_length(x["v"]) >= least) & _also(x["v"], also)
-        return F.when(x["w"].isNull(), state).otherwise(F.struct(end.alias("pos"), F.when(keep, F.array_append(state["found"], span)).otherwise(state["found"]).alias("found")))
+        keep = x["w"].isNotNull() & (F.char_length(x["v"]) >= least) & _also(x["v"], also)
+        return end, F.when(keep, span)
 
-    empty = F.array().cast(f"array<{SPAN}>")
-    folded = F.aggregate(fields, F.struct(F.lit(0).alias("pos"), empty.alias("found")), step, lambda state: state["found"])
-    return F.when(text.rlike(pattern), folded).otherwise(empty)
+    return F.when(text.rlike(pattern), _scan(fields, F.lit(0), step, SPAN)).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def _apart(tokens: Column, base: Column) -> Column:
+    """Tokens that overlap no base span: a sweep over both by start, and one back, each with the nearest base end or start."""
+    is_base, is_token = (lambda s: s["kind"] < 3), (lambda s: s["kind"] == 3)
+    ahead = lambda end, s: (F.when(is_base(s), F.greatest(end, s["end"])).otherwise(end), F.when(is_token(s) & (end <= s["start"]), s))
+    back = lambda start, s: (F.when(is_base(s), s["start"]).otherwise(start), F.when(is_token(s) & (start >= s["end"]), s))
+    free = _scan(F.array_sort(F.concat(base, tokens)), F.lit(0), ahead, SPAN)
+    free = _scan(F.reverse(F.array_sort(F.concat(base, free))), F.lit(2**31 - 1), back, SPAN)
+    return F.when((F.size(base) > 0) & (F.size(tokens) > 0), free).otherwise(tokens)
 
 
 def _also(value: Column, rule: str) -> Column:
@@ -75,8 +111,7 @@ def scan_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", m
         texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repo", "owner", F.md5("text").alias("text_key"), base.alias("base"), _found(3, CANDIDATE, 0, 20, "random").alias("tokens")),
         "secret-spans",
     )
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
-    scanned = scanned.withColumn("tokens", free)
+    scanned = scanned.withColumn("tokens", _apart(F.col("tokens"), F.col("base")))
     seen = scanned.select("row", "repo", "owner", F.explode(F.concat("base", "tokens")).alias("span")).select("row", "repo", "owner", "span", F.col("span.hash").alias("hash"))
     frequency = seen.groupBy("hash").agg(F.countDistinct("repo").alias("repos"), F.countDistinct("owner").alias("owners"))
     live = F.col("owners").between(1, max_owners) & (F.col("repos") <= max_repos)
@@ -100,13 +135,18 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "<secret>") -> DataFra
     cuts = found.where(F.size("spans") > 0).groupBy("text_key").agg(F.first("spans").alias("__spans"))
     text = F.col("text")
 
-    def step(state: Column, s: Column) -> Column:
-        apart = s["start"] >= state["pos"]
-        gap = F.substring(text, state["pos"] + 1, s["start"] - state["pos"])
-        return F.struct(F.when(apart, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"]).alias("out"), F.greatest(state["pos"], s["end"]).alias("pos"))
+    def step(pos: Column, s: Column) -> tuple[Column, Column]:
+        return F.greatest(pos, s["end"]), F.when(s["start"] >= pos, F.struct(pos.alias("at"), s["start"].alias("to")))
+
+    def piece(gaps: Column) -> Column:
+        # A place is found by counting characters from a text's start: gaps are cut from their block's own part.
+        first = F.element_at(gaps, 1)["at"]
+        part = F.struct(first.alias("at"), F.substring(text, first + 1, F.element_at(gaps, -1)["to"] - first).alias("text"))
+        return let(part, lambda own: F.array_join(F.transform(gaps, lambda g: F.concat(F.substring(own["text"], g["at"] - own["at"] + 1, g["to"] - g["at"]), F.lit(mark))), ""))
 
-    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
-    whole = F.aggregate("__spans", state, step, lambda s: F.concat(s["out"], F.substring(text, s["pos"] + 1, F.char_length(text))))
+    rest = F.aggregate("__spans", F.lit(0), lambda pos, s: F.greatest(pos, s["end"]))
+    pieces = _blocks(_scan(F.col("__spans"), F.lit(0), step, "struct<at:int,to:int>"), lambda gaps: let(gaps, piece))
+    whole = F.concat(F.array_join(pieces, ""), let(rest, lambda pos: F.substring(text, pos + 1, F.char_length(text))))
     may = F.coalesce(reduce(lambda a, b: a | b, [text.rlike(p) for _, p, _, _ in BASE] + [text.rlike(CANDIDATE)]), F.lit(False))
     joined = docs.where(may).withColumn("__key", F.md5("text")).join(materialise(cuts, "secret-cuts").withColumnRenamed("text_key", "__key"), "__key", "left")
     out = joined.withColumn("text", F.when(F.col("__spans").isNull(), text).otherwise(whole))
