@@ -27,13 +27,12 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where(x.isNotNull() & F.col("vec_id").isNotNull()).where(finite & F.exists(x, lambda v: v != 0))
 
 
-def one_per_id(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in order of id; of several rows with one id, the vector that comes first in order of its components."""
-    order = np.argsort(ids, kind="stable")
-    if len(np.unique(ids)) < len(ids):
-        order = np.lexsort((*x.T[::-1], ids))
-        order = order[np.concatenate(([True], np.diff(ids[order]) != 0))]
-    return ids[order], x[order]
+def one_per_id(vectors: DataFrame) -> DataFrame:
+    """(vec_id, dim, embedding): of several rows with one id and length, the vector that comes first in order of its components.
+
+    Tasks keep one row per id before the shuffle, so an id that holds many rows fills no task.
+    """
+    return vectors.groupBy("vec_id", F.size("embedding").alias("dim")).agg(F.min("embedding").alias("embedding"))
 
 
 def inner_products(by_component: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -94,7 +93,7 @@ def search(
     last window of each query is unbounded, so every search ends. Other columns are ignored; empty tables give
     no row.
     """
-    spark, size = vectors.sparkSession, F.size("embedding")
+    spark = vectors.sparkSession
     vectors, queries = usable(vectors.select("vec_id", "embedding")), usable(queries.select("vec_id", "embedding"))
     largest = F.aggregate("embedding", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v.cast("double"))))
     figures = vectors.agg(F.count("*").alias("n"), F.max(largest).alias("scale")).first()
@@ -114,8 +113,9 @@ def search(
     def of(pair: tuple, data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if data.empty or asked.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        ids, x = one_per_id(data["vec_id"].to_numpy(), np.stack(data["embedding"].to_numpy()).astype(float))
-        asked_ids, q = one_per_id(asked["asked_id"].to_numpy(), np.stack(asked["asked"].to_numpy()).astype(float))
+        data, asked = data.sort_values("vec_id"), asked.sort_values("asked_id")
+        ids, x = data["vec_id"].to_numpy(), np.stack(data["embedding"].to_numpy()).astype(float)
+        asked_ids, q = asked["asked_id"].to_numpy(), np.stack(asked["asked"].to_numpy()).astype(float)
         small, by_component = x / scale, np.ascontiguousarray(x.T)
         rest = np.sqrt(np.maximum(top - np.einsum("ij,ij->i", small, small), 0.0))
         index = SortedProjections(np.hstack([small, rest[:, None]]), n_projections, seed)
@@ -135,8 +135,8 @@ def search(
         return pd.concat(out)
 
     # Each block of vectors goes to every group of queries and the other way round: pairs of blocks, not of rows.
-    data = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("dim", size)
-    asked = queries.select(F.col("vec_id").alias("asked_id"), F.col("embedding").alias("asked"), size.alias("dim")).withColumn("group", F.pmod(F.xxhash64("asked_id", F.lit(1)), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    data = one_per_id(vectors).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    asked = one_per_id(queries).select(F.col("vec_id").alias("asked_id"), F.col("embedding").alias("asked"), "dim").withColumn("group", F.pmod(F.xxhash64("asked_id", F.lit(1)), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     found = data.groupBy("block", "group", "dim").cogroup(asked.groupBy("block", "group", "dim")).applyInPandas(of, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
