@@ -3,7 +3,8 @@
 The script of a word's first letter narrows the languages it may belong to (those that were learned with enough
 letters of that script). Each word gets a score per candidate: the log-probabilities of its hashed character
 trigrams. Viterbi with a penalty for switching then labels every word, so a text of several languages falls into
-spans; the text's language is the one that labels most of its letters.
+spans; the text's language is the one that labels most of its letters. Ties: a word keeps the language of the word
+before it where switching is not better; languages that tie otherwise go to the first by name.
 """
 
 from __future__ import annotations
