@@ -51,7 +51,8 @@ def filter_contaminated(docs: DataFrame, found: DataFrame, inner: int = 2) -> Da
 
     The inner words of a needle of three or more are whole words of a text that contains it, so candidates come
     from a join on the needle's inner words, up to ``inner`` of them, with the distinct word n-grams of the texts;
-    needles of two words join on the word beginnings that their last word gives. Each candidate is verified.
+    needles of two words join on what lies around their blank, up to three letters on either side. Each candidate
+    is verified.
     Needles have at least two words.
     """
     hay = docs.select("doc_id", T.norm_alnum(F.col("text")).alias("hay"))
@@ -64,11 +65,14 @@ def filter_contaminated(docs: DataFrame, found: DataFrame, inner: int = 2) -> Da
     if ns:
         hit = _keyed(hay.select("doc_id", words.alias("tokens")), ns, "doc_id").join(keyed, ["n", "key"]).select("doc_id", "needle").distinct()
     # Two words: the first ends a word of the text and the second begins the next one.
-    heads = listed.where("size <= 2").select("needle", F.substring(F.element_at("w", -1), 1, 3).alias("start"))
-    short = hit.limit(0)
-    if not heads.isEmpty():
-        beginnings = F.flatten(F.transform(words, lambda w: F.array(*[F.substring(w, 1, n) for n in (1, 2, 3)])))
-        short = hay.select("doc_id", F.explode(F.array_distinct(beginnings)).alias("start")).join(heads, "start").select("doc_id", "needle").distinct()
+    around = lambda a, b, n, m: F.concat(F.right(a, F.lit(n)), F.lit(" "), F.left(b, F.lit(m)))
+    sides = [F.least(F.char_length(F.element_at("w", i)), F.lit(3)).alias(c) for i, c in ((1, "before"), (-1, "after"))]
+    heads = listed.where("size <= 2").select("needle", *sides, around(F.element_at("w", 1), F.element_at("w", -1), 3, 3).alias("start"))
+    short, lengths = hit.limit(0), sorted((r["before"], r["after"]) for r in heads.select("before", "after").distinct().collect())
+    if lengths:
+        follow = lambda w: F.arrays_zip(F.slice(w, 1, F.size(w) - 1).alias("a"), F.slice(w, 2, F.size(w)).alias("b"))
+        starts = T.let(T.let(words, follow), lambda pairs: F.flatten(F.transform(pairs, lambda x: F.array(*[around(x["a"], x["b"], n, m) for n, m in lengths]))))
+        short = hay.select("doc_id", F.explode(F.array_distinct(starts)).alias("start")).join(heads, "start").select("doc_id", "needle").distinct()
     bad = hit.unionByName(short).join(hay, "doc_id").where(F.col("hay").contains(F.col("needle"))).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti")
 

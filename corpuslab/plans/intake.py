@@ -64,6 +64,19 @@ def s7(spark, sf):
     return found.groupBy("status").agg((F.count("*") > 0).alias("found"))
 
 
+@query("s7_audit_statuses", "SELECT * FROM (VALUES ('extra', 1), ('missing', 1), ('ok', 5), ('sha256', 1), ('size', 1)) x(status, files)")
+def s7_statuses(spark, sf):
+    """A corpus of eight files against a manifest that leaves one out, names one more and has another size and hash."""
+    path = fresh_path(spark, "s7")
+    read(spark, sf, "documents").repartition(8).write.parquet(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    own = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    part = F.substring("name", 1, 10)
+    stated = own.where(part != "part-00000").withColumn("size", F.col("size") + (part == "part-00001").cast("int")).withColumn("sha256", F.when(part == "part-00002", "").otherwise(F.col("sha256")))
+    more = spark.createDataFrame([("absent.parquet", 1, "")], "name string, size long, sha256 string")
+    return S.audit_files(spark, f"{path}/*.parquet", stated.unionByName(more)).groupBy("status").agg(F.count("*").cast("int").alias("files"))
+
+
 @query("s8_write_corpus", f"SELECT lang AS category, count(*) AS records, sum(len({TOKENS}))::BIGINT AS tokens FROM documents GROUP BY lang")
 def s8(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("category"), F.size(T.word_tokens(F.col("text"))).alias("n_tokens"))

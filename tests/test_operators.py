@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +173,14 @@ def test_grids_are_whole(spark, monkeypatch):
     queries["e9_bootstrap"](spark, SMALLEST)
     queries["v4_permutation_p"](spark, SMALLEST)
     assert seen == {"e9": (2000,), "v4": ()}
+
+
+def test_two_word_needles_by_brute_force(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("ab1", k=rng.randint(1, 5)))
+    docs = [(i, " ".join(word() for _ in range(rng.randint(0, 8)))) for i in range(300)] + [(300, None), (301, "ba"), (301, "x ab a y")]
+    pairs = [f"{word()} {word()}" for _ in range(6)] + ["ab a"]
+    found = spark.createDataFrame([(p,) for p in pairs], "needle string")
+    kept = C.filter_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), found)
+    bad = {i for i, text in docs if any(p in (text or "") for p in pairs)}
+    assert 10 < len(bad) < 250 and {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - bad
