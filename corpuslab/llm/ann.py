@@ -52,6 +52,9 @@ class SortedProjections:
         projected, self.n = self.lines @ lifted.T, len(lifted)
         self.order = np.argsort(projected, axis=1, kind="stable")
         self.sorted = np.take_along_axis(projected, self.order, axis=1)
+        #: Where each vector stands on each line, in the smallest numbers that hold a window's size.
+        self.place = np.empty(self.order.shape, np.uint16 if self.n < 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, self.order, np.arange(self.n, dtype=self.place.dtype)[None, :], axis=1)
 
     def windows(self, queries: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and end position of each window, by query, width and line."""
@@ -65,16 +68,19 @@ class SortedProjections:
 
     def candidates(self, low: np.ndarray, high: np.ndarray, wanted: int, collisions: int) -> np.ndarray:
         """Vectors that one query's windows (by width and line) hold on enough lines, at the first width with ``wanted``."""
-        counts, found = np.zeros(self.n, np.int64), np.zeros(0, np.int64)
-        left = right = low[0].tolist()
-        for lows, highs in zip(low.tolist(), high.tolist(), strict=True):
+        first = low[0].astype(self.place.dtype)[:, None]
+        # The first window is wide: places are compared with it. Places before it wrap round and are beyond any window.
+        inside = self.place - first < (high[0] - low[0]).astype(self.place.dtype)[:, None]
+        counts = inside.view(np.uint8).sum(axis=0, dtype=np.uint8 if len(inside) < 256 else np.uint32).astype(np.int64)
+        left, right, found = low[0].tolist(), high[0].tolist(), np.flatnonzero(counts >= collisions)
+        for lows, highs in zip(low[1:].tolist(), high[1:].tolist(), strict=True):
+            if len(found) >= wanted:
+                break
             entered = [order[a:b] for order, a, b in zip(self.order, lows, left, strict=True)]
             entered += [order[a:b] for order, a, b in zip(self.order, right, highs, strict=True)]
             counts += np.bincount(np.concatenate(entered), minlength=self.n)
             left, right = lows, highs
             found = np.flatnonzero(counts >= collisions)
-            if len(found) >= wanted:
-                break
         return found
 
 
