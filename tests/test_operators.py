@@ -80,6 +80,17 @@ def test_addresses(spark):
     assert real["injective"] and crushed["lost"] > 0
 
 
+def test_addresses_of_large_vocabularies_wrap(spark):
+    ids = [1, 389_113, 389_114, 655_131, 800_000, 2_000_000, 2**31 - 1]
+    rows = [(a, b, c) for a in ids for b in ids for c in (A.EOS, ids[-2], 900_000)]
+    spec = A.real_spec()
+    got = spark.createDataFrame(rows, "id long, t1 long, t2 long").select("id", "t1", "t2", A.row_ids(spec).alias("x")).collect()
+    for r in got:
+        products = [i * m % 2**64 for i, m in zip((r["id"], r["t1"], r["t2"]), spec.multipliers, strict=True)]
+        mixed = [products[0] ^ products[1]] * 8 + [products[0] ^ products[1] ^ products[2]] * 8
+        assert r["x"] == [m % p + o for m, p, o in zip(mixed, spec.moduli, spec.offsets, strict=True)]
+
+
 def test_contamination(spark):
     docs = spark.createDataFrame([(0, "then james it was"), (1, "so James, I was there"), (2, "nothing here")], "doc_id long, text string")
     found = spark.createDataFrame([("james i",)], "needle string")
