@@ -15,22 +15,27 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Runs an appending stream over what is there and returns its rows, written to shared storage batch by batch.
+def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there and returns its rows, written to shared storage batch by batch.
 
-    A batch that is run again writes over its own folder.
+    A batch that is run again writes over its own folder. In complete mode each batch has the whole result so far, and
+    the last one counts.
     """
     spark = stream.sparkSession
     path = fresh_path(spark, name)
 
+    last = {"number": -1}
+
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        last["number"] = number
 
-    job = stream.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    job = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     job.awaitTermination()
-    if job.lastProgress is None:
+    if last["number"] < 0:
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{path}/out")
+    folder = f"{path}/out" if mode == "append" else f"{path}/out/batch={last['number']}"
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(folder)
 
 
 class GrownCounts:
@@ -115,6 +120,15 @@ def telemetry(events: DataFrame, window: str = "1 hour", watermark: str = "2 hou
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
+def telemetry_whole(events: DataFrame, unit: str = "hour") -> DataFrame:
+    """(start, event_type, n, total) of every unit of event time, for complete mode: open ones and late rows count too.
+
+    Rows without a time have a row of their own, with start null. The state is one row per unit and type.
+    """
+    start = F.date_trunc(unit, F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("start")
+    return events.groupBy(start, "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
 def flag_contaminated(docs: DataFrame, items: DataFrame, words: int = 8) -> DataFrame:
     """(doc_id, item_id): arriving documents that share a run of ``words`` words with a benchmark item."""
     from corpuslab.operators.corpus import windows_of

@@ -264,3 +264,14 @@ def test_telemetry_closes_windows_and_drops_late_rows(spark, tmp_path):
     # An hour that is closed takes no late row; one within the watermark does.
     arrive((at(1, 40), "a", 50.0), (at(4), "a", 8.0), (at(12), "a", 1.0))
     assert run() == [(1, 2, 3.0), (4, 1, 8.0), (5, 1, 4.0)]
+
+
+def test_whole_telemetry_has_open_hours_late_rows_and_rows_without_a_time(spark, tmp_path):
+    import datetime
+
+    at = lambda h, m=0: datetime.datetime(2024, 1, 1, h, m)
+    for rows in ([(at(1), "a", 1.0), (at(12), "a", 4.0)], [(at(1, 30), "a", 2.0), (at(12, 5), "b", 8.0), (None, "a", 16.0)]):
+        spark.createDataFrame(rows, "ts timestamp, event_type string, value double").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    events = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    got = {(r["start"] and r["start"].hour, r["event_type"], r["n"], r["total"]) for r in J.drain(J.telemetry_whole(events), "whole", "complete").collect()}
+    assert got == {(1, "a", 2, 3.0), (12, "a", 1, 4.0), (12, "b", 1, 8.0), (None, "a", 1, 16.0)}
