@@ -107,12 +107,24 @@ def token_overlap_report(cand: DataFrame, ref: DataFrame, ns: list[int]) -> Data
 
 
 def char_overlap(cand: DataFrame, ref: DataFrame, n: int) -> DataFrame:
-    """(doc_id, overlaps): null where the text is shorter than n code points and cannot be tested."""
+    """(doc_id, overlaps): null where the text is shorter than n code points and cannot be tested.
+
+    Of every ``step`` starts in a row one is a multiple of ``step``, so each window of n holds a piece of n - step + 1 code
+    points that starts at such a place. The reference gives its pieces at those places alone, candidates those at every
+    place; where they meet, blocks of both sides are compared by all of their windows.
+    """
+    step = max(1, n // 5)
     # A place in a text is found by counting characters from its start, so long texts are first cut into blocks.
-    span = 256
-    blocks = lambda df: df.where(F.char_length("text") >= n).select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.char_length("text") - n + 1, F.lit(span))).alias("i")).select("doc_id", F.expr(f"substring(text, i, {span + n - 1})").alias("b"))
-    grams = lambda df: blocks(df).select("doc_id", "b", F.explode(F.sequence(F.lit(1), F.char_length("b") - n + 1)).alias("i")).select("doc_id", T.window_key(F.expr(f"substring(b, i, {n})")).alias("key"))
-    hit = grams(cand).join(grams(ref).select("key").distinct(), "key", "left_semi").select("doc_id").distinct().withColumn("hit", F.lit(True))
+    span = 32 * step
+    blocks = lambda df: df.where(F.char_length("text") >= n).select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.char_length("text") - n + 1, F.lit(span))).alias("i")).select("doc_id", "i", F.expr(f"substring(text, i, {span + n - 1})").alias("b"))
+    places = lambda size, by: F.explode(F.sequence(F.lit(1), F.char_length("b") - size + 1, F.lit(by))).alias("j")
+    piece = n - step + 1
+    pieces = lambda df, by: blocks(df).select("doc_id", "i", "b", places(piece, by)).select("doc_id", "i", F.xxhash64(F.expr(f"substring(b, j, {piece})")).alias("key"))
+    theirs = pieces(ref, step)
+    ours = written(pieces(cand, 1).join(theirs.select("key").distinct(), "key", "left_semi").distinct(), "met-pieces")
+    met = theirs.join(ours.select("key").distinct(), "key", "left_semi")
+    grams = lambda df, which: blocks(df).join(which.select("doc_id", "i").distinct(), ["doc_id", "i"], "left_semi").select("doc_id", "b", places(n, 1)).select("doc_id", T.window_key(F.expr(f"substring(b, j, {n})")).alias("key"))
+    hit = grams(cand, ours).join(grams(ref, met).select("key").distinct(), "key", "left_semi").select("doc_id").distinct().withColumn("hit", F.lit(True))
     return cand.join(hit, "doc_id", "left").select("doc_id", F.when(F.char_length("text") >= n, F.coalesce("hit", F.lit(False))).alias("overlaps"))
 
 

@@ -294,3 +294,21 @@ def test_shuffled_control_is_worse(spark):
 
     r = load_all()[0]["e18_real_vs_control"](spark, SF).first()
     assert r["n"] > 1000 and r["delta"] > 0 and r["p_t"] < 0.01 and r["t"] == pytest.approx(r["delta"] / r["sem"])
+
+
+def test_character_windows_met_at_every_place(spark):
+    """Windows of 40 at every offset of both texts, over the edges of blocks, and windows one character too short."""
+    rng = random.Random(8)
+    noise = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(k))
+    ref, cand, want = [], [], {}
+    for i in range(60):
+        long = rng.random() < 0.6
+        shared = noise(40 if long else 39)
+        at, there = rng.randrange(600), rng.choice([0, 215, 216, 217, 255, 256, 257, rng.randrange(600)])
+        ref.append((i, noise(there) + shared + noise(rng.randrange(300))))
+        cand.append((100 + i, noise(at) + "0" + shared + "1" + noise(rng.randrange(300))))
+        want[100 + i] = long
+    cand += [(200, "short"), (201, None)]
+    want |= {200: None, 201: None}
+    found = C.char_overlap(spark.createDataFrame(cand, "doc_id long, text string"), spark.createDataFrame(ref, "doc_id long, text string"), 40)
+    assert {r["doc_id"]: r["overlaps"] for r in found.collect()} == want
