@@ -1,5 +1,6 @@
 """Operators without SQL against plain recomputations in Python and numpy."""
 
+import hashlib
 import math
 import os
 import random
@@ -312,3 +313,21 @@ def test_character_windows_met_at_every_place(spark):
     want |= {200: None, 201: None}
     found = C.char_overlap(spark.createDataFrame(cand, "doc_id long, text string"), spark.createDataFrame(ref, "doc_id long, text string"), 40)
     assert {r["doc_id"]: r["overlaps"] for r in found.collect()} == want
+
+
+def test_hashed_ranks_write_counts_of_buckets_alone(spark, monkeypatch):
+    from corpuslab.functions import scale
+
+    kept = []
+    real = scale.written
+    monkeypatch.setattr(scale, "written", lambda df, name: kept.append(df.columns) or real(df, name))
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else f"g{i % 3}", f"v{i}") for i in range(500)], "id long, g string, v string")
+    got = {r["id"]: r["rank"] for r in scale.hash_ranked(rows, 7, ["id"], ["g"]).collect()}
+    want = sorted(range(500), key=lambda i: ("" if i % 3 == 0 else f"g{i % 3}", hashlib.md5(f"7|{i}".encode()).hexdigest()))
+    assert got == {i: k + 1 for k, i in enumerate(want)}
+    assert kept and not any("v" in columns for columns in kept)
+    # A permutation of values over composite keys deals the same way.
+    kept.clear()
+    dealt = E.shuffled_within(rows.select("id", F.lit(1).alias("pos"), "v"), "v", ["id", "pos"], 5)
+    order = sorted(range(500), key=lambda i: hashlib.md5(f"5|{i}|1".encode()).hexdigest())
+    assert {r["id"]: r["v"] for r in dealt.collect()} == {i: f"v{k}" for i, k in enumerate(order)}
