@@ -248,6 +248,15 @@ def sample_positions(tokens: DataFrame, k: int, seed: int, least_pos: int = 2) -
     return tokens.where(F.col("pos") >= least_pos).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
 
 
+def sample_positions_of(docs: DataFrame, k: int, seed: int, least_pos: int = 2) -> DataFrame:
+    """``sample_positions`` of (doc_id, tokens): each row keeps its own first k, and only those are shuffled."""
+    order = lambda i: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), i.cast("string")))
+    places = F.transform("tokens", lambda t, i: F.struct(order(i).alias("h"), i.alias("pos"), t.alias("token")))
+    first = F.slice(F.sort_array(F.slice(places, least_pos + 1, F.greatest(F.size("tokens") - least_pos, F.lit(0)))), 1, k)
+    kept = docs.select("doc_id", F.explode(first).alias("x")).select("doc_id", "x.pos", "x.token")
+    return sample_positions(kept, k, seed, least_pos)
+
+
 def split_exact(df: DataFrame, frac: float, seed: int, key: str = "doc_id") -> DataFrame:
     """Adds ``part``: exactly round(frac * n) rows, first in a seeded order, are eval."""
     n = int(round(frac * df.count()))

@@ -331,3 +331,14 @@ def test_hashed_ranks_write_counts_of_buckets_alone(spark, monkeypatch):
     dealt = E.shuffled_within(rows.select("id", F.lit(1).alias("pos"), "v"), "v", ["id", "pos"], 5)
     order = sorted(range(500), key=lambda i: hashlib.md5(f"5|{i}|1".encode()).hexdigest())
     assert {r["id"]: r["v"] for r in dealt.collect()} == {i: f"v{k}" for i, k in enumerate(order)}
+
+
+def test_sampled_positions_are_chosen_within_rows(spark):
+    rng = random.Random(3)
+    # Document 5 lies in two rows; short and missing texts have no position.
+    rows = [(i, [f"w{rng.randrange(9)}" for _ in range(n)]) for i, n in ((1, 40), (2, 2), (3, 3), (4, 0), (5, 30), (5, 9))] + [(6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    want = C.sample_positions(docs.select("doc_id", F.posexplode("tokens").alias("pos", "token")), 4, 7)
+    got = C.sample_positions_of(docs, 4, 7)
+    key = lambda df: sorted((r["doc_id"], r["pos"]) for r in df.collect())
+    assert key(got) == key(want) and got.columns == want.columns
