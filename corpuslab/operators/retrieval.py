@@ -22,18 +22,21 @@ def top(df: DataFrame, k: int, score: str = "score") -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank) by BM25; a term repeated in a query counts again; only matching documents.
 
-    Postings are made for query terms only: the terms join before anything is counted. A very common term is a
-    skewed join key that Spark splits; scores are summed before the window per query.
+    Postings are made for query terms only: the terms join before anything is counted. They are dealt by document, and
+    the terms of the queries, a stated set, are broadcast with their weights: so a very common term, which meets most
+    queries in most documents, is spread over all tasks, where a document's scores are summed and cut to the k best.
     """
     asked = queries.select("query_id", F.explode(T.word_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     words = docs.select("doc_id", T.word_tokens(F.col("text")).alias("w"))
     sizes = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("mean_size"))
     terms = asked.select("term").distinct()
     postings = words.select("doc_id", F.size("w").alias("size"), F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+    postings = written(postings, "postings")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     weighted = asked.join(df, "term").join(F.broadcast(sizes)).withColumn("idf", F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean_size")))
-    scores = postings.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * tf), 9).alias("score"))
+    dealt = postings.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    scores = dealt.join(F.broadcast(weighted), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * tf), 9).alias("score"))
     return top(scores, k)
 
 

@@ -1,5 +1,6 @@
 """Figures of held positions by sorted runs against joins of counted tables, and random texts."""
 
+import math
 import random
 
 import pytest
@@ -38,3 +39,37 @@ def test_a_window_of_four_shuffles_its_tokens_once(spark):
     positions, totals = N.position_figures(train, held, 4, (4,), (1, 2, 3))
     plan = positions._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") <= 5 and totals.where("kind = 'r' AND ord = 4").agg(F.sum(F.col("n") * F.col("k"))).first()[0] == train.where("pos >= 3").count()
+
+
+def test_nested_mixtures_agree_with_those_of_joined_counts(spark):
+    train, held = two_parts(spark, 3)
+    part = F.when(F.col("doc_id") % 2 == 0, "dev").otherwise("test")
+    candidates = N.candidate_set(train, 3)
+    want = N.nested_mixture(held.withColumn("part", part), N.ngram_counts(train, [1, 2, 3]), candidates, [0.2, 0.95])
+    found = N.nested_mixture_positions(train, held, part, candidates, [0.2, 0.95])
+    rows = [{tuple(r)[:3]: tuple(r)[3:] for r in df.collect()} for df in (want, found)]
+    assert rows[0].keys() == rows[1].keys() and len(rows[0]) == 8
+    for key, row in rows[0].items():
+        assert rows[1][key] == pytest.approx(row, rel=1e-12)
+
+
+def test_equal_losses_meet_the_grid_once(spark):
+    from corpuslab.operators import positions as P
+
+    rows = [(0.5, 1.0, i % 2) for i in range(1000)] + [(2.0, 1.0, 0), (30.0, 40.0, 1)]
+    grid = P.mixture_grid(spark.createDataFrame(rows, "nll_p double, nll_q double, g int"), ["g"], 4)
+    plan = grid._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("MapInPandas") :]
+    one = lambda p, q, i: -math.log(max(i / 4 * math.exp(-p) + (1 - i / 4) * math.exp(-q), 1e-12))
+    for r in grid.collect():
+        assert r["n"] == 501 and r["losses"] == pytest.approx([sum(one(p, q, i) for p, q, g in rows if g == r["g"]) for i in range(5)], rel=1e-12)
+
+
+def test_a_term_of_all_queries_is_scored_in_several_tasks(spark):
+    """The common term was a join key of its own before, so one task scored every document for every query."""
+    from corpuslab.operators import retrieval as R
+
+    docs = spark.createDataFrame([(i, "common") for i in range(400)], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, "common word") for i in range(20)], "query_id long, text string")
+    assert "RepartitionByExpression [doc_id" in R.bm25(docs, queries, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["query_id"], r["doc_id"]) for r in R.bm25(docs, queries, 3).orderBy("query_id", "rank").collect()] == [(q, d) for q in range(20) for d in range(3)]
