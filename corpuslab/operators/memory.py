@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.functions.storage import written
+
 from .positions import ORACLE_FIELDS, fold_of
 
 
@@ -80,7 +82,8 @@ def gate_study(records: DataFrame, features: list[str], target: str, folds: int
     if refused:
         raise ValueError(f"not observable when a gate decides: {', '.join(refused)}")
     d = len(features) + 1
-    rows = fold_of(records.dropna(subset=[*features, target]), folds)
+    # Written once: every step of the fit reads these rows, and the ranking behind the folds is not done again.
+    rows = written(fold_of(records.dropna(subset=[*features, target]), folds), "gate-folds")
     x = [F.col(f).cast("double") for f in features]
     own = rows.groupBy("fold").agg(F.count("*").alias("n"), F.array(*map(F.sum, x)).alias("s"), F.array(*[F.sum(v * v) for v in x]).alias("q")).collect()
     n, s, q = np.zeros(folds), np.zeros((folds, d - 1)), np.zeros((folds, d - 1))
