@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,26 +110,117 @@ def token_overlap_report(cand: DataFrame, ref: DataFrame, ns: list[int]) -> Data
     return sized.groupBy("n").agg(F.count("hit").alias("excluded"), F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("n_tokens"))), F.lit(0)).alias("excluded_tokens"), F.count_if(F.col("n_tokens") < F.col("n")).alias("untestable"))
 
 
+def _gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of each run of k code points."""
+    h = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    out, done, size = None, 0, 1
+    while True:  # runs of 1, 2, 4 and so on, put together as k is made of them
+        if k & size:
+            out = h if out is None else out[: len(h) - done] * np.uint64(0xD6E8FEB86659FD93) + h[done:]
+            done += size
+        size *= 2
+        if size > k:
+            break
+        h = h[: len(h) - size // 2] * np.uint64(0xFF51AFD7ED558CCD + 2 * size) + h[size // 2 :]
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return out ^ (out >> np.uint64(31))
+
+
+def _anchors(n: int, k: int, wanted: np.ndarray | None = None):
+    """For ``mapInArrow`` over (doc_id, held, text): (key, doc_id, at, around), the places that stand for all windows of n.
+
+    Of the runs of k code points in a window of n the one with the smallest hash, the first of equals, is its anchor; equal
+    windows have equal ones. An anchor is kept with what lies n - k code points on either side, so that it holds every
+    window it stands for; ``at`` is where it begins there. Equal ones of a batch are kept once, without an id if not held; those whose bit in ``wanted`` is
+    zero are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen, keys, ids, ats, arounds = set(), [], [], [], []
+            for doc_id, held, text in zip(batch["doc_id"], batch["held"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                hashes = _gram_hashes(np.frombuffer(text.encode("utf-32-le"), np.uint32), k)
+                first = np.lib.stride_tricks.sliding_window_view(hashes, n - k + 1).argmin(axis=1)
+                places = np.unique(first + np.arange(len(first)))
+                if wanted is not None:
+                    bits = hashes[places] & np.uint64(8 * len(wanted) - 1)
+                    places = places[wanted[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8) & 1 > 0]
+                own = doc_id.as_py() if held else None
+                for place, key in zip(places.tolist(), hashes[places].astype(np.int64).tolist(), strict=True):
+                    begin = max(0, place - (n - k))
+                    around = text[begin : place + n]
+                    if (own, place - begin, around) not in seen:
+                        seen.add((own, place - begin, around))
+                        keys.append(key)
+                        ids.append(own)
+                        ats.append(place - begin)
+                        arounds.append(around)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, batch.schema.field("doc_id").type), pa.array(ats, pa.int32()), pa.array(arounds, pa.string())], ["key", "doc_id", "at", "around"])
+
+    return run
+
+
+def _met_anchors(n: int, k: int):
+    """For ``mapInArrow`` over rows of ``_anchors``, sorted by key: (doc_id) of held texts that share a window of n."""
+
+    def windows(at: int, around: str) -> set[str]:
+        return {around[i : i + n] for i in range(max(0, at + k - n), min(at, len(around) - n) + 1)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ours, theirs, hit, kind = None, [], set(), set(), None
+
+        def compare() -> None:
+            left = [x for x in ours if x[0] not in hit]
+            if not left or not theirs:
+                return
+            left = [x for x in left if x[1:] not in theirs or hit.add(x[0])]
+            if left:
+                known = set().union(*[windows(*x) for x in theirs])
+                hit.update(doc_id for doc_id, at, around in left if doc_id not in hit and not known.isdisjoint(windows(at, around)))
+
+        for batch in batches:
+            kind = batch.schema.field("doc_id").type
+            for one, doc_id, at, around in zip(*[batch[c].to_pylist() for c in ("key", "doc_id", "at", "around")], strict=True):
+                if one != key:
+                    compare()
+                    key, ours, theirs = one, [], set()
+                if doc_id is None:
+                    theirs.add((at, around))
+                elif doc_id not in hit:
+                    ours.append((doc_id, at, around))
+        compare()
+        if hit:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(hit), kind)], ["doc_id"])
+
+    return run
+
+
 def char_overlap(cand: DataFrame, ref: DataFrame, n: int) -> DataFrame:
     """(doc_id, overlaps): null where the text is shorter than n code points and cannot be tested.
 
-    Of every ``step`` starts in a row one is a multiple of ``step``, so each window of n holds a piece of n - step + 1 code
-    points that starts at such a place. The reference gives its pieces at those places alone, candidates those at every
-    place; where they meet, blocks of both sides are compared by all of their windows.
+    Windows are not spread: each is found by its anchor, which about one place in n / 4 is (``_anchors``). Anchors of
+    both sides meet by their hash, once, and the texts around them are compared as they are.
     """
-    step = max(1, n // 5)
-    # A place in a text is found by counting characters from its start, so long texts are first cut into blocks.
-    span = 32 * step
-    blocks = lambda df: df.where(F.char_length("text") >= n).select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.char_length("text") - n + 1, F.lit(span))).alias("i")).select("doc_id", "i", F.expr(f"substring(text, i, {span + n - 1})").alias("b"))
-    places = lambda size, by: F.explode(F.sequence(F.lit(1), F.char_length("b") - size + 1, F.lit(by))).alias("j")
-    piece = n - step + 1
-    pieces = lambda df, by: blocks(df).select("doc_id", "i", "b", places(piece, by)).select("doc_id", "i", F.xxhash64(F.expr(f"substring(b, j, {piece})")).alias("key"))
-    theirs = pieces(ref, step)
-    ours = written(pieces(cand, 1).join(theirs.select("key").distinct(), "key", "left_semi").distinct(), "met-pieces")
-    met = theirs.join(ours.select("key").distinct(), "key", "left_semi")
-    grams = lambda df, which: blocks(df).join(which.select("doc_id", "i").distinct(), ["doc_id", "i"], "left_semi").select("doc_id", "b", places(n, 1)).select("doc_id", T.window_key(F.expr(f"substring(b, j, {n})")).alias("key"))
-    hit = grams(cand, ours).join(grams(ref, met).select("key").distinct(), "key", "left_semi").select("doc_id").distinct().withColumn("hit", F.lit(True))
-    return cand.join(hit, "doc_id", "left").select("doc_id", F.when(F.char_length("text") >= n, F.coalesce("hit", F.lit(False))).alias("overlaps"))
+    k = max(1, n // 2)
+    kind = cand.schema["doc_id"].dataType.simpleString()
+    long, schema = F.char_length("text") >= n, f"key long, doc_id {kind}, at int, around string"
+    sides = [df.where(long).select("doc_id", F.lit(held).alias("held"), "text") for df, held in ((cand.where("doc_id is not null"), True), (ref, False))]
+    # A bitmap of the candidates' anchors spares the shuffle most of the others: 64 bits per anchor, 16 MB at most; what gets through is compared.
+    chars = cand.agg(F.sum(F.when(long, F.char_length("text")))).first()[0] or 0
+    size = min(1 << 27, max(1 << 15, 1 << (256 * chars // n).bit_length()))
+    ours = sides[0].mapInArrow(_anchors(n, k), schema)
+    at = F.col("key").bitwiseAND(F.lit(size - 1).cast("long")) + 1
+    parts = ours.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    wanted = np.zeros(size // 8, np.uint8)
+    for part in parts:
+        wanted[(part["part"] - 1) * 4096 : part["part"] * 4096] = np.frombuffer(part["bits"], np.uint8)
+    rows = ours.unionByName(sides[1].mapInArrow(_anchors(n, k, wanted), schema))
+    # Of anchors without a held one nothing is compared; a window that several texts of the reference hold is compared once.
+    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_met_anchors(n, k), f"doc_id {kind}")
+    hit = met.distinct().withColumn("hit", F.lit(True))
+    return cand.select("doc_id", long.alias("long")).join(hit, "doc_id", "left").select("doc_id", F.when(F.col("long"), F.coalesce("hit", F.lit(False))).alias("overlaps"))
 
 
 def verify_disjoint(held: DataFrame, ref: DataFrame, ns: list[int]) -> DataFrame:
