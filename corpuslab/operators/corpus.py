@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
+from corpuslab.functions.runs import whole_runs
 from corpuslab.functions.scale import hash_mod, hash_order, ranked
 from corpuslab.functions.storage import written
 
@@ -97,10 +98,112 @@ def _keyed(docs: DataFrame, ns: list[int], *columns: str) -> DataFrame:
     return docs.select(*columns, F.explode(F.concat(*tagged)).alias("x")).select(*columns, "x.n", "x.key")
 
 
+#: Rows of whole runs that are compared at once.
+RUN_ROWS = 1 << 17
+
+
+def _rolling(words: np.ndarray, n: int, salt: int) -> np.ndarray:
+    """A 64-bit hash of each run of n words, given as 64-bit hashes."""
+    x = (words ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    out = x[: len(x) - n + 1].copy()
+    for i in range(1, n):
+        out *= np.uint64(0xD6E8FEB86659FD93 + 2 * salt)
+        out += x[i : len(x) - n + 1 + i]
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xC4CEB9FE1A85EC53)
+    return out ^ (out >> np.uint64(32))
+
+
+def _token_windows(ns: list[int], wanted: np.ndarray | None = None):
+    """For ``mapInArrow`` over (doc_id, words), word hashes: (h1, h2, e.., doc_id), a row per window of the least n.
+
+    h1 and h2 are its hashes, e.. those of the longer windows that begin with it (null where the text ends before). Rows
+    of a batch that are equal are kept once. With ``wanted``, those whose bit is zero there are left out.
+    """
+    least, *longer = ns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["words"]
+            words = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            if len(words) < least:
+                continue
+            sizes = np.diff(lists.offsets.to_numpy())
+            ends = np.repeat(np.cumsum(sizes), sizes)
+            h1 = _rolling(words, least, 1)
+            at = np.flatnonzero(np.arange(len(h1)) + least <= ends[: len(h1)])
+            if wanted is not None:
+                bits = h1[at] & np.uint64(8 * len(wanted) - 1)
+                at = at[wanted[(bits >> np.uint64(3)).astype(np.int64)] >> (bits & np.uint64(7)).astype(np.uint8) & 1 > 0]
+            columns, valid = [h1[at], _rolling(words, least, 2)[at]], []
+            for n in longer:
+                whole = at + n <= ends[at]
+                e = np.zeros(len(at), np.uint64)
+                if whole.any():
+                    e[whole] = _rolling(words, n, 3)[at[whole]]
+                columns.append(e)
+                valid.append(whole)
+            doc = np.repeat(np.arange(len(sizes)), sizes)[at] if wanted is None else np.zeros(len(at), np.int64)
+            order = np.lexsort([*valid, *columns, doc])
+            keys = [x[order] for x in (doc, *columns, *valid)]
+            new = np.ones(len(order), bool)
+            new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            on = order[new]
+            out = [pa.array(x[on].view(np.int64), mask=~valid[i - 2][on] if i > 1 else None) for i, x in enumerate(columns)]
+            ids = batch["doc_id"].take(pa.array(doc[on])) if wanted is None else pa.nulls(len(on), batch.schema.field("doc_id").type)
+            yield pa.RecordBatch.from_arrays([*out, ids, pa.array(np.full(len(on), wanted is None))], ["h1", "h2", *[f"e{n}" for n in longer], "doc_id", "ours"])
+
+    return run
+
+
+def _met_windows(ns: list[int]):
+    """For ``mapInArrow`` over rows of ``_token_windows``, sorted by h1: (n, doc_id) of candidates' windows that the reference has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_runs(batches, "h1", RUN_ROWS):
+            ours, ids = rows["ours"].to_numpy(), rows["doc_id"].combine_chunks()
+            for i, n in enumerate(ns):
+                names = ["h1", "h2", *([f"e{n}"] if i else [])]
+                at = np.flatnonzero(rows[names[-1]].is_valid().to_numpy())
+                keys = [rows[c].fill_null(0).to_numpy()[at] for c in names]
+                order = np.lexsort([ours[at], *keys])
+                at, keys = at[order], [k[order] for k in keys]
+                new = np.ones(len(at), bool)
+                new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+                # A run that the reference has begins with a row of it.
+                hit = at[ours[at] & ~ours[at[new]][np.cumsum(new) - 1]]
+                if len(hit):
+                    found = ids.take(pa.array(hit)).unique()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), n, np.int32)), found], ["n", "doc_id"])
+
+    return run
+
+
 def overlapping(cand: DataFrame, ref: DataFrame, ns: list[int]) -> DataFrame:
-    """(n, doc_id) of candidates that share a verbatim n-token window with the reference (doc_id, tokens)."""
-    theirs = _keyed(ref, ns).distinct()
-    return _keyed(cand, ns, "doc_id").join(theirs, ["n", "key"], "left_semi").select("n", "doc_id").distinct()
+    """(n, doc_id) of candidates that share a verbatim n-token window with the reference (doc_id, tokens).
+
+    A longer window is shared where it is after the same window of the least n, so only these are dealt, by 128-bit keys. A
+    bitmap of the candidates' keys spares the shuffle most of the reference's: 64 bits per key, 16 MB at most.
+    """
+    ns = sorted(ns)
+    kind = cand.schema["doc_id"].dataType.simpleString()
+    schema = f"h1 long, h2 long, {''.join(f'e{n} long, ' for n in ns[1:])}doc_id {kind}, ours boolean"
+    words = lambda df: df.where("tokens is not null").select(F.col("doc_id").cast(kind), F.transform("tokens", lambda t: F.xxhash64(t)).alias("words"))
+    ours = words(cand).mapInArrow(_token_windows(ns), schema)
+    size = min(1 << 27, max(1 << 15, 1 << (64 * (cand.agg(F.sum(F.size("tokens"))).first()[0] or 0)).bit_length()))
+    wanted = _bitmap(ours, "h1", size)
+    rows = ours.unionByName(words(ref).mapInArrow(_token_windows(ns, wanted), schema))
+    return rows.repartition("h1").sortWithinPartitions("h1").mapInArrow(_met_windows(ns), f"n int, doc_id {kind}").distinct()
+
+
+def _bitmap(keys: DataFrame, name: str, size: int) -> np.ndarray:
+    """Bits of the keys' values modulo ``size``, a power of two from 2^15 on, as bytes on the driver."""
+    at = F.col(name).bitwiseAND(F.lit(size - 1).cast("long")) + 1
+    out = np.zeros(size // 8, np.uint8)
+    for part in keys.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect():
+        out[(part["part"] - 1) * 4096 : part["part"] * 4096] = np.frombuffer(part["bits"], np.uint8)
+    return out
 
 
 def token_overlap_report(cand: DataFrame, ref: DataFrame, ns: list[int]) -> DataFrame:
@@ -211,11 +314,7 @@ def char_overlap(cand: DataFrame, ref: DataFrame, n: int) -> DataFrame:
     chars = cand.agg(F.sum(F.when(long, F.char_length("text")))).first()[0] or 0
     size = min(1 << 27, max(1 << 15, 1 << (256 * chars // n).bit_length()))
     ours = sides[0].mapInArrow(_anchors(n, k), schema)
-    at = F.col("key").bitwiseAND(F.lit(size - 1).cast("long")) + 1
-    parts = ours.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    wanted = np.zeros(size // 8, np.uint8)
-    for part in parts:
-        wanted[(part["part"] - 1) * 4096 : part["part"] * 4096] = np.frombuffer(part["bits"], np.uint8)
+    wanted = _bitmap(ours, "key", size)
     rows = ours.unionByName(sides[1].mapInArrow(_anchors(n, k, wanted), schema))
     # Of anchors without a held one nothing is compared; a window that several texts of the reference hold is compared once.
     met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_met_anchors(n, k), f"doc_id {kind}")

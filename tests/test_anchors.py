@@ -21,3 +21,22 @@ def test_texts_that_share_a_window_of_characters(spark, monkeypatch, n):
     frames = [spark.createDataFrame(x, "doc_id long, text string") for x in (cand, ref)]
     found = {r["doc_id"]: r["overlaps"] for r in C.char_overlap(*frames, n).collect()}
     assert found == {i: w if t is not None else None for (i, t), w in zip(cand, want.values(), strict=True)} and {True, False} <= set(want.values())
+
+
+@pytest.mark.parametrize("ns", [[3], [5, 2]])
+def test_documents_that_share_a_window_of_words(spark, monkeypatch, ns):
+    """Every window of both sides was a row per length before; a row per window of the least length is dealt now."""
+    monkeypatch.setattr(C, "_keyed", lambda *a: pytest.fail("windows are spread"))
+    monkeypatch.setattr(C, "RUN_ROWS", 5)
+    rng = random.Random(len(ns))
+    text = lambda: [rng.choice(["a", "b", "c", "d", f"w{rng.randrange(30)}"]) for _ in range(rng.randrange(0, 9))]
+    cand, ref = [(f"c{i}", text()) for i in range(80)] + [("none", None), ("word", ["a"])], [(f"r{i}", text()) for i in range(25)] + [("none", None)]
+    frames = [spark.createDataFrame(x, "doc_id string, tokens array<string>") for x in (cand, ref)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = {tuple(r) for r in C.overlapping(*frames, ns).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spread = lambda t, n: {tuple(t[i : i + n]) for i in range(len(t or []) - n + 1)}
+    want = {(n, i) for n in ns for i, t in cand if spread(t, n) & set().union(*[spread(r, n) for _, r in ref])}
+    assert found == want and 0 < len(want) < len(ns) * len(cand)
